@@ -328,3 +328,16 @@ def union_area(objects: DataFrame, group: Sequence[str], side: float = TILE_M) -
     schema = ", ".join(f"{g} {dict(objects.dtypes)[g]}" for g in group) + ", _tx long, _ty long, area double"
     return (t.select(*group, "_tx", "_ty", *FLAT).groupBy(*group, "_tx", "_ty").applyInPandas(run, schema)
             .groupBy(*group).agg(F.sum("area").alias("union_area_m2")))
+
+
+def buffered_boxes(boxes: DataFrame, clearance: float, arc: int = 16) -> DataFrame:
+    """Boxes grown by ``clearance`` with round corners, ``arc`` chords to a quarter circle, as flat geometry."""
+    c = float(clearance)
+    xs, ys = [], []
+    for q, (cx, cy) in enumerate((("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))):
+        for s in range(arc + 1):
+            angle = np.pi / 2 * (q - 1 + s / arc)
+            xs.append(F.col(cx) + F.lit(c * float(np.cos(angle))))
+            ys.append(F.col(cy) + F.lit(c * float(np.sin(angle))))
+    return boxes.select("survey_id", (F.col("x0") - c).alias("x0"), (F.col("y0") - c).alias("y0"), (F.col("x1") + c).alias("x1"), (F.col("y1") + c).alias("y1"),
+                        F.array(*xs, xs[0]).alias("xs"), F.array(*ys, ys[0]).alias("ys"), F.array(F.lit(len(xs) + 1)).alias("sizes"))
