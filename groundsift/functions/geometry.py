@@ -332,7 +332,6 @@ def piece_overlap(a, b) -> Column:
     sides cross, so the trapezoid rule over those heights is exact.
     """
     ya, yb = F.greatest(a["y0"], b["y0"]), F.least(a["y1"], b["y1"])
-    ys = F.array(ya, yb)
 
     def line(p, side):
         slope = (p[f"x{side}1"] - p[f"x{side}0"]) / (p["y1"] - p["y0"])
@@ -346,7 +345,10 @@ def piece_overlap(a, b) -> Column:
     def width(y):
         return F.greatest(F.lit(0.0), F.least(ra[0] + ra[1] * y, rb[0] + rb[1] * y) - F.greatest(la[0] + la[1] * y, lb[0] + lb[1] * y))
 
-    exact = F.aggregate(F.sequence(F.lit(1), F.size(ys) - 1), F.lit(0.0), lambda acc, i: acc + (
-        width(F.get(ys, i - 1)) + width(F.get(ys, i))) / 2 * (F.get(ys, i) - F.get(ys, i - 1)))
+    # widths are taken once per height; heights and widths are bound as lambda variables, not recomputed
+    nodes = F.transform(ys, lambda y: F.struct(y.alias("y"), width(y).alias("w")))
+    first = F.struct(F.lit(0.0).alias("sum"), ya.alias("y"), F.lit(0.0).alias("w"))
+    exact = F.aggregate(nodes, first, lambda acc, n: F.struct(
+        (acc["sum"] + (acc["w"] + n["w"]) / 2 * (n["y"] - acc["y"])).alias("sum"), n["y"].alias("y"), n["w"].alias("w")))["sum"]
     flat = F.greatest(F.lit(0.0), F.least(a["xr0"], b["xr0"]) - F.greatest(a["xl0"], b["xl0"])) * (yb - ya)
     return F.when(yb <= ya, F.lit(0.0)).when(upright, flat).otherwise(exact)

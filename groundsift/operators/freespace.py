@@ -72,7 +72,7 @@ def _center_is_wide(pieces, x1, y1, x2, y2, horizontals, wall, radius):
     return far
 
 
-def _edges_of(pdf):
+def edges_of(pdf):
     xs, ys, hs, owners = [], [], [], []
     parts = [[], [], [], []]
     for i, (px, py, sizes) in enumerate(zip(pdf["xs"], pdf["ys"], pdf["sizes"])):
@@ -98,7 +98,7 @@ def _free_in_tile(radius: float):
         survey, tx, ty, lv, sx, sy = key
         head = pdf.iloc[0]
         bx0, by0, bx1, by1 = (float(head[c]) for c in ("bx0", "by0", "bx1", "by1"))
-        x1, y1, x2, y2, owner, flat = _edges_of(pdf)
+        x1, y1, x2, y2, owner, flat = edges_of(pdf)
         near = (y2 > by0) & (y1 < by1)
         # sides right of the tile cannot bound free ground in it, but parity needs those on the left
         pieces, links = slabs.free(x1[near], y1[near], x2[near], y2[near], owner[near], bx0, by0, bx1, by1)
@@ -256,7 +256,7 @@ def _exact_width(radius: float):
             return empty
         head = objects.iloc[0]
         wx0, wy0, wx1, wy1 = (float(head[c]) for c in ("wx0", "wy0", "wx1", "wy1"))
-        x1, y1, x2, y2, _, flat = _edges_of(objects)
+        x1, y1, x2, y2, _, flat = edges_of(objects)
         ax = np.concatenate([x1, flat[0], [wx0, wx0, wx0, wx1]])
         ay = np.concatenate([y1, flat[2], [wy0, wy0, wy1, wy0]])
         bx = np.concatenate([x2, flat[1], [wx1, wx0, wx1, wx1]])
@@ -289,6 +289,7 @@ def settle_width(pieces: DataFrame, figures: DataFrame, windows: DataFrame, occu
     if min_width <= 0:
         return figures.withColumn("wide", F.lit(True))
     radius = min_width / 2
+    figures = cut(figures)  # read three times below
     open_gaps = figures.where(~F.col("wide")).select("survey_id", "gap")
     open_pieces = pieces.join(open_gaps, ["survey_id", "gap"], "left_semi").select(*SUBTILE, "gap", *G.PIECE)
     tiles = open_pieces.select(*SUBTILE).distinct()
@@ -319,7 +320,7 @@ def union_area(objects: DataFrame, group: Sequence[str], side: float = TILE_M) -
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = float(key[-2]) * side, float(key[-1]) * side
-        x1, y1, x2, y2, owner, _ = _edges_of(pdf)
+        x1, y1, x2, y2, owner, _ = edges_of(pdf)
         near = (y2 > ty) & (y1 < ty + side)
         pieces, _ = slabs.free(x1[near], y1[near], x2[near], y2[near], owner[near], tx, ty, tx + side, ty + side)
         left = sum(((p[4] - p[2]) + (p[5] - p[3])) / 2 * (p[1] - p[0]) for p in pieces)

@@ -1,6 +1,6 @@
 """Trial plots: squares on a half-side lattice, three rotations, inside a gap and clear of exclusions.
 
-Feasible squares are found with two piece joins.  Picking is greedy in lattice
+Feasible squares are found tile by tile, exclusions by a piece join.  Picking is greedy in lattice
 order, but by rounds: every gap takes its least feasible square at once, then
 squares that overlap it leave.  A round is one grouped minimum and one join, so
 a gap with millions of feasible squares never gathers in one task.
@@ -8,10 +8,14 @@ a gap with millions of feasible squares never gathers in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
+from groundsift.operators import freespace as FS
+from groundsift.operators import slabs
 from groundsift.operators.tiles import piece_join
 from groundsift.session import cut
 
@@ -46,34 +50,74 @@ def square_pieces(cx: Column, cy: Column, side: Column, degrees: Column) -> Colu
     return F.when(degrees == 0, flat).otherwise(F.filter(turned, lambda p: p["y1"] > p["y0"]))
 
 
-def feasible_squares(pieces: DataFrame, gaps: DataFrame, exclusions: DataFrame, side: float) -> DataFrame:
+def _free_squares(side: float):
+    """Lattice squares of one tile that no observed side cuts and no object holds."""
+    step, reach = side / 2, side / 2
+
+    def run(key, objects: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        names = [f.split()[0] for f in SQUARES.split(", ")]
+        if not len(pieces) or not len(objects):
+            return pd.DataFrame(columns=names)
+        head = objects.iloc[0]
+        wall = [float(head[c]) for c in ("wx0", "wy0", "wx1", "wy1")]
+        x1, y1, x2, y2, _, flat = FS.edges_of(objects)
+        ax, ay = np.concatenate([x1, flat[0]]), np.concatenate([y1, flat[2]])
+        bx, by = np.concatenate([x2, flat[1]]), np.concatenate([y2, flat[2]])
+        found = []
+        for p in pieces.itertuples(index=False):
+            rows = np.arange(max(0, np.ceil((p.y0 - p.oy) / step)), np.floor((p.y1 - p.oy) / step) + 1)
+            cy = p.oy + rows * step
+            rows, cy = rows[(cy >= p.y0) & (cy < p.y1)], cy[(cy >= p.y0) & (cy < p.y1)]
+            for row, y in zip(rows, cy):
+                u = (y - p.y0) / (p.y1 - p.y0)
+                lo, hi = p.xl0 + u * (p.xl1 - p.xl0), p.xr0 + u * (p.xr1 - p.xr0)
+                cols = np.arange(max(0, np.ceil((lo - p.ox) / step)), np.floor((hi - p.ox) / step) + 1)
+                cx = p.ox + cols * step
+                keep = (cx >= lo) & (cx < hi)
+                found += [(p.gap, int(row), int(c), float(x), float(y)) for c, x in zip(cols[keep], cx[keep])]
+        if not found:
+            return pd.DataFrame(columns=names)
+        cx, cy = np.array([f[3] for f in found]), np.array([f[4] for f in found])
+        # the inscribed circle must be clear before any rotation is tried
+        clear = np.minimum.reduce([cx - wall[0], cy - wall[1], wall[2] - cx, wall[3] - cy])
+        if len(ax):
+            clear = np.minimum(clear, slabs.segment_distance(cx[:, None], cy[:, None], ax, ay, bx, by).min(axis=1))
+        keep = np.nonzero(clear >= reach - 1e-9)[0]
+        cx, cy = cx[keep], cy[keep]
+        edge = np.minimum.reduce([cx - wall[0], cy - wall[1], wall[2] - cx, wall[3] - cy])
+        px, py, qx, qy = ax - cx[:, None], ay - cy[:, None], bx - cx[:, None], by - cy[:, None]
+        out = []
+        for angle in ANGLES:
+            c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+            ok = edge >= reach * (abs(c) + abs(s)) - 1e-9
+            if len(ax):  # sides in the square's own frame; one that enters the open square rules it out
+                ok &= ~slabs.enters_square(px * c + py * s, py * c - px * s, qx * c + qy * s, qy * c - qx * s, reach - 1e-9).any(axis=1)
+            out += [(int(key[0]), *found[keep[i]][:3], angle, float(cx[i]), float(cy[i])) for i in np.nonzero(ok)[0]]
+        return pd.DataFrame(out, columns=names)
+
+    return run
+
+
+SQUARES = "survey_id long, gap string, row long, col long, angle int, cx double, cy double"
+
+
+def feasible_squares(pieces: DataFrame, gaps: DataFrame, windows: DataFrame, occupied: DataFrame,
+                     exclusions: DataFrame, side: float) -> DataFrame:
     """Squares wholly inside their gap that no exclusion overlaps by more than 0.01 m².
 
-    ``pieces``: survey_id, gap, piece columns; ``gaps``: survey_id, gap and its box;
-    ``exclusions``: survey_id, id, piece columns.
+    ``pieces``: rows of :func:`freespace.free_pieces`; ``gaps``: survey_id, gap and its box;
+    ``occupied``: what was subtracted, with flat geometry; ``exclusions``: survey_id, id, piece columns.
     """
     step = side / 2
     corner = gaps.select("survey_id", "gap", (F.col("x0") + step).alias("ox"), (F.col("y0") + step).alias("oy"))
-    p = pieces.select("survey_id", "gap", *G.PIECE).join(corner, ["survey_id", "gap"])
-    at = (p.withColumn("row", F.explode(F.sequence(F.ceil((F.col("y0") - F.col("oy")) / step), F.floor((F.col("y1") - F.col("oy")) / step))))
-          .withColumn("cy", F.col("oy") + F.col("row") * step).where("row >= 0 AND cy >= y0 AND cy < y1")
-          .withColumn("_t", (F.col("cy") - F.col("y0")) / (F.col("y1") - F.col("y0")))
-          .withColumn("_l", F.col("xl0") + F.col("_t") * (F.col("xl1") - F.col("xl0")))
-          .withColumn("_r", F.col("xr0") + F.col("_t") * (F.col("xr1") - F.col("xr0")))
-          .withColumn("_c0", F.ceil((F.col("_l") - F.col("ox")) / step)).withColumn("_c1", F.floor((F.col("_r") - F.col("ox")) / step))
-          .where("_c0 <= _c1").withColumn("col", F.explode(F.sequence("_c0", "_c1"))).where("col >= 0")
-          .withColumn("cx", F.col("ox") + F.col("col") * step))
-    squares = (at.withColumn("angle", F.explode(F.array(*[F.lit(a) for a in ANGLES])))
-               .select("survey_id", "gap", "row", "col", "angle", "cx", "cy").distinct())
+    mine = pieces.select(*FS.SUBTILE, "gap", *G.PIECE).join(corner, ["survey_id", "gap"])
+    objects = FS.tile_objects(windows, occupied, side)
+    squares = cut(objects.groupBy(*FS.SUBTILE).cogroup(mine.groupBy(*FS.SUBTILE)).applyInPandas(_free_squares(side), SQUARES))
     keys = ["gap", "row", "col", "angle"]
-    body = squares.select("survey_id", *keys, "cx", "cy", F.explode(square_pieces(
-        F.col("cx"), F.col("cy"), F.lit(float(side)), F.col("angle"))).alias("q")).select("survey_id", *keys, "cx", "cy", "q.*")
-    body = cut(body)
-    inside = (piece_join(body, pieces.select("survey_id", F.col("gap").alias("in_gap"), *G.PIECE), [*keys, "cx", "cy"], ["in_gap"])
-              .where((F.col("gap") == F.col("r_in_gap")) & (F.col("area_m2") >= side * side * (1 - 1e-9)))
-              .select("survey_id", *keys, "cx", "cy"))
+    body = squares.select("survey_id", *keys, F.explode(square_pieces(F.col("cx"), F.col("cy"), F.lit(float(side)), F.col("angle"))).alias("q")) \
+        .select("survey_id", *keys, "q.*")
     blocked = piece_join(body, exclusions, keys, ["id"]).select("survey_id", *keys).distinct()
-    return inside.join(blocked, ["survey_id", *keys], "left_anti")
+    return squares.join(blocked, ["survey_id", *keys], "left_anti")
 
 
 def pick_plots(squares: DataFrame, side: float, per_gap: int) -> DataFrame:

@@ -183,3 +183,18 @@ def segment_distance(px, py, ax, ay, bx, by):
     norm = dx * dx + dy * dy
     t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(norm == 0, 1, norm), 0, 1)
     return np.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+def enters_square(ax, ay, bx, by, h):
+    """Which segments have a point inside the open square |x| < h, |y| < h."""
+    dx, dy = bx - ax, by - ay
+    t0, t1 = np.zeros(ax.shape), np.ones(ax.shape)
+    inside = np.ones(ax.shape, bool)
+    for a, d in ((ax, dx), (ay, dy)):
+        still = d == 0
+        inside &= ~still | (np.abs(a) < h)
+        safe = np.where(still, 1, d)
+        lo, hi = np.minimum((-h - a) / safe, (h - a) / safe), np.maximum((-h - a) / safe, (h - a) / safe)
+        t0 = np.where(still, t0, np.maximum(t0, lo))
+        t1 = np.where(still, t1, np.minimum(t1, hi))
+    return inside & (t0 < t1)

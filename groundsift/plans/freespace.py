@@ -96,7 +96,7 @@ WITH cell AS (SELECT s.survey_id, unnest(generate_series(CAST(0 AS BIGINT), 9999
 xy AS (SELECT survey_id, wx0 + 20 * (c % 100) AS x, wy0 + 20 * floor(c / 100) AS y FROM cell),
 p AS (SELECT DISTINCT c.survey_id, c.x, c.y FROM xy c JOIN parcels o ON o.survey_id = c.survey_id AND o.x0 <= c.x AND c.x < o.x1 AND o.y0 <= c.y AND c.y < o.y1),
 b AS (SELECT DISTINCT c.survey_id, c.x, c.y FROM xy c JOIN buildings o ON o.survey_id = c.survey_id AND o.x0 <= c.x AND c.x < o.x1 AND o.y0 <= c.y AND c.y < o.y1)
-SELECT s.survey_id, 4000000.0 AS area_m2, CAST((SELECT count(*) FROM p WHERE p.survey_id = s.survey_id) * 400 AS DOUBLE) AS observed_parcels_m2,
+SELECT s.survey_id, CAST(4000000.0 AS DOUBLE) AS area_m2, CAST((SELECT count(*) FROM p WHERE p.survey_id = s.survey_id) * 400 AS DOUBLE) AS observed_parcels_m2,
   CAST((SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM p) q WHERE q.survey_id = s.survey_id) * 400 AS DOUBLE) AS buildings_excluded_m2,
   CAST((10000 - (SELECT count(*) FROM (SELECT * FROM b UNION SELECT * FROM p) q WHERE q.survey_id = s.survey_id)) * 400 AS DOUBLE) AS remainder_m2,
   (SELECT count(*) FROM parcels q WHERE q.survey_id = s.survey_id) AS parcels, (SELECT count(*) FROM buildings q WHERE q.survey_id = s.survey_id) AS buildings,
@@ -185,9 +185,8 @@ def trial_plots(t, target_area: float = 900.0, limit_per_gap: int = 2):
     pieces, f = gap_table(t, 30.0)
     kept = f.where((F.col("area") >= MIN_AREA) & F.col("wide"))
     side = target_area**0.5
-    inside = pieces.join(kept.select("survey_id", "gap"), ["survey_id", "gap"], "left_semi").select("survey_id", "gap", *G.PIECE)
     exclusions = box_pieces(t("restrictions")).select("survey_id", "id", *G.PIECE)
-    squares = feasible_squares(inside, kept.select("survey_id", "gap", *BOX), exclusions, side)
+    squares = feasible_squares(pieces, kept.select("survey_id", "gap", *BOX), t("surveys"), occupied(t), exclusions, side)
     return pick_plots(squares, side, limit_per_gap), kept, side
 
 
