@@ -30,6 +30,11 @@ def _c(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once; a lambda would otherwise compute it at every use."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -116,19 +121,23 @@ def laea_inverse(x: Column, y: Column, lon0, lat0) -> tuple[Column, Column]:
 
 def _edges(ring: Column, fn) -> Column:
     """Sum ``fn(a, b)`` over consecutive vertices."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0),
-        lambda acc, i: acc + F.coalesce(fn(F.get(ring, i - 1), F.get(ring, i)), F.lit(0.0)))
+    return let(ring, lambda r: F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(0.0),
+        lambda acc, i: acc + F.coalesce(fn(F.get(r, i - 1), F.get(r, i)), F.lit(0.0))))
 
 
 def ring_area(ring: Column) -> Column:
     """Signed area, positive when counter-clockwise; coordinates taken from the first vertex."""
-    ox, oy = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    return _edges(ring, lambda a, b: (a["x"] - ox) * (b["y"] - oy) - (b["x"] - ox) * (a["y"] - oy)) / 2
+    def of(r):
+        o = F.get(r, F.lit(0))
+        return _edges(r, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])) / 2
+
+    return let(ring, of)
 
 
 def part_area(part: Column) -> Column:
-    return F.aggregate(part, F.lit(0.0), lambda acc, r: acc - F.abs(ring_area(r))) + 2 * F.abs(ring_area(F.get(part, F.lit(0))))
+    return let(F.transform(part, lambda r: F.abs(ring_area(r))), lambda a: F.aggregate(
+        a, F.lit(0.0), lambda acc, v: acc - v) + 2 * F.get(a, F.lit(0)))
 
 
 def area(geom: Column) -> Column:
@@ -166,15 +175,15 @@ def centroid(geom: Column) -> Column:
             return total + 2 * signed(F.get(part, F.lit(0)))
         return F.aggregate(geom, F.lit(0.0), lambda acc, part: acc + of_part(part))
 
-    a = area(geom)
-    return point(moment("x") / a, moment("y") / a)
+    return let(area(geom), lambda a: point(moment("x") / a, moment("y") / a))
 
 
 def bounds(geom: Column) -> Column:
-    pts = vertices(geom)
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
-                    F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    def of(pts):
+        xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+    return let(vertices(geom), of)
 
 
 # ---- structure and validity ---------------------------------------------------------------------
