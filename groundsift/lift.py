@@ -107,13 +107,13 @@ TABLES: dict[str, str] = {
     "lot_numbers": f"""
         SELECT l_orderkey AS lot_id, l_partkey AS k, {_number(_LP, 'l_partkey')} AS cad_num, l_suppkey, l_linenumber
         FROM {{lineitem}}""",
-    # attachments of lot cards: part is the file, supplier parity the descriptor version
+    # attachments of lot cards: part is the file, one supplier brings another version of it
     "attachments": f"""
         SELECT l_orderkey AS lot_id, {_L} AS survey_id, l_partkey AS file_id, l_linenumber AS ord,
                CASE WHEN l_returnflag = 'N' THEN 'lot' ELSE 'notice' END AS scope,
-               concat(CASE l_returnflag WHEN 'R' THEN 'Договор ' WHEN 'A' THEN 'Схема ' ELSE 'Приложение ' END,
+               concat(CASE l_partkey % 3 WHEN 0 THEN 'Договор ' WHEN 1 THEN 'Схема ' ELSE 'Приложение ' END,
                       CAST(l_partkey AS VARCHAR(20)),
-                      CASE WHEN l_suppkey % 50 = 0 THEN '-v2' ELSE '' END,
+                      CASE WHEN l_suppkey = 7 THEN '-v2' ELSE '' END,
                       CASE l_partkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.jpg' ELSE '.zip' END) AS file_name,
                CAST(l_partkey * 9001 % 20000000 + 1 AS BIGINT) AS declared_size,
                l_linestatus = 'O' AND l_returnflag = 'R' AS inactive,

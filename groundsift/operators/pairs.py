@@ -23,6 +23,16 @@ def foot(p, e) -> Column:
     return F.struct(F.hypot(p["x"] - qx, p["y"] - qy).alias("d"), p["x"].alias("px"), p["y"].alias("py"), qx.alias("qx"), qy.alias("qy"))
 
 
+def reach(p, sides: Column) -> Column:
+    """Distance from ``p`` to the nearest side."""
+    def one(e):
+        dx, dy, px, py = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], p["x"] - e["a"]["x"], p["y"] - e["a"]["y"]
+        n = dx * dx + dy * dy
+        return G.let(F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / n))),
+                     lambda t: F.hypot(px - t * dx, py - t * dy))
+    return F.array_min(F.transform(sides, one))
+
+
 def nearest(p, sides: Column) -> Column:
     return F.array_min(F.transform(sides, lambda e: foot(p, e)))
 
@@ -50,7 +60,7 @@ def connect(a: Column, b: Column) -> Column:
 def vertex_gap(a: Column, b: Column) -> Column:
     """Largest distance from a vertex of one geometry to the boundary of the other, both ways."""
     def one(p, q):
-        return G.let(edges(q), lambda sides: F.array_max(F.transform(G.vertices(p), lambda v: nearest(v, sides)["d"])))
+        return G.let(edges(q), lambda sides: F.array_max(F.transform(G.vertices(p), lambda v: reach(v, sides))))
     return F.greatest(one(a, b), one(b, a))
 
 
@@ -66,7 +76,7 @@ def densified(geom: Column, step: float) -> Column:
 def boundary_gap(a: Column, b: Column, step: float = 1.0) -> Column:
     """Hausdorff distance of two boundaries sampled every ``step``."""
     def one(p, q):
-        return G.let(edges(q), lambda sides: F.array_max(F.transform(densified(p, step), lambda v: nearest(v, sides)["d"])))
+        return G.let(edges(q), lambda sides: F.array_max(F.transform(densified(p, step), lambda v: reach(v, sides))))
     return F.greatest(one(a, b), one(b, a))
 
 
