@@ -33,3 +33,29 @@ def grouped_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     ranked = global_rank(df, [*[F.col(g) for g in group], *order], "_g")
     first = ranked.groupBy(*group).agg(F.min("_g").alias("_f"))
     return ranked.join(first, list(group)).withColumn(name, F.col("_g") - F.col("_f") + 1).drop("_g", "_f")
+
+
+def with_neighbours(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
+    """Add ``prev_*`` and ``next_*`` of ``columns`` inside a group of any size.
+
+    Rows meet their neighbours in a join on (group, place), which spreads a hot
+    group over all tasks; a window would sort it in one.
+    """
+    r = grouped_rank(df, group, order, "_pos")
+    side = lambda by, tag: r.select(*group, (F.col("_pos") + by).alias("_pos"), *[F.col(c).alias(f"{tag}_{c}") for c in columns])
+    return r.join(side(1, "prev"), [*group, "_pos"], "left").join(side(-1, "next"), [*group, "_pos"], "left").drop("_pos")
+
+
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, name: str, block: int = 4096) -> DataFrame:
+    """Sum of ``value`` over the rows of a group before this one.
+
+    Places are cut into blocks; totals of blocks are summed over blocks, which
+    are fewer by that factor, and rows inside a block by a window of bounded size.
+    """
+    r = grouped_rank(df, group, order, "_pos").withColumn("_b", F.floor((F.col("_pos") - 1) / block))
+    sums = r.groupBy(*group, "_b").agg(F.sum(value).alias("_t"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    w = Window.partitionBy(*group, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    return (r.join(before, [*group, "_b"]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0)))
+            .drop("_pos", "_b", "_before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundsift.functions import text as X
-from groundsift.operators.ranking import grouped_rank
+from groundsift.operators.ranking import grouped_rank, with_neighbours
 from groundsift.operators.tiles import box_overlap, tile_join
 from groundsift.plans.evidence import card_files
 from groundsift.plans.filters import active_lot, land_group
@@ -407,10 +407,8 @@ def upsert(t):
 SELECT user_id AS id, event_id AS version, event_type AS workflow, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL AS current FROM events""")
 def update_history(t):
     """Every update keeps the state it replaced; the last one is current."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("workflow"), F.lag("event_type").over(w).alias("previous"), F.lead("event_id").over(w).isNull().alias("current"))
+    e = with_neighbours(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id", "event_type"])
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("workflow"), F.col("prev_event_type").alias("previous"), F.col("next_event_id").isNull().alias("current"))
 
 
 @query("p28_lot_list_filters", """
