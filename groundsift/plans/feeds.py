@@ -311,7 +311,7 @@ def version_addresses(t):
     return sinks.content_id(t("parcels"), ["survey_id"], ["id", "cad_num", *BOX])
 
 
-@query("s27_latest_events", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
+@query("s27_w19_latest_events", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
 def latest_events(t):
     return t("events").orderBy(F.desc("event_id")).limit(100).select("event_id", "event_type")
 

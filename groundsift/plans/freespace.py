@@ -80,7 +80,7 @@ def ranked_gaps(t):
                     (F.col("area") > MAX_AREA).alias("large_window"), F.concat(F.lit("Промежуток "), rank.cast("string")).alias("label")))
 
 
-@query("p13_p14_filtered_counts", f"""WITH RECURSIVE {_CELLS}
+@query("p13_p14_g10_filtered_counts", f"""WITH RECURSIVE {_CELLS}
 SELECT survey_id, count(*) FILTER (WHERE area < {MIN_AREA}) AS small, count(*) FILTER (WHERE area >= {MIN_AREA} AND NOT is_wide) AS narrow,
   count(*) FILTER (WHERE area >= {MIN_AREA} AND is_wide) AS kept FROM gap GROUP BY survey_id""")
 def filtered_counts(t):
