@@ -20,7 +20,7 @@ from groundsift.functions import geometry as G
 from groundsift.operators import slabs
 from groundsift.operators.components import connected_components
 from groundsift.operators.tiles import explode_tiles
-from groundsift.session import cut
+from groundsift.session import cut, spread
 
 TILE_M = 500.0
 #: objects one task takes in a tile before the tile is cut finer
@@ -154,7 +154,7 @@ def free_pieces(windows: DataFrame, occupied: DataFrame, min_width: float = 0.0,
     """
     radius = min_width / 2
     per_tile = tile_objects(windows, occupied, radius, side)
-    raw = cut(per_tile.groupBy(*SUBTILE).applyInPandas(_free_in_tile(radius), PIECE_SCHEMA)
+    raw = cut(spread(per_tile, *SUBTILE).groupBy(*SUBTILE).applyInPandas(_free_in_tile(radius), PIECE_SCHEMA)
               .withColumn("node", F.concat_ws("/", *SUBTILE, "comp")))
     edges = border_links(raw)
     comps = connected_components(raw.select("node"), edges).withColumnRenamed("component", "gap")
@@ -294,7 +294,7 @@ def settle_width(pieces: DataFrame, figures: DataFrame, windows: DataFrame, occu
     open_pieces = pieces.join(open_gaps, ["survey_id", "gap"], "left_semi").select(*SUBTILE, "gap", *G.PIECE)
     tiles = open_pieces.select(*SUBTILE).distinct()
     objects = tile_objects(windows, occupied, 2 * min_width, side).join(tiles, SUBTILE, "left_semi")
-    found = (objects.groupBy(*SUBTILE).cogroup(open_pieces.groupBy(*SUBTILE))
+    found = (spread(objects, *SUBTILE).groupBy(*SUBTILE).cogroup(spread(open_pieces, *SUBTILE).groupBy(*SUBTILE))
              .applyInPandas(_exact_width(radius), "survey_id long, gap string").distinct().withColumn("_w", F.lit(True)))
     return (figures.join(found, ["survey_id", "gap"], "left")
             .withColumn("wide", F.col("wide") | F.coalesce("_w", F.lit(False))).drop("_w"))
@@ -327,7 +327,7 @@ def union_area(objects: DataFrame, group: Sequence[str], side: float = TILE_M) -
         return pd.DataFrame([(*key, side * side - left)], columns=[*group, "_tx", "_ty", "area"])
 
     schema = ", ".join(f"{g} {dict(objects.dtypes)[g]}" for g in group) + ", _tx long, _ty long, area double"
-    return (t.select(*group, "_tx", "_ty", *FLAT).groupBy(*group, "_tx", "_ty").applyInPandas(run, schema)
+    return (spread(t.select(*group, "_tx", "_ty", *FLAT), *group, "_tx", "_ty").groupBy(*group, "_tx", "_ty").applyInPandas(run, schema)
             .groupBy(*group).agg(F.sum("area").alias("union_area_m2")))
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundsift.session import spread
+
 
 def normalise_words(words: DataFrame) -> DataFrame:
     """Boxes x, y, w, h in pixels to corners in 0..1; words off the page are dropped with their page."""
@@ -40,7 +42,7 @@ def visual_rows(words: DataFrame, page: Sequence[str]) -> DataFrame:
             rows.append(n)
         return pdf.assign(row=rows).drop(columns="_c")
 
-    return words.groupBy(*page).applyInPandas(scan, schema)
+    return spread(words, *page).groupBy(*page).applyInPandas(scan, schema)
 
 
 def cells(rows: DataFrame, page: Sequence[str], gap: float = 0.018) -> DataFrame:

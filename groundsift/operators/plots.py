@@ -17,7 +17,7 @@ from groundsift.functions import geometry as G
 from groundsift.operators import freespace as FS
 from groundsift.operators import slabs
 from groundsift.operators.tiles import piece_join
-from groundsift.session import cut
+from groundsift.session import cut, spread
 
 ANGLES = (0, 30, 60)
 
@@ -112,7 +112,7 @@ def feasible_squares(pieces: DataFrame, gaps: DataFrame, windows: DataFrame, occ
     corner = gaps.select("survey_id", "gap", (F.col("x0") + step).alias("ox"), (F.col("y0") + step).alias("oy"))
     mine = pieces.select(*FS.SUBTILE, "gap", *G.PIECE).join(corner, ["survey_id", "gap"])
     objects = FS.tile_objects(windows, occupied, side)
-    squares = cut(objects.groupBy(*FS.SUBTILE).cogroup(mine.groupBy(*FS.SUBTILE)).applyInPandas(_free_squares(side), SQUARES))
+    squares = cut(spread(objects, *FS.SUBTILE).groupBy(*FS.SUBTILE).cogroup(spread(mine, *FS.SUBTILE).groupBy(*FS.SUBTILE)).applyInPandas(_free_squares(side), SQUARES))
     keys = ["gap", "row", "col", "angle"]
     body = squares.select("survey_id", *keys, F.explode(square_pieces(F.col("cx"), F.col("cy"), F.lit(float(side)), F.col("angle"))).alias("q")) \
         .select("survey_id", *keys, "q.*")

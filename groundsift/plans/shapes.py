@@ -283,7 +283,15 @@ def access_obstacles(t):
     return obstacles(t).select("id", "mode", "feature_id", F.when(F.col("length_m") > 0, "intersection").otherwise("touch").alias("contact"), F.round("length_m", 4).alias("length_m"))
 
 
-@query("a36_access_state")
+@query("a36_access_state", f"""WITH {_SEG},
+o AS (SELECT survey_id, id, x0, y0, x1, y1 FROM parcels UNION ALL SELECT survey_id, id, x0, y0, x1, y1 FROM buildings),
+t AS (SELECT s.survey_id, s.id,
+  greatest(0, CASE WHEN bx > ax THEN (o.x0 - ax) / (bx - ax) WHEN bx < ax THEN (o.x1 - ax) / (bx - ax) ELSE 0 END, CASE WHEN by_ > ay THEN (o.y0 - ay) / (by_ - ay) WHEN by_ < ay THEN (o.y1 - ay) / (by_ - ay) ELSE 0 END) AS t0,
+  least(1, CASE WHEN bx > ax THEN (o.x1 - ax) / (bx - ax) WHEN bx < ax THEN (o.x0 - ax) / (bx - ax) ELSE 1 END, CASE WHEN by_ > ay THEN (o.y1 - ay) / (by_ - ay) WHEN by_ < ay THEN (o.y0 - ay) / (by_ - ay) ELSE 1 END) AS t1
+  FROM seg s JOIN o ON s.survey_id = o.survey_id AND (bx <> ax OR ax BETWEEN o.x0 AND o.x1) AND (by_ <> ay OR ay BETWEEN o.y0 AND o.y1) WHERE o.id <> s.road_id AND (ax <> bx OR ay <> by_)),
+n AS (SELECT survey_id, id, count(*) AS c FROM t WHERE t0 < t1 GROUP BY survey_id, id)
+SELECT c.survey_id, c.id, CASE WHEN s.id IS NULL THEN 'unknown_no_observed_road' WHEN ax = bx AND ay = by_ THEN 'zero_distance' WHEN n.c > 0 THEN 'observed_intersections' ELSE 'no_observed_intersections' END AS state,
+  coalesce(n.c, 0) AS intersections, false AS legal_access_confirmed FROM offers c LEFT JOIN seg s ON c.survey_id = s.survey_id AND c.id = s.id LEFT JOIN n ON c.survey_id = n.survey_id AND c.id = n.id""")
 def access_state(t):
     """No road known, no distance, something in the way, or nothing observed in the way."""
     met = obstacles(t).where("length_m > 0").groupBy("survey_id", "id").agg(F.count("*").alias("intersections"))
