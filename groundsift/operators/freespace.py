@@ -20,7 +20,7 @@ from groundsift.functions import geometry as G
 from groundsift.operators import slabs
 from groundsift.operators.components import connected_components
 from groundsift.operators.tiles import explode_tiles
-from groundsift.session import cut, spread
+from groundsift.session import cut, ship_package, spread
 
 TILE_M = 500.0
 #: objects one task takes in a tile before the tile is cut finer
@@ -302,6 +302,8 @@ def settle_width(pieces: DataFrame, figures: DataFrame, windows: DataFrame, occu
 
 def covered_pieces(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pieces of single polygons, one object per row in, many pieces out; runs batch by batch."""
+    ship_package(objects.sparkSession)
+
     @F.pandas_udf(f"array<{G.PIECE_T}>")
     def decompose(xs: pd.Series, ys: pd.Series, sizes: pd.Series) -> pd.Series:
         def one(px, py, n):

@@ -220,3 +220,20 @@ def gaps_with_clearance(t, clearance: float = 5.0):
     occ = FS.buffered_boxes(t("parcels").select("survey_id", *BOX).unionByName(t("buildings").select("survey_id", *BOX)), clearance)
     f = FS.gap_figures(FS.free_pieces(w, occ), w)
     return f.select("survey_id", "gap_id", F.round("area", 2).alias("area_m2"), F.round("cx", 2).alias("cx"), F.round("cy", 2).alias("cy"), "touches_boundary")
+
+
+@query("a01_gap_outlines", f"""WITH RECURSIVE {_CELLS},
+c AS (SELECT survey_id, label, unnest(generate_series(i0, i1)) AS i, j FROM lab),
+sides AS (SELECT c.survey_id, c.label, 4 - count(n.i) AS open_sides FROM c LEFT JOIN fre n ON n.survey_id = c.survey_id AND abs(n.i - c.i) + abs(n.j - c.j) = 1 GROUP BY c.survey_id, c.label, c.i, c.j),
+p AS (SELECT survey_id, label, CAST(sum(open_sides) * 20 AS DOUBLE) AS length FROM sides GROUP BY survey_id, label)
+SELECT g.survey_id, CAST(g.ax AS DOUBLE) AS anchor_x, CAST(g.ay AS DOUBLE) AS anchor_y, round(g.area, 2) AS outlined_m2, p.length AS outline_m FROM gap g JOIN p ON g.label = p.label""")
+def gap_outlines(t):
+    """Rings of every gap: signed areas add up to the gap, lengths to its outline."""
+    from groundsift.operators import outlines as O
+
+    w = t("surveys")
+    pieces = FS.free_pieces(w, occupied(t))
+    anchor = FS.gap_figures(pieces, w).select("survey_id", "gap", F.col("anchor.xl0").alias("anchor_x"), F.col("anchor.y0").alias("anchor_y"))
+    rings = O.ring_figures(O.link_rings(O.boundary_sides(pieces)))
+    g = rings.groupBy("survey_id", "gap").agg(F.round(F.sum("area"), 2).alias("outlined_m2"), F.round(F.sum("length"), 2).alias("outline_m"))
+    return g.join(anchor, ["survey_id", "gap"]).drop("gap")

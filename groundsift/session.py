@@ -58,6 +58,20 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_groundsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-groundsift-', dir='/tmp')}/groundsift", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._groundsift_shipped = True
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partition by ``keys`` into the configured number of shuffle partitions.
 
@@ -65,4 +79,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     and adaptive execution would merge small partitions into few tasks.  The
     grouping that follows reuses this partitioning.
     """
+    ship_package(df.sparkSession)
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -174,7 +174,7 @@ def test_act_identity(spark, text, want):
 
 def test_text_rules(spark):
     one = lambda text, fn: spark.createDataFrame([(text,)], "t string").select(fn(F.col("t")).alias("v")).first()["v"]
-    assert one("зоны Ж1.1, Ж1 и СХ2; (И) БЖ1", X.zone_codes) == ["И", "Ж1", "Ж1.1", "СХ2"]
+    assert one("зоны Ж1.1, Ж1 и СХ2; (И) БЖ1", X.zone_codes) == ["Ж1", "Ж1.1", "И", "СХ2"]
     assert one("90:12:0001:007 1:90:12:1:5 90:12:1:2:3", X.numbers) == ["90:12:1:7"]
     assert one("РЕШЕНИЕ\nО внесении изменений в решение от 01.01.2020 № 5", X.own_act) is None
     assert tuple(one("РЕШЕНИЕ\nот 02.01.2020 № 6\nО внесении изменений в решение от 01.01.2020 № 5", X.own_act)) == ("2020-01-02", "6")

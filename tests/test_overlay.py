@@ -121,7 +121,7 @@ def test_measures_clip_distance_and_validity(spark, jts):
     items = shapes(11, 16, 300.0)
     df = geom_rows(spark, items)
     lit = lambda v: F.lit(float(v))
-    clip = G.clip_ring(F.get(F.get(F.get("g", F.lit(0)), F.lit(0)), F.lit(0)) if False else F.get(F.get(F.col("g"), F.lit(0)), F.lit(0)), lit(50), lit(50), lit(220), lit(220))
+    clip = G.clip_ring(F.get(F.get(F.col("g"), F.lit(0)), F.lit(0)), lit(50), lit(50), lit(220), lit(220))
     out = df.select("i", G.area(F.col("g")).alias("a"), G.perimeter(F.col("g")).alias("p"), G.centroid(F.col("g")).alias("c"), G.invalid_reason(F.col("g")).alias("bad"), F.abs(G.ring_area(clip)).alias("k")).collect()
     window = jts.of("POLYGON((50 50,220 50,220 220,50 220,50 50))")
     for r in out:
@@ -201,3 +201,35 @@ def test_plots_lie_in_their_gap_and_apart(spark, jts):
             least = min((q["row"], q["col"], q["angle"]) for q in every if q["gap"] == r["gap"])
             first = next(q for q in every if q["gap"] == r["gap"] and (q["row"], q["col"], q["angle"]) == least)
             assert (first["cx"], first["cy"], first["angle"]) == (r["cx"], r["cy"], r["angle"])
+
+
+def test_outlines_rebuild_the_exact_difference(spark, jts):
+    from groundsift.operators import outlines as O
+
+    size, items = 1000.0, shapes(4, 45)
+    windows = spark.createDataFrame([(1, 0.0, 0.0, size, size)], WINDOW)
+    pieces = FS.free_pieces(windows, spark.createDataFrame(rows(items), SCHEMA), side=300.0)
+    rings = {}
+    for r in O.ring_vertices(O.link_rings(O.boundary_sides(pieces))).collect():
+        rings.setdefault((r["gap"], r["ring"]), []).append((r["ord"], r["x"], r["y"]))
+    gaps = {}
+    for (gap, _), pts in rings.items():
+        ring = [(x, y) for _, x, y in sorted(pts)]
+        poly = jts.polygon(ring + ring[:1])
+        assert poly.isSimple()
+        turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+        gaps.setdefault(gap, []).append((turn, poly))
+    want = sorted(free_parts(jts, items, size), key=lambda p: p.getArea())
+    got = []
+    for parts in gaps.values():
+        shell = [p for turn, p in parts if turn > 0]
+        assert len(shell) == 1  # one shell, everything else holes
+        g = shell[0]
+        for turn, p in parts:
+            if turn < 0:
+                g = g.difference(p)
+        got.append(g)
+    got.sort(key=lambda p: p.getArea())
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a.symDifference(b).getArea() == pytest.approx(0, abs=1e-2)
