@@ -74,7 +74,9 @@ def link_rings(sides: DataFrame) -> DataFrame:
     d = r.select("id", "ring", F.when(F.col("id") == F.col("ring"), F.col("id")).otherwise(F.col("next")).alias("to"), F.when(F.col("id") == F.col("ring"), 0).otherwise(1).cast("bigint").alias("left"))
     while True:
         far = d.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        d = cut(d.join(far, "to").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left")))
+        # sides that have reached the first one leave the join, where they would all share its key
+        go_on = d.where("to <> ring").join(far, "to").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
+        d = cut(go_on.unionByName(d.where("to = ring").select("id", "ring", "to", "left")))
         if d.where("to <> ring").isEmpty():
             break
     size = d.groupBy("ring").agg(F.max("left").alias("_m"))

@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsift.session import cut
+from groundsift.session import pin
 
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
     """Add ``name``: 1-based place in ``order``, which should end in a unique key."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)).withColumn("_m", F.monotonically_increasing_id())
+    placed = pin(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)).withColumn("_m", F.monotonically_increasing_id())
     placed = placed.withColumn("_p", F.shiftrightunsigned("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions

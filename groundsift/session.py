@@ -45,7 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends there.
+
+    A written table also brings its true size to the next join, and starts
+    without the constraints a checkpointed plan carries along, which double
+    with every self join of an iterative job.
+    """
+    path = scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for callers that need the partitions and their order kept."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
