@@ -109,12 +109,15 @@ def laea_inverse(x: Column, y: Column, lon0, lat0) -> tuple[Column, Column]:
     sin_b = F.cos(c) * F.sin(b0) + F.when(rho == 0, F.lit(0.0)).otherwise(d * y * F.sin(c) * F.cos(b0) / safe)
     b = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin_b)))
     e4, e6 = WGS_E2**2, WGS_E2**3
-    lat = (b + (WGS_E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b)
-           + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + (761 * e6 / 45360) * F.sin(6 * b))
-    # the series is good to a millimetre; one Newton step on the authalic relation takes it to rounding
-    sl = F.sin(lat)
-    slope = 2 * (1 - WGS_E2) * F.cos(lat) / F.pow(1 - WGS_E2 * sl * sl, F.lit(2.0))
-    lat = lat + (_QP * F.sin(b) - _q(sl)) / slope
+
+    def refined(b):
+        series = (b + (WGS_E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b)
+                  + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + (761 * e6 / 45360) * F.sin(6 * b))
+        # the series is good to a millimetre; one Newton step on the authalic relation takes it to rounding
+        return let(series, lambda v: let(F.sin(v), lambda sl: v + (_QP * F.sin(b) - _q(sl)) / (
+            2 * (1 - WGS_E2) * F.cos(v) / F.pow(1 - WGS_E2 * sl * sl, F.lit(2.0)))))
+
+    lat = let(b, refined)
     lon = F.atan2(x * F.sin(c), d * rho * F.cos(b0) * F.cos(c) - d * d * y * F.sin(b0) * F.sin(c))
     return (F.when(rho == 0, lon0).otherwise(lon0 + F.degrees(lon)),
             F.when(rho == 0, lat0).otherwise(F.degrees(lat)))
