@@ -126,7 +126,8 @@ def version_chain(t):
     e = with_neighbours(t("events").select("user_id", "ts", "event_id"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id"])
     # row_number under a small limit is cut per task before the shuffle
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("age", F.row_number().over(w).cast("bigint")).where("age <= 10").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("prev_event_id").alias("parent"), "age")
+    top = e.withColumn("age", F.row_number().over(w)).where("age <= 10")
+    return top.select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("prev_event_id").alias("parent"), F.col("age").cast("bigint").alias("age"))
 
 
 @query("w15_contiguous_windows", """
