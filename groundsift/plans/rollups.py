@@ -420,7 +420,7 @@ def lot_list_filters(t):
     return g.select("lot_id", F.when(F.col("lot_id") % 5 == 0, "unknown").when(F.col("n") > 0, "inside").otherwise("outside").alias("shown_state"))
 
 
-@query("p29_document_list_filters", "SELECT doc_id FROM documents WHERE lang = 'fr' OR doc_id * 2 < 500")
+@query("p29_document_list_filters", "SELECT doc_id FROM documents WHERE lang = 'fr' OR doc_id * 2 IN (SELECT k FROM parcels WHERE k < 500) OR doc_id * 2 + 1 IN (SELECT k FROM parcels WHERE k < 500)")
 def document_list_filters(t):
     """Documents with a mention in the area, or with a mention on a coordinate page."""
     m = mentions(t)
