@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundsift.llm import simhash
+from groundsift.llm import simhash, substrings
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage that a document shares with an earlier one."""
+    return substrings.passages(table(spark, folder, "documents"))
