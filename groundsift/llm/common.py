@@ -29,7 +29,7 @@ def training_fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 != 0
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with the package on the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundsift.llm import simhash, substrings
+from groundsift.llm import langid, simhash, substrings
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage that a document shares with an earlier one."""
     return substrings.passages(table(spark, folder, "documents"))
+
+
+@query("op4_langid")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return langid.language_of(table(spark, folder, "documents"))
