@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundsift.llm import langid, simhash, substrings
+from groundsift.llm import langid, packing, simhash, substrings
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
