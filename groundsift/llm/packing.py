@@ -9,9 +9,10 @@ A pattern slot then owns a range of ranks of its length; pieces get their rank
 among pieces of equal length by hash buckets, and look their sequence up in the
 broadcast pattern table, which the sequence length bounds.
 
-Tokenization works on runs of white space plus the word that follows: no token
-reaches over the end of a word, so a run's ids don't depend on what stands
-around it, and each different run of a block of text is encoded once.
+Tokenization works on runs of white space plus the word that follows, less a
+comma or the like behind it: no token reaches over the end of a word, so a run's
+ids don't depend on what stands around it, and each different run of a block of
+text is encoded once.
 
 A null or empty text is the closing id alone.  Rows with a null id are packed
 like any other, repeated rows as often as they come.  An empty table gives an
@@ -24,7 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ LENGTH = 1024
 CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: runs whose ids a worker keeps; beyond it the worker starts anew
-CACHE = 400_000
+CACHE = 600_000
+#: a letter ends a run before one of these as well; "'" and what special tokens are made of don't count
+_STOPS = np.isin(np.arange(256), np.frombuffer(b'.,;:!?$&*#%"()-', np.uint8))
+_LETTERS = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 #: white space other than ASCII: such texts are encoded in one piece
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -68,7 +72,7 @@ class Encoder:
         ends = list(accumulate(map(len, ids), initial=self.at[-1]))
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), ends[-1]), np.int32)])
-        self.flat[ends[0] : ends[-1]] = [i for x in ids for i in x]
+        self.flat[ends[0] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1] - ends[0])
         first = len(self.known)
         self.known.update((r, first + n) for n, r in enumerate(runs))
         self.at += ends[1:]
@@ -78,7 +82,7 @@ class Encoder:
         data, n = block.data, len(block.data)
         opens = np.zeros(n + 1, bool)
         space = _SPACE[data]
-        opens[1:n] = space[1:] & ~space[:-1]
+        opens[1:n] = (space[1:] & ~space[:-1]) | (_STOPS[data[1:]] & _LETTERS[data[:-1]])
         opens[block.start] = True
         opens = opens[:n]
         raw = data.tobytes()
