@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsift.llm import chat, langid, mixing, packing, simhash, substrings
+from groundsift.llm import chat, langid, merkle, mixing, packing, simhash, substrings
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,27 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(rows).select("row.*", "epoch", "block", "place", "slot", "release", "due")
 
 
+@query("op8_fingerprints", r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+               coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_text FROM documents),
+    twins AS (SELECT *, left(text, n - n // 4) || left(next_text, n // 4) AS copy FROM docs),
+    trees AS (
+        SELECT *, sha256(list_aggregate(list_transform(string_split(text, chr(10) || chr(10)),
+                      lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), 'string_agg', ''))), 'string_agg', '')) AS fingerprint,
+                  sha256(list_aggregate(list_transform(string_split(copy, chr(10) || chr(10)),
+                      lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), 'string_agg', ''))), 'string_agg', '')) AS edited_fingerprint,
+                  list_distinct(string_split(regexp_replace(text, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS a,
+                  list_distinct(string_split(regexp_replace(copy, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS b,
+                  list_distinct(string_split(regexp_replace(next_text, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS c FROM twins)
+    SELECT doc_id, n AS n_chars, sha256(copy) AS edited_sha256, fingerprint, edited_fingerprint,
+           len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) AS near_edited,
+           len(list_intersect(a, c)) / CAST(len(a) + len(c) - len(list_intersect(a, c)) AS DOUBLE) AS near_next FROM trees""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document beside its edited copy and the next document."""
+    return merkle.edited(table(spark, folder, "documents"))
+
+
 @query("op9_substring_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage that a document shares with an earlier one."""
