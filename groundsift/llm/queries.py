@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsift.llm import chat, langid, merkle, mixing, packing, simhash, substrings
+from groundsift.llm import chat, langid, merkle, mixing, packing, resharding, simhash, substrings
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_sharding")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Six shards by hash of the id become eight of equal bytes; read from the files that were written."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(6))
+    _, written = resharding.reshard(docs, old, 6, [1] * 8)
+    return resharding.digests(spark.read.parquet(written))
+
+
 @query("op6_chat", r"""
     WITH rows AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
