@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator, Sequence
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from groundsift.session import cut, ship_package
 
 #: bytes of text that one block of vector work holds; a longer text makes a block of its own
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,9 +32,23 @@ def training_fold(column: str = "doc_id") -> Column:
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with the package on the workers."""
+    """``mapInArrow`` with the package on the workers, which give memory back at the end of a task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    """Workers are reused and keep what they have freed; return it to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ---------------------------------------------------------------- text blocks
