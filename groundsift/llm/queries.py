@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsift.llm import chat, langid, merkle, mixing, packing, resharding, simhash, substrings, toxicity
+from groundsift.llm import chat, embeddings, langid, merkle, mixing, packing, resharding, simhash, substrings, toxicity
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document."""
     return langid.language_of(table(spark, folder, "documents"))
+
+
+@query("op10_embeddings")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
