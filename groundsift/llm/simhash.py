@@ -79,15 +79,16 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to ``(doc_id, fp)``."""
+    """``docs(doc_id, text, ...)`` to ``(doc_id, text_key, fp)``; ``text_key`` is a hash of the text, null for a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [block_fingerprints(b, width) for b in text_blocks(batch.column("text"))]
             fp = np.concatenate(done) if done else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([single(batch.column("doc_id")), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([single(batch.column("doc_id")), single(batch.column("text_key")), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), run, "doc_id long, text_key long, fp long")
 
 
 class BkTree:
@@ -223,13 +224,37 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = 1024) -> DataFrame:
         shards = cut(shards.join(crowded, "key", "left_semi").select("fp", F.inline(_split(F.col("key"), F.col("open"), sizes))))
 
 
+def classes(prints: DataFrame, radius: int = RADIUS, crowd: int = 1024) -> DataFrame:
+    """``prints(fp, ...)``, written, to ``(fp, root)``: the least fingerprint that each reaches."""
+    nodes = cut(prints.select("fp").distinct())
+    found = components(links(nodes, radius, crowd))
+    return cut(nodes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WORDS, crowd: int = 1024) -> DataFrame:
     """``docs`` to ``(doc_id, fingerprint, component_id)``, one row per row."""
     prints = cut(fingerprints(docs, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = components(links(nodes.select("fp"), radius, crowd))
-    named = cut(nodes.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
-                .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lowest = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
+    named = classes(prints, radius, crowd)
+    low = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    lowest = cut(named.join(low, "fp").groupBy("root").agg(F.min("low").alias("component_id")))
     names = cut(named.join(lowest, "root").select("fp", "component_id"))
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept(docs: DataFrame, radius: int = RADIUS, width: int = WORDS, crowd: int = 1024) -> DataFrame:
+    """``docs`` with one row of each component: the one of least id (null last), of equal ids that of least text hash.
+
+    Columns stay as they are.
+    """
+    prints = cut(fingerprints(docs, width))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("t"))
+    low = cut(prints.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n")))
+    chosen = cut(classes(prints, radius, crowd).join(low, "fp").groupBy("root").agg(F.min("low").alias("_key")).select("_key"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("_key")).join(chosen, "_key", "left_semi")
+    repeated = prints.groupBy(key.alias("_key")).agg(F.count("*").alias("n")).where("n > 1").join(chosen, "_key", "left_semi")
+    if not repeated.isEmpty():  # rows equal in id and text
+        rows = rows.groupBy("_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.select("row.*")
+
+
