@@ -110,8 +110,9 @@ class Block:
         opens, closes = np.ones(n + 1, bool), np.ones(n + 1, bool)
         opens[1:n] = ~solid[:-1]
         closes[: n - 1 if n else 0] = ~solid[1:]
-        opens[self.start] = True
-        closes[np.maximum(self.end, 1) - 1] = True
+        some = self.end > self.start
+        opens[self.start[some]] = True
+        closes[self.end[some] - 1] = True
         self.word_start = np.flatnonzero(solid & opens[:n])
         self.word_end = np.flatnonzero(solid & closes[:n]) + 1
         #: words of row i are first_word[i]:first_word[i + 1]

@@ -1,0 +1,57 @@
+"""The pipeline's stages on small tables, against brute force."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import corpus_pipeline
+
+from test_operators import DOCS, fingerprint, prose, table
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_decide(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out = f"{tmp_path}/{name}"
+        stage(spark, seen[-1], DATA).write.parquet(out)
+        seen.append(spark.read.parquet(out))
+        assert name == "sequences" or seen[-1].columns == columns
+    ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
+    assert ids[0] == ids[1] and ids[3] == ids[4] == ids[5]  # clean documents stay; mixing and packing lose none
+    # near copies: one document of each group of fingerprints within two bits
+    prints = {r.doc_id: fingerprint(r.text, 5) for r in seen[1].collect()}
+    left = {k: prints[k] for k in ids[2]}
+    for k, f in prints.items():
+        assert any((f ^ g).bit_count() <= 2 for g in left.values()) or k in left
+    assert all((a ^ b).bit_count() > 2 for x, a in left.items() for y, b in left.items() if x < y)
+    # passages: no run of 60 words is left in two documents
+    runs = Counter()
+    for r in seen[3].collect():
+        words = r.text.lower().split()
+        runs.update({tuple(words[i : i + 60]) for i in range(len(words) - 59)})
+    assert not [w for w, n in runs.items() if n > 1]
+    rows = seen[5].collect()
+    turns = Counter(r.doc_id for r in seen[4].collect())
+    tokens = Counter()
+    for r in rows:
+        tokens[r.doc_id] += r.length
+    whole = {r.doc_id: r.doc_tokens for r in rows}
+    assert all(tokens[k] == whole[k] * n for k, n in turns.items())
+
+
+def test_run_is_the_stages(spark):
+    assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    for rows in ([], [(1, None), (2, ""), (3, "12"), (None, prose(1, 80), "aa"), (5, prose(2, 80), "aa", "s"), (5, prose(2, 80), "aa", "s"), (6, prose(3, 90), None, None)]):
+        docs = table(spark, tmp_path, rows, DOCS)
+        for name, stage in corpus_pipeline.STAGES:
+            out = f"{tmp_path}/{name}-{len(rows)}-odd"
+            stage(spark, docs, DATA).write.parquet(out)
+            docs = spark.read.parquet(out)
+        assert (docs.count() > 0) == bool(rows)
