@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from groundsift.session import cut
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node)`` and ``edges(a, b)`` to ``(node, component)``; component is the least node name."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e)
     last = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node points to the least of its neighbourhood
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
@@ -32,7 +32,5 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components did not settle")
     return (nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
             .select("node", F.coalesce("component", "node").alias("component")))

@@ -1,8 +1,7 @@
 """Exact k nearest objects with ties broken by id text.
 
-Search radii come from a pyramid of tile counts, which is small: the level of
-a hot tile is finer, so a crowd is never paired as a whole.  A left object
-whose k-th distance is within its radius is settled; the others double it.
+A left object whose k-th distance is within its radius is settled; the others
+double it, until none is open: an object may lie any distance off.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ def _top(df: DataFrame, left_keys: Sequence[str], k: int) -> DataFrame:
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, group: str = "survey_id", left_id: str = "id",
-             side: float = 100.0, max_rounds: int = 12) -> DataFrame:
+             side: float = 100.0) -> DataFrame:
     """For every left box the k nearest right boxes of the same group.
 
     ``left`` and ``right`` carry the group, an id and the box.  Result columns:
@@ -36,8 +35,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, group: str = "survey_id"
     need = r.groupBy(group).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
     todo = cut(lt.join(need, group))
     found: DataFrame | None = None
-    for step in range(max_rounds):
-        reach = side * 2**step
+    reach = side
+    while True:
         tiles = explode_tiles(todo, reach, reach)
         objects = explode_tiles(r, reach, box=tuple(f"r_{c}" for c in BOX))
         lx, ly = F.greatest(F.col("x0") - reach, F.col("r_x0")), F.greatest(F.col("y0") - reach, F.col("r_y0"))
@@ -50,5 +49,5 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, group: str = "survey_id"
         found = settled if found is None else found.unionByName(settled)
         todo = cut(todo.join(settled.select(*keys).distinct(), keys, "left_anti"))
         if todo.isEmpty():
-            break
-    return found
+            return found
+        reach *= 2

@@ -155,10 +155,13 @@ def listing_pages(t):
     """Listing pages: the given page with list items put inside its article."""
     k = F.col("page_id").cast("string")
     items = F.concat(F.lit("<ul><li><a href='/doc/"), k, F.lit(".pdf'>Документ  "), k, F.lit("</a> Дата публикации: 05.03.2024</li><li><a href=\"/s/"), k,
-                     F.lit("\">Сессия "), k, F.lit("</a> Дата публикации: 05.03.2024 Дата опубликования 06.03.2024</li></ul></article>"))
+                     F.lit("\">Сессия "), k, F.lit("</a> Дата публикации: 05.03.2024 Дата опубликования 06.03.2024</li>"),
+                     F.lit("<li><a href='https://elsewhere.example.net/x.pdf'>Чужой документ</a></li><li><a href='/doc/x.pdf?sid=1'>С запросом</a></li></ul></article>"))
     return t("pages").select("page_id", F.lit("https://docs.example.org/list/").alias("url"), F.replace(F.col("html"), F.lit("</article>"), items).alias("html"))
 
 
+#: host of the listing
+LISTING_HOSTS = ("docs.example.org",)
 _NART = "CAST((length(html) - length(replace(html, '</article>', ''))) / 10 AS BIGINT)"
 
 
@@ -166,7 +169,7 @@ _NART = "CAST((length(html) - length(replace(html, '</article>', ''))) / 10 AS B
 SELECT page_id, concat('https://docs.example.org/doc/', CAST(page_id AS VARCHAR), '.pdf') AS url, concat('Документ ', CAST(page_id AS VARCHAR)) AS title FROM pages WHERE {_NART} > 0
 UNION ALL SELECT page_id, concat('https://docs.example.org/s/', CAST(page_id AS VARCHAR)), concat('Сессия ', CAST(page_id AS VARCHAR)) FROM pages WHERE {_NART} > 0""")
 def article_links(t):
-    return listings.extract_links(listing_pages(t)).select("page_id", "url", "title").distinct()
+    return listings.extract_links(listing_pages(t), LISTING_HOSTS).select("page_id", "url", "title").distinct()
 
 
 @query("s12_dated_links", f"""
@@ -174,12 +177,12 @@ SELECT page_id, concat('Документ ', CAST(page_id AS VARCHAR)) AS title,
 UNION ALL SELECT page_id, concat('Сессия ', CAST(page_id AS VARCHAR)), NULL FROM pages WHERE {_NART} > 0""")
 def dated_links(t):
     """Date of the list item; two different dates in one item leave it open."""
-    return listings.extract_links(listing_pages(t)).select("page_id", "title", "publication_date")
+    return listings.extract_links(listing_pages(t), LISTING_HOSTS).select("page_id", "title", "publication_date")
 
 
 @query("s13_session_links", f"SELECT page_id, concat('https://docs.example.org/s/', CAST(page_id AS VARCHAR)) AS url, concat('Сессия ', CAST(page_id AS VARCHAR)) AS title FROM pages WHERE {_NART} > 0")
 def session_links(t):
-    return listings.sessions(listings.extract_links(listing_pages(t)))
+    return listings.sessions(listings.extract_links(listing_pages(t), LISTING_HOSTS))
 
 
 @query("s14_bundle_import", """

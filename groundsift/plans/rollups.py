@@ -10,7 +10,7 @@ from groundsift.operators.tiles import box_overlap, tile_join
 from groundsift.plans.evidence import card_files
 from groundsift.plans.filters import active_lot, land_group
 from groundsift.plans.joins import BOX, acts, candidates, mentions, overlay_layers
-from groundsift.plans.scalars import act_texts, operative_paragraphs, paragraph_action
+from groundsift.plans.scalars import act_texts, evidence_paragraphs, paragraph_action
 from groundsift.registry import query
 
 ROLES = ("boundary", "parcels", "roads", "exclusions", "restrictions", "buildings", "pzz", "quarters")
@@ -117,10 +117,10 @@ def ocr_rollup(t):
     return a.groupBy("number").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 2).alias("agreed_pages"), F.count_if(F.col("n") == 1).alias("single_pages"))
 
 
-@query("a15_listing_conflict", "SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS link, count(*) AS listings, count(DISTINCT substring(html, 1, 200)) > 1 AS listing_conflict FROM pages GROUP BY 1")
+@query("a15_listing_conflict", "SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS link, count(*) AS listings, count(DISTINCT html) > 1 AS listing_conflict FROM pages GROUP BY 1")
 def listing_conflict(t):
     """One url under different titles."""
-    p = t("pages").select(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", "").alias("link"), F.substring("html", 1, 200).alias("title"))
+    p = t("pages").select(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", "").alias("link"), F.sha2("html", 256).alias("title"))
     return p.groupBy("link").agg(F.count("*").alias("listings"), (F.count_distinct("title") > 1).alias("listing_conflict"))
 
 

@@ -42,13 +42,31 @@ def act_identities(t):
 
 # Words that open an operative paragraph and what they do.
 ACTIONS = (("Отменить", "cancel_reference"), ("Утвердить", "approve_text"), ("Внести", "amend_reference"))
+# What opens and what ends the operative part, where acts are read for their evidence.
+EVIDENCE_OPENS, EVIDENCE_ENDS = ("ПОСТАНОВЛЯЕТ", "решил[аи]?"), ("Приложение", "Председатель", "Временно исполняющий", "Глава администрации")
+# The same where orders of the administration are read for cancellations.
+ORDER_OPENS, ORDER_ENDS = ("ПОСТАНОВЛЯЮ",), ("Глава администрации", "Приложение", "УТВЕРЖДЕН")
 
 
-def operative_paragraphs(full):
-    """Numbered paragraphs between the operative word and the signature."""
-    body = F.get(F.split(full, r"(?iu)(?:ПОСТАНОВЛЯЕТ|ПОСТАНОВЛЯЮ|решил[аи]?)\s*:", 2), F.lit(1))
-    body = F.get(F.split(body, r"\n\s*(?:Приложение|Председатель|Временно исполняющий|Глава администрации)(?![\p{L}])", 2), F.lit(0))
-    return F.filter(F.transform(F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(body, F.lit(""))), r"\n\s*\d{1,2}\.(?!\d)\s*"), 2, 1000), X.squash), lambda p: p != "")
+def operative_paragraphs(full, opens, ends):
+    """Numbered paragraphs of the operative part, line ends kept; NULL without an opening word.
+
+    Lines are numbered by how many paragraph numbers came before; a paragraph
+    is the lines of one number.
+    """
+    part = F.get(F.split(full, rf"(?iu)(?:{'|'.join(opens)})\s*:", 2), F.lit(1))
+    lines = F.split(part, r"\n")
+    stop = F.array_position(F.transform(lines, lambda x: x.rlike(rf"(?iu)^\s*(?:{'|'.join(ends)})(?![\p{{L}}])")), F.lit(True)).cast("int")
+    kept = F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
+    numbered = F.aggregate(kept, F.array().cast("array<string>"), lambda out, x: (
+        F.when(x.rlike(r"^\s*\d{1,2}\.(?!\d)"), F.concat(out, F.array(F.regexp_replace(x, r"^\s*\d{1,2}\.\s*", ""))))
+        .when(F.size(out) > 0, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit("\n"), x))))
+        .otherwise(out)))
+    return F.filter(numbered, lambda p: F.trim(p) != "")
+
+
+def evidence_paragraphs(full):
+    return F.coalesce(F.transform(operative_paragraphs(full, EVIDENCE_OPENS, EVIDENCE_ENDS), X.squash), F.array().cast("array<string>"))
 
 
 def paragraph_action(p):
@@ -75,7 +93,7 @@ SELECT doc_id, 'act_text' AS document_role, {_DATE} AS date,
 FROM documents""")
 def act_evidence(t):
     """Role, own identity, action and cited acts, from operative paragraphs only."""
-    a = act_texts(t).withColumn("p", operative_paragraphs(F.col("full")))
+    a = act_texts(t).withColumn("p", evidence_paragraphs(F.col("full")))
     acts = F.filter(F.transform("p", paragraph_action), lambda x: x.isNotNull())
     refs = F.filter(F.transform(F.filter("p", lambda p: paragraph_action(p).isin("cancel_reference", "amend_reference")), X.act_identity), lambda x: x.isNotNull())
     a = a.select("doc_id", X.own_act(F.col("text")).alias("own"), acts.alias("acts"), F.transform(refs, lambda r: F.concat_ws("/", r["date"], r["number"])).alias("refs"))
@@ -109,7 +127,7 @@ def cancellation_relations(t):
     ref = F.concat(F.lit(" от "), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(".0"), (k % 9 + 1).cast("string"), F.lit(".2014 № "), (k % 50).cast("string"))
     line = F.when(F.col("lang") != "en", F.concat(F.lit("Признать утратившим силу постановление"), ref, F.lit(" «О порядке от 01.01.2001 № 9»"))).otherwise("Разместить решение от 01.02.2013 № 4")
     full = F.concat(F.lit("ПОСТАНОВЛЯЮ:\n1. "), line, F.lit("\n2. Контроль.\nГлава администрации"))
-    paras = F.filter(operative_paragraphs(full), lambda p: p.rlike(r"(?iu)^Признать\s+утратившим\s*и?\s+силу(?![\p{L}])"))
+    paras = F.filter(operative_paragraphs(full, ORDER_OPENS, ORDER_ENDS), lambda p: X.squash(p).rlike(r"(?iu)^Признать\s+утратившим\s*и?\s+силу(?![\p{L}])"))
     targets = F.array_distinct(F.filter(F.transform(paras, lambda p: X.act_identity(F.get(F.split(p, r"[«\"]", 2), F.lit(0)))), lambda x: x.isNotNull()))
     return t("documents").select("doc_id", F.explode(targets).alias("r")).select("doc_id", "r.date", "r.number")
 

@@ -184,3 +184,47 @@ def test_text_rules(spark):
     assert one("https://u@docs.example.org/a", lambda c: X.trusted_link(c, ["docs.example.org"])) is False
     assert one("https://docs.example.org:8443/a", lambda c: X.trusted_link(c, ["docs.example.org"])) is False
     assert one("https://docs.example.org/a", lambda c: X.trusted_link(c, ["docs.example.org"])) is True
+
+
+def test_group_ranks_keep_null_groups_and_hot_ones(spark):
+    from groundsift.operators.ranking import grouped_rank, running_total, with_neighbours
+
+    rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(40)] + [(f"g{i}", 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    got = grouped_rank(df, ["g"], ["v"]).collect()
+    assert len(got) == len(rows) and all(r.position == (r.v + 1 if r.g in ("hot", None) else 1) for r in got)
+    near = with_neighbours(df, ["g"], ["v"], ["v"]).where("g is null").orderBy("v").collect()
+    assert [r.prev_v for r in near] == [None, *range(39)]
+    total = {r.v: r.t for r in running_total(df, ["g"], ["v"], "v", "t", block=16).where("g is null").collect()}
+    assert all(total[i] == i * (i - 1) // 2 for i in range(40))
+
+
+def test_nearest_reaches_any_distance(spark):
+    from groundsift.operators.knn import knn_join
+
+    left = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0)], "survey_id long, id long, x0 double, y0 double, x1 double, y1 double")
+    right = spark.createDataFrame([(1, 7, 11.0, 0.0, 12.0, 1.0), (1, 8, 1.5e6, 0.0, 1.5e6 + 1, 1.0)], left.schema)
+    got = knn_join(left, right, 2).orderBy("rank").collect()
+    assert [(r.r_id, r.distance_m) for r in got] == [(7, 10.0), (8, 1.5e6 - 1)]
+
+
+def test_listing_tokens_follow_the_rules():
+    from groundsift.sources.listings import page_links
+
+    html = """<a href=/out>out</a><!-- <article> --><article><nav><a href=/n>nav</a></nav><script>if (a<b) '<a href=x>'</script>
+      <a href="/one&amp;two"> One <b>two</b> &amp; </a><ul><li>Дата публикации: 01.02.2024 <a href='/in'>In</a>
+      <ul><li><a href=/deep>Deep</a> Дата опубликования 03.02.2024 Дата публикации 04.02.2024</li></ul></li></ul><a href=/empty> </a></article></nav>"""
+    got = page_links([html, None, "<p>no article <a href=x>y</a>", "<article><li><a href=/z>Z</a> Дата публикации 05.05.2020</li></article>"])
+    assert [tuple(r) for r in got[["page", "href", "title", "publication_date", "articles"]].itertuples(index=False)] == [
+        (0, "/one&two", "One two &", None, 1), (0, "/in", "In", "01.02.2024", 1), (0, "/deep", "Deep", None, 1), (3, "/z", "Z", "05.05.2020", 1)]
+
+
+def test_paragraphs_by_operator(spark):
+    from pyspark.sql import functions as F
+
+    from groundsift.plans import scalars as S
+
+    text = "РЕШЕНИЕ\nрешил:\n1. Отменить решение от 01.02.2014 № 5\nв части.\n12. Утвердить.\nПредседатель\n3. Нет"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        S.evidence_paragraphs(F.col("t")).alias("a"), S.operative_paragraphs(F.col("t"), S.ORDER_OPENS, S.ORDER_ENDS).alias("b")).first()
+    assert row.a == ["Отменить решение от 01.02.2014 № 5 в части.", "Утвердить."] and row.b is None
