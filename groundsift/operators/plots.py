@@ -120,24 +120,27 @@ def feasible_squares(pieces: DataFrame, gaps: DataFrame, windows: DataFrame, occ
     return squares.join(blocked, ["survey_id", *keys], "left_anti")
 
 
-def pick_plots(squares: DataFrame, side: float, per_gap: int) -> DataFrame:
-    """Up to ``per_gap`` mutually disjoint squares per gap, least (row, col, angle) first."""
-    left = cut(squares)
+def pick_plots(squares: DataFrame, side: float, quotas: DataFrame) -> DataFrame:
+    """Up to its quota of mutually disjoint squares per gap, least (row, col, angle) first.
+
+    ``quotas``: survey_id, gap, quota.  Goes on until no gap has both room in
+    its quota and a square left.
+    """
+    left = cut(squares.join(quotas, ["survey_id", "gap"]))
     chosen: DataFrame | None = None
     order = ["row", "col", "angle"]
-    for turn in range(per_gap):
-        best = (left.groupBy("survey_id", "gap").agg(F.min(F.struct(*order, "cx", "cy")).alias("b"))
+    turn = 0
+    while True:
+        best = (left.where(F.col("quota") > turn).groupBy("survey_id", "gap").agg(F.min(F.struct(*order, "cx", "cy")).alias("b"))
                 .select("survey_id", "gap", *[F.col(f"b.{c}").alias(f"b_{c}") for c in [*order, "cx", "cy"]]))
         best = cut(best)
-        if best.isEmpty():
-            break
         pick = best.select("survey_id", "gap", F.lit(turn + 1).alias("turn"), F.col("b_cx").alias("cx"), F.col("b_cy").alias("cy"), F.col("b_angle").alias("angle"))
         chosen = pick if chosen is None else chosen.unionByName(pick)
-        if turn + 1 == per_gap:
-            break
+        if best.isEmpty():
+            return chosen
+        turn += 1
         mine = square_pieces(F.col("cx"), F.col("cy"), F.lit(float(side)), F.col("angle"))
         theirs = square_pieces(F.col("b_cx"), F.col("b_cy"), F.lit(float(side)), F.col("b_angle"))
         hit = F.exists(mine, lambda p: F.exists(theirs, lambda q: G.piece_overlap(p, q) > 1e-9))
         near = (F.abs(F.col("cx") - F.col("b_cx")) < side * 1.5) & (F.abs(F.col("cy") - F.col("b_cy")) < side * 1.5)
-        left = cut(left.join(best, ["survey_id", "gap"]).where(~(near & hit)).select(*left.columns))
-    return chosen if chosen is not None else left.select("survey_id", "gap", F.lit(0).alias("turn"), "cx", "cy", "angle").where("false")
+        left = cut(left.where(F.col("quota") > turn).join(best, ["survey_id", "gap"]).where(~(near & hit)).select(*left.columns))

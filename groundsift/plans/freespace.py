@@ -12,6 +12,7 @@ from groundsift.operators.plots import feasible_squares, pick_plots
 from groundsift.operators.tiles import box_pieces, piece_join, tile_join
 from groundsift.plans.joins import BOX, candidates, overlay_layers
 from groundsift.registry import query
+from groundsift.session import cut
 
 MIN_AREA, MAX_AREA, MIN_WIDTH = 1000.0, 20000.0, 50.0
 
@@ -181,24 +182,40 @@ def gap_overlays(t):
                                                         F.round("area_m2", 2).alias("area_m2"))
 
 
-def trial_plots(t, target_area: float = 900.0, limit_per_gap: int = 2):
+def trial_plots(t, target_area: float = 900.0, limit: int = 6):
+    """Plots of each window: a quota of ceil(limit / gaps) per gap, then the first ``limit`` in order of gap and turn."""
     pieces, f = gap_table(t, 30.0)
     kept = f.where((F.col("area") >= MIN_AREA) & F.col("wide"))
     side = target_area**0.5
     exclusions = box_pieces(t("restrictions")).select("survey_id", "id", *G.PIECE)
     squares = feasible_squares(pieces, kept.select("survey_id", "gap", *BOX), t("surveys"), occupied(t), exclusions, side)
-    return pick_plots(squares, side, limit_per_gap), kept, side
+    gaps = kept.groupBy("survey_id").agg(F.greatest(F.lit(1), F.ceil(F.lit(limit) / F.count("*"))).alias("quota"))
+    chosen = pick_plots(squares, side, kept.select("survey_id", "gap").join(gaps, "survey_id"))
+    # a window has fewer than limit + gaps plots by now
+    order = Window.partitionBy("survey_id").orderBy(F.desc("area"), F.round("cx_", 6), F.round("cy_", 6), "turn")
+    placed = chosen.join(kept.select("survey_id", "gap", "area", F.col("cx").alias("cx_"), F.col("cy").alias("cy_")), ["survey_id", "gap"])
+    placed = placed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(*chosen.columns)
+    return cut(placed), kept, side
 
 
 @query("r18_w03_trial_plots")
 def plots(t):
-    """Trial plots with a quota per gap; every gap takes its least lattice places first."""
+    """Trial plots under quota and limit; every gap takes its least lattice places first."""
     chosen, kept, side = trial_plots(t)
     return (chosen.join(kept.select("survey_id", "gap", "gap_id"), ["survey_id", "gap"])
             .select("survey_id", "gap_id", F.col("turn").cast("bigint").alias("turn"), F.round("cx", 3).alias("cx"), F.round("cy", 3).alias("cy"),
                     F.col("angle").alias("rotation_degrees"), F.lit(side * side).alias("area_m2"), F.lit("draft").alias("kind")))
 
 
+@query("w03_unplaced_gaps")
+def unplaced_gaps(t):
+    """What quota and limit left out is named: gaps, plots and gaps without a plot of each window."""
+    chosen, kept, _ = trial_plots(t)
+    gaps = kept.join(chosen.groupBy("survey_id", "gap").agg(F.count("*").alias("plots")), ["survey_id", "gap"], "left")
+    return gaps.groupBy("survey_id").agg(F.count("*").alias("gaps"), F.coalesce(F.sum("plots"), F.lit(0)).cast("bigint").alias("plots"),
+                                         F.count_if(F.col("plots").isNull()).alias("unplaced_gaps"))
+
+
 @query("u01_j28_candidate_union")
 def candidate_union(t):
     """Candidates of four kinds; a gap stands for itself only when it got no trial plot."""

@@ -179,7 +179,7 @@ def test_plots_lie_in_their_gap_and_apart(spark, jts):
     pieces = FS.free_pieces(windows, occ, side, side=150.0)
     gaps = FS.gap_figures(pieces, windows)
     squares = feasible_squares(pieces, gaps.select("survey_id", "gap", "x0", "y0", "x1", "y1"), windows, occ, box_pieces(excl).select("survey_id", "id", *G.PIECE), side)
-    chosen = pick_plots(squares, side, 3).collect()
+    chosen = pick_plots(squares, side, gaps.select("survey_id", "gap", F.lit(3).alias("quota"))).collect()
     free = free_parts(jts, items, size)
     block = jts.of("POLYGON((100 100,260 100,260 260,100 260,100 100))")
 
