@@ -366,10 +366,11 @@ def test_passages_are_found_and_cut(spark, tmp_path):
         words.insert(10, "extra")
         docs.append((i, prose(i, 60) + " " + " ".join(words) + " " + prose(i + 500, 40)))
     docs.append((100, docs[12][1]))
+    docs.append((101, prose(13, 118) + " other end"))  # a near copy: little is left
     d = table(spark, tmp_path, docs)
     got = substrings.passages(d).collect()
     texts = dict(docs)
-    assert {x.doc_id for x in got} == set(range(61, 101)) and all(x.other_id < x.doc_id and x.similarity >= 0.8 for x in got)
+    assert {x.doc_id for x in got} == set(range(61, 102)) and all(x.other_id < x.doc_id and x.similarity >= 0.8 for x in got)
     for x in got:
         piece = texts[x.doc_id].encode()[x.start_byte : x.end_byte].decode()
         assert len(piece.split()) == x.words >= 50
@@ -378,7 +379,7 @@ def test_passages_are_found_and_cut(spark, tmp_path):
     kept = substrings.without_passages(d, substrings.passages(d))
     assert kept.columns == d.columns
     left = {x.doc_id: x.text for x in kept.collect() if x.doc_id and x.doc_id > 9}
-    assert 100 not in left and left[60] == texts[60] and all(left[i] == texts[i] for i in range(10, 60))
+    assert 100 not in left and 101 not in left and left[60] == texts[60] and all(left[i] == texts[i] for i in range(10, 60))
     assert all(90 <= len(left[i].split()) <= 110 for i in range(61, 100))
     assert kept.where("doc_id is null").count() == 2
     assert substrings.passages(table(spark, tmp_path, [])).count() == 0

@@ -23,7 +23,7 @@ def test_stages_keep_columns_and_decide(spark, tmp_path):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert ids[0] == ids[1] and ids[3] == ids[4] == ids[5]  # clean documents stay; mixing and packing lose none
     # near copies: one document of each group of fingerprints within two bits
-    prints = {r.doc_id: fingerprint(r.text, 5) for r in seen[1].collect()}
+    prints = {r.doc_id: fingerprint(r.text, 3) for r in seen[1].collect()}
     left = {k: prints[k] for k in ids[2]}
     for k, f in prints.items():
         assert any((f ^ g).bit_count() <= 2 for g in left.values()) or k in left
