@@ -61,8 +61,9 @@ def types_match(df, ref) -> str | None:
 
 
 def check(spark, con, name, folder) -> tuple[str, float, float]:
-    from groundsift.registry import ORACLES, QUERIES
+    import __spark_entry__ as entry
 
+    QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
     t0 = time.time()
     df = QUERIES[name](spark, folder)
     rows = [tuple(r) for r in df.collect()]

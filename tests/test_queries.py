@@ -5,11 +5,12 @@ import collections
 import pytest
 
 import __spark_entry__ as entry
+from groundsift.registry import QUERIES
 from oracle import check, duck
 
 FOLDER = "/root/testdata/sf0.001"
 FAMILIES = collections.defaultdict(list)
-for _name in entry.queries():
+for _name in QUERIES:
     FAMILIES[_name[:2]].append(_name)
 
 
