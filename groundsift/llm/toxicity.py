@@ -274,7 +274,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> t
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / max(1, size.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, size.get(0, 0)))))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # about ``per_class`` ids a class
                .groupBy(F.xxhash64("text").alias("_t"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", "toxic"))
     return rows, size.get(1, 0) / max(1, sum(size.values()))
 
