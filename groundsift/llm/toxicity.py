@@ -160,7 +160,6 @@ def block_units(block) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     unit = flat[np.repeat(first[same], each) + inner]
     # letters written apart
     alone = (block.word_end - block.word_start <= 2).astype(np.int8)
-    alone[1:][block.word_row[1:] != block.word_row[:-1]] *= 1
     edges = np.flatnonzero(np.diff(np.concatenate([[0], alone, [0]])))
     more_row, more_unit = [], []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):

@@ -204,7 +204,6 @@ def test_language_and_rejection(spark, tmp_path):
     got = {x.doc_id: x for x in langid.language_of(d).collect()}
     assert all(got[i].lang_pred == lang and not got[i].rejected for i, _, lang in docs if i > 9)
     assert got[900].rejected and got[901].lang_pred == docs[0][2]
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3, 6) if i not in range(400)) or True
     kept = langid.kept(d)
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} >= {i for i, _, _ in docs}
     assert {x.lang_pred for x in langid.language_of(table(spark, tmp_path, ODD)).collect()} == {"und"}
