@@ -384,6 +384,17 @@ def test_passages_are_found_and_cut(spark, tmp_path):
     assert substrings.passages(table(spark, tmp_path, [])).count() == 0
 
 
+def test_rest_of_a_covered_document_stays(spark, tmp_path):
+    # B is P and under a fifth of its own words U; C holds U as well and loses it to B
+    p, u = prose(1, 700), prose(2, 120)
+    docs = [(1, p), (2, p + " " + u), (3, prose(3, 90) + " " + u), (4, p + " one two three four"), (5, p + " six seven eight nine ten")]
+    d = table(spark, tmp_path, docs)
+    left = {x.doc_id: x.text.split() for x in substrings.without_passages(d, substrings.passages(d)).collect()}
+    assert len(u.encode()) < 0.2 * len(docs[1][1].encode())
+    assert left[1] == p.split() and left[2] == u.split() and left[3] == prose(3, 90).split()
+    assert 4 not in left and left[5] == ["six", "seven", "eight", "nine", "ten"]
+
+
 def test_hot_seed_makes_no_pairs_of_all(spark, tmp_path):
     line = prose(5, 60)
     d = table(spark, tmp_path, [(i, prose(i, 30) + " " + line) for i in range(400)])
