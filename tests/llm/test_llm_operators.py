@@ -420,6 +420,42 @@ def test_chain_follows_both_texts():
     assert substrings.chain(segments)[0] == (0, 240, 0, 250, 13)
 
 
+def test_long_run_hides_no_near_predecessor():
+    far = (0, 9000, 0, 9000, 60)
+    edited = [(12000, 12000, 15000, 15000, 1), (12050, 12090, 15060, 15100, 2), (12130, 12130, 15150, 15150, 1)]
+    assert (12000, 12130, 15000, 15150, 4) in substrings.chain([far, *edited])
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9), st.integers(0, 60), st.integers(0, 9), st.integers(1, 4)), min_size=2, max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_chain_takes_the_best_predecessor_in_reach(cases):
+    segments, gap = [(a, a + n, c, c + m, k) for a, n, c, m, k in cases], 12
+    near = substrings.Near([s[3] for s in segments], gap)
+    put: list = []
+    for start, kind, i in sorted([(s[0], 1, i) for i, s in enumerate(segments)] + [(s[1], 2, i) for i, s in enumerate(segments)]):
+        _, end, ostart, oend, k = segments[i]
+        if kind == 2:
+            near.put(end, oend, k, i)
+            put.append((k, i))
+        else:
+            reach = [(k, j) for k, j in put if start - segments[j][1] <= gap and 0 < ostart - segments[j][3] <= gap]
+            assert near.top(start, ostart)[0] == max(reach, default=(-1e18, -1))[0]
+
+
+def test_alignment_where_no_word_stands_once():
+    rng = np.random.default_rng(6)
+    line = [b"no", b"stone", b"no", b"sand", b"no", b"clay"]
+    x, y = line * 20, [b"head", b"head", *line * 9, b"gap", b"gap", *line * 9]
+    assert len(substrings.matches(x, y)) == 108
+    for n, m in ((70, 90), (200, 60), (1, 3000), (130, 130)):
+        x, y = ([b"%d" % v for v in rng.integers(0, 5, k)] for k in (n, m))
+        best = len(substrings._common(x, y, 0, 0))
+        for cells in (1 << 27, 500):
+            pairs = sorted(substrings._longest(x, y, 0, 0, cells))
+            assert len(pairs) == best and all(x[i] == y[j] for i, j in pairs)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+
+
 # ---------------------------------------------------------------- 10 embeddings
 
 
