@@ -384,6 +384,36 @@ def test_passages_are_found_and_cut(spark, tmp_path):
     assert substrings.passages(table(spark, tmp_path, [])).count() == 0
 
 
+def test_fuzzy_passages_are_found_down_to_the_similarity(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    docs, cases = [], []
+    words = lambda n: ["w%x" % v for v in rng.integers(0, 1 << 40, n)]
+    for n in (50, 60, 80, 100):
+        for share in (0.1, 0.15, 0.2):
+            for _ in range(25):
+                x = words(n)
+                y = list(x)
+                for i in 1 + rng.choice(n - 2, int(share * n), replace=False):
+                    y[i] = "v%x" % rng.integers(0, 1 << 40)
+                cases.append((n, share))
+                docs += [(2 * len(cases), " ".join(words(60) + x + words(60))), (2 * len(cases) + 1, " ".join(words(60) + y + words(60)))]
+    got = {r.doc_id // 2 for r in substrings.passages(table(spark, tmp_path, docs)).collect()}
+    found = Counter(c for i, c in enumerate(cases, 1) if i in got)
+    assert all(found[c] >= 24 for c in set(cases)), sorted(found.items())
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 2)), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_a_dense_run_is_found_where_there_is_one(steps):
+    pairs = [(n + sum(a for a, _ in steps[:n]), n + sum(c for _, c in steps[:n])) for n in range(len(steps))]
+    size = lambda a, b: max(pairs[b][0] - pairs[a][0], pairs[b][1] - pairs[a][1]) + 1
+    fits = lambda a, b: size(a, b) >= 8 and b - a + 1 >= 0.8 * size(a, b)
+    got = substrings.dense_runs(pairs, 8, 0.8)
+    assert all(fits(a, b) and n == b - a + 1 for a, b, n in got)
+    taken = {k for a, b, _ in got for k in range(a, b + 1)}
+    assert not [(a, b) for a in range(len(pairs)) for b in range(a, len(pairs)) if fits(a, b) and not taken & set(range(a, b + 1))]
+
+
 def test_rest_of_a_covered_document_stays(spark, tmp_path):
     # B is P and under a fifth of its own words U; C holds U as well and loses it to B
     p, u = prose(1, 700), prose(2, 120)
