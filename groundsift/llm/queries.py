@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundsift.llm import chat, embeddings, langid, merkle, mixing, packing, resharding, simhash, substrings, toxicity
+from groundsift.llm import chat, embeddings, langid, merkle, mixing, packing, prefix_trie, resharding, simhash, substrings, topk, toxicity, whitening
 from groundsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,55 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op11_top_k", r"""
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scored AS (
+        SELECT q.r AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.x) = len(c.x)),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best matches of every fiftieth vector."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight whitened components of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_prefix_trie", r"""
+    WITH own AS (
+        SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS d, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, c - c % 20 AS base, count(*) AS n,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda a, b:
+            list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM own GROUP BY c),
+    opened AS (SELECT a.c, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS m FROM convs a LEFT JOIN convs b ON b.c = a.base),
+    turns AS (
+        SELECT o.c, t.d, t.role, t.text FROM opened o JOIN own t ON t.c = o.base AND t.d <= o.h
+        UNION ALL SELECT t.c, t.d - o.h + o.m, t.role, t.text FROM own t JOIN opened o ON o.c = t.c WHERE t.d > o.h),
+    steps AS (
+        SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns
+        UNION ALL SELECT c, 0, [], 0 FROM convs),
+    nodes AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM steps GROUP BY d, path),
+    named AS (SELECT s.c, s.d, n.conv_id, n.n_convs, n.words FROM steps s JOIN nodes n ON n.d = s.d AND n.path = s.path),
+    last AS (SELECT c, max(d) AS d FROM steps GROUP BY c),
+    links AS (SELECT DISTINCT a.conv_id AS parent, a.d AS parent_d, b.conv_id, b.d FROM named a JOIN named b ON a.c = b.c AND b.d = a.d + 1),
+    below AS (SELECT DISTINCT a.conv_id AS top, a.d AS top_d, b.conv_id, b.d, b.n_convs, b.words FROM named a JOIN named b ON a.c = b.c AND b.d >= a.d),
+    children AS (SELECT parent AS conv_id, parent_d AS d, count(*) AS n FROM links GROUP BY ALL),
+    sums AS (
+        SELECT top AS conv_id, top_d AS d, CAST(count(*) FILTER (k.n IS NULL) AS BIGINT) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+        FROM below b LEFT JOIN children k ON k.conv_id = b.conv_id AND k.d = b.d GROUP BY ALL),
+    ends AS (SELECT n.conv_id, n.d, string_agg(CAST(n.c AS VARCHAR), ',' ORDER BY n.c) AS ids FROM named n JOIN last l ON l.c = n.c AND l.d = n.d GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, l.parent AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes n JOIN sums s ON s.conv_id = n.conv_id AND s.d = n.d LEFT JOIN links l ON l.conv_id = n.conv_id AND l.d = n.d
+    LEFT JOIN children k ON k.conv_id = n.conv_id AND k.d = n.d LEFT JOIN ends e ON e.conv_id = n.conv_id AND e.d = n.d""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix trie of the conversations, each of which opens with the first turns of another."""
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.hashed(table(spark, folder, "conversations"))))
