@@ -93,7 +93,13 @@ def edges_of(pdf):
     return (*[np.concatenate(p) for p in parts], np.concatenate(owners), np.concatenate(hs, axis=1))
 
 
-def _free_in_tile(radius: float):
+def signs_of(pdf):
+    """Directions of the sides that ``edges_of`` gives."""
+    out = [slabs.ring_signs(ys, sizes) for ys, sizes in zip(pdf["ys"], pdf["sizes"]) if ys is not None and len(ys)]
+    return np.concatenate(out) if out else np.empty(0, int)
+
+
+def _free_in_tile(radius: float, winding: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         survey, tx, ty, lv, sx, sy = key
         head = pdf.iloc[0]
@@ -101,7 +107,8 @@ def _free_in_tile(radius: float):
         x1, y1, x2, y2, owner, flat = edges_of(pdf)
         near = (y2 > by0) & (y1 < by1)
         # sides right of the tile cannot bound free ground in it, but parity needs those on the left
-        pieces, links = slabs.free(x1[near], y1[near], x2[near], y2[near], owner[near], bx0, by0, bx1, by1)
+        sign = signs_of(pdf)[near] if winding else None
+        pieces, links = slabs.free(x1[near], y1[near], x2[near], y2[near], owner[near], bx0, by0, bx1, by1, sign)
         comp = slabs.components(len(pieces), links)
         wall = tuple(float(head[c]) for c in ("wx0", "wy0", "wx1", "wy1"))
         wide = _center_is_wide(pieces, x1, y1, x2, y2, flat, wall, radius)
@@ -147,14 +154,15 @@ def tile_objects(windows: DataFrame, occupied: DataFrame, halo: float, side: flo
 SUBTILE = ["survey_id", "tx", "ty", "lv", "sx", "sy"]
 
 
-def free_pieces(windows: DataFrame, occupied: DataFrame, min_width: float = 0.0, side: float = TILE_M) -> DataFrame:
+def free_pieces(windows: DataFrame, occupied: DataFrame, min_width: float = 0.0, side: float = TILE_M, winding: bool = False) -> DataFrame:
     """Free trapezoids with the gap they belong to (column ``gap``).
 
     ``windows``: survey_id, wx0..wy1; ``occupied``: survey_id, box, flat geometry.
+    With ``winding`` the geometries are offset curves, which cover what they wind around.
     """
     radius = min_width / 2
     per_tile = tile_objects(windows, occupied, radius, side)
-    raw = cut(spread(per_tile, *SUBTILE).groupBy(*SUBTILE).applyInPandas(_free_in_tile(radius), PIECE_SCHEMA)
+    raw = cut(spread(per_tile, *SUBTILE).groupBy(*SUBTILE).applyInPandas(_free_in_tile(radius, winding), PIECE_SCHEMA)
               .withColumn("node", F.concat_ws("/", *SUBTILE, "comp")))
     edges = border_links(raw)
     comps = connected_components(raw.select("node"), edges).withColumnRenamed("component", "gap")
@@ -300,8 +308,11 @@ def settle_width(pieces: DataFrame, figures: DataFrame, windows: DataFrame, occu
             .withColumn("wide", F.col("wide") | F.coalesce("_w", F.lit(False))).drop("_w"))
 
 
-def covered_pieces(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pieces of single polygons, one object per row in, many pieces out; runs batch by batch."""
+def covered_pieces(objects: DataFrame, keys: Sequence[str], winding: bool = False) -> DataFrame:
+    """Pieces of single polygons, one object per row in, many pieces out; runs batch by batch.
+
+    With ``winding`` a geometry is a set of offset curves.
+    """
     ship_package(objects.sparkSession)
 
     @F.pandas_udf(f"array<{G.PIECE_T}>")
@@ -310,7 +321,7 @@ def covered_pieces(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
             if px is None or len(px) == 0:
                 return []
             e = slabs.ring_edges(px, py, n)
-            return [dict(zip(G.PIECE, p)) for p in slabs.cover(*e, np.zeros(len(e[0]), int))]
+            return [dict(zip(G.PIECE, p)) for p in slabs.cover(*e, np.zeros(len(e[0]), int), slabs.ring_signs(py, n) if winding else None)]
         return pd.Series([one(*t) for t in zip(xs, ys, sizes)])
 
     return (objects.select(*keys, F.explode(decompose(*FLAT)).alias("p")).select(*keys, "p.*"))
@@ -333,14 +344,11 @@ def union_area(objects: DataFrame, group: Sequence[str], side: float = TILE_M) -
             .groupBy(*group).agg(F.sum("area").alias("union_area_m2")))
 
 
-def buffered_boxes(boxes: DataFrame, clearance: float, arc: int = 16) -> DataFrame:
-    """Boxes grown by ``clearance`` with round corners, ``arc`` chords to a quarter circle, as flat geometry."""
-    c = float(clearance)
-    xs, ys = [], []
-    for q, (cx, cy) in enumerate((("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))):
-        for s in range(arc + 1):
-            angle = np.pi / 2 * (q - 1 + s / arc)
-            xs.append(F.col(cx) + F.lit(c * float(np.cos(angle))))
-            ys.append(F.col(cy) + F.lit(c * float(np.sin(angle))))
-    return boxes.select("survey_id", (F.col("x0") - c).alias("x0"), (F.col("y0") - c).alias("y0"), (F.col("x1") + c).alias("x1"), (F.col("y1") + c).alias("y1"),
-                        F.array(*xs, xs[0]).alias("xs"), F.array(*ys, ys[0]).alias("ys"), F.array(F.lit(len(xs) + 1)).alias("sizes"))
+def grown_polygons(shapes: DataFrame, clearance: float, join: str = "round", arc: int = 16) -> DataFrame:
+    """``shapes(survey_id, geom)`` as offset curves with their box, for ``free_pieces(..., winding=True)``.
+
+    The sides of a grown polygon go to the tiles they reach; a closing hole, a
+    concave corner or parts that grow together need no pass of their own.
+    """
+    curves = shapes.select("survey_id", G.grown(F.col("geom"), clearance, arc, join).alias("g"), G.bounds(F.col("geom")).alias("b"))
+    return curves.select("survey_id", *[(F.col(f"b.{c}") + (clearance if c in ("x1", "y1") else -clearance)).alias(c) for c in ("x0", "y0", "x1", "y1")], *flat_geometry(F.col("g")))

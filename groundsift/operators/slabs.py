@@ -2,7 +2,9 @@
 
 Horizontal cuts at every vertex and every crossing leave slabs in which sides
 do not cross.  Inside a slab the union of polygons is a union of x-intervals,
-so both covered and free ground come out as trapezoids.
+so both covered and free ground come out as trapezoids.  A polygon covers what
+its sides enclose an odd number of times; with ``sign``, the direction of each
+side, what its curves wind around at all, as offset curves need.
 """
 
 from __future__ import annotations
@@ -29,6 +31,14 @@ def ring_edges(xs, ys, sizes):
     return x1[use], y1[use], x2[use], y2[use]
 
 
+def ring_signs(ys, sizes):
+    """Direction of the edges that ``ring_edges`` gives: -1 where a ring rises, 1 where it falls."""
+    step = np.sign(np.diff(np.asarray(ys, float)))
+    inside = np.ones(len(step), bool)
+    inside[np.cumsum(np.asarray(sizes, int))[:-1] - 1] = False
+    return -step[inside & (step != 0)].astype(int)
+
+
 def _crossing_heights(x1, y1, x2, y2, lo, hi):
     slope = (x2 - x1) / (y2 - y1)
     slanted = np.nonzero(slope != 0)[0]
@@ -42,7 +52,7 @@ def _crossing_heights(x1, y1, x2, y2, lo, hi):
     return np.concatenate(out) if out else np.empty(0)
 
 
-def slabs(x1, y1, x2, y2, owner, lo, hi):
+def slabs(x1, y1, x2, y2, owner, lo, hi, sign=None):
     """Yield (ya, yb, left edge ids, right edge ids, x tables) of the union, slab by slab from below."""
     inner = np.concatenate([y1, y2, _crossing_heights(x1, y1, x2, y2, lo, hi)])
     cuts = np.unique(np.concatenate([inner[(inner > lo) & (inner < hi)], [lo, hi]]))
@@ -58,7 +68,12 @@ def slabs(x1, y1, x2, y2, owner, lo, hi):
         xm = x1[act] + slope[act] * (mid - y1[act])
         order = np.lexsort((xm, owner[act]))
         act, xm = act[order], xm[order]
-        left, right, lm, rm = act[0::2], act[1::2], xm[0::2], xm[1::2]  # even-odd inside each owner
+        if sign is None:  # even-odd inside each owner
+            left, right, lm, rm = act[0::2], act[1::2], xm[0::2], xm[1::2]
+        else:  # an owner's windings add up to zero, so one sum serves all
+            wind = np.cumsum(sign[act])
+            opens, closes = wind - sign[act] == 0, wind == 0
+            left, right, lm, rm = act[opens], act[closes], xm[opens], xm[closes]
         order = np.argsort(lm, kind="stable")
         left, right, lm, rm = left[order], right[order], lm[order], rm[order]
         reach = np.maximum.accumulate(rm)
@@ -70,7 +85,7 @@ def slabs(x1, y1, x2, y2, owner, lo, hi):
         yield ya, yb, left[first], right[far]
 
 
-def cover(x1, y1, x2, y2, owner):
+def cover(x1, y1, x2, y2, owner, sign=None):
     """Trapezoids of the union of closed polygons."""
     if not len(y1):
         return []
@@ -80,7 +95,7 @@ def cover(x1, y1, x2, y2, owner):
         return float(x1[e] + slope[e] * (y - y1[e]))
 
     done, open_ = [], {}
-    for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, float(y1.min()), float(y2.max())):
+    for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, float(y1.min()), float(y2.max()), sign):
         now = {}
         for le, re in zip(left.tolist(), right.tolist()):
             piece = open_.pop((le, re), None)
@@ -94,7 +109,7 @@ def cover(x1, y1, x2, y2, owner):
     return [tuple(p) for p in done]
 
 
-def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1):
+def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None):
     """Free trapezoids of a rectangle and the pairs that share a stretch of horizontal side.
 
     Returns (pieces, links); a piece is (y0, y1, xl0, xl1, xr0, xr1).
@@ -118,7 +133,7 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1):
                             np.concatenate([y2, wy1]), by0, by1)
     pieces, links, below = [], [], []
     extra = np.unique(cut)
-    for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, by0, by1):
+    for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, by0, by1, sign):
         inner = extra[(extra > ya + 1e-9) & (extra < yb - 1e-9)]
         for za, zb in zip(np.concatenate([[ya], inner]), np.concatenate([inner, [yb]])):
             za, zb = float(za), float(zb)

@@ -230,15 +230,43 @@ def candidate_union(t):
     return drafts.unionByName(alone).unionByName(plots_)
 
 
+def observed_shapes(t):
+    """Four occupied roles as polygons: notched parcels, buildings, road parcels, and exclusions with a hole and a second part."""
+    from groundsift.plans.joins import road_parcels
+    from groundsift.plans.shapes import framed, l_shape
+
+    box = G.box_geom(*[F.col(c) for c in BOX])
+    return (t("parcels").select("survey_id", l_shape().alias("geom")).unionByName(t("buildings").select("survey_id", box.alias("geom")))
+            .unionByName(road_parcels(t).select("survey_id", box.alias("geom"))).unionByName(t("restrictions").select("survey_id", framed().alias("geom"))))
+
+
 @query("a02_gaps_with_clearance")
 def gaps_with_clearance(t, clearance: float = 5.0):
-    """Metric workflow: occupied layers grow by the clearance (round corners) before they are subtracted."""
+    """Metric workflow: occupied polygons grow by the clearance (round corners) before they are subtracted."""
     w = t("surveys")
-    occ = FS.buffered_boxes(t("parcels").select("survey_id", *BOX).unionByName(t("buildings").select("survey_id", *BOX)), clearance)
-    f = FS.gap_figures(FS.free_pieces(w, occ), w)
+    f = FS.gap_figures(FS.free_pieces(w, FS.grown_polygons(observed_shapes(t), clearance), winding=True), w)
     return f.select("survey_id", "gap_id", F.round("area", 2).alias("area_m2"), F.round("cx", 2).alias("cx"), F.round("cy", 2).alias("cy"), "touches_boundary")
 
 
+@query("a02_remaining_ground", """
+WITH ground AS (
+  SELECT survey_id, x0, y0, x1, (y0 + y1) / 2 AS y1 FROM parcels UNION ALL SELECT survey_id, x0, (y0 + y1) / 2, (x0 + x1) / 2, y1 FROM parcels
+  UNION ALL SELECT survey_id, x0, y0, x1, y1 FROM buildings UNION ALL SELECT survey_id, x0, y0, x1, y1 FROM parcels WHERE lower(p_name) LIKE '%red%' OR lower(p_name) LIKE '%hot%'
+  UNION ALL SELECT survey_id, x0, y0, x1, y1 FROM restrictions UNION ALL SELECT survey_id, x1 + 5, y0, x1 + 15, y0 + 10 FROM restrictions),
+cells AS (
+  SELECT DISTINCT survey_id, i, unnest(generate_series(CAST(b AS BIGINT), CAST(d AS BIGINT) - 1)) AS j FROM (
+    SELECT survey_id, b, d, unnest(generate_series(CAST(a AS BIGINT), CAST(c AS BIGINT) - 1)) AS i FROM (
+      SELECT g.survey_id, (greatest(x0 - 5, wx0) - wx0) / 5 AS a, (greatest(y0 - 5, wy0) - wy0) / 5 AS b, (least(x1 + 5, wx1) - wx0) / 5 AS c, (least(y1 + 5, wy1) - wy0) / 5 AS d
+      FROM ground g JOIN surveys s ON g.survey_id = s.survey_id) q WHERE a < c AND b < d) r)
+SELECT s.survey_id, CAST(4000000 - 25 * count(c.i) AS DOUBLE) AS remaining_m2 FROM surveys s LEFT JOIN cells c ON s.survey_id = c.survey_id GROUP BY s.survey_id""")
+def remaining_ground(t, clearance: float = 5.0):
+    """Ground left in each window when the same polygons grow by 5 m with mitred corners: holes of 10 m close, all sides stay on a lattice."""
+    w = t("surveys")
+    pieces = FS.free_pieces(w, FS.grown_polygons(observed_shapes(t), clearance, "mitre"), winding=True)
+    left = pieces.groupBy("survey_id").agg(F.sum(G.piece_area()).alias("left"))
+    return w.join(left, "survey_id", "left").select("survey_id", F.round(F.coalesce("left", F.lit(0.0)), 2).alias("remaining_m2"))
+
+
 @query("a01_gap_outlines", f"""WITH RECURSIVE {_CELLS},
 c AS (SELECT survey_id, label, unnest(generate_series(i0, i1)) AS i, j FROM lab),
 sides AS (SELECT c.survey_id, c.label, 4 - count(n.i) AS open_sides FROM c LEFT JOIN fre n ON n.survey_id = c.survey_id AND abs(n.i - c.i) + abs(n.j - c.j) = 1 GROUP BY c.survey_id, c.label, c.i, c.j),

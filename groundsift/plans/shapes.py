@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.operators import freespace as FS
 from groundsift.operators import pairs
+from groundsift.operators import validity as V
 from groundsift.operators.knn import knn_join
 from groundsift.operators.plots import square_pieces
 from groundsift.operators.tiles import TILE_M, box_pieces, explode_tiles, piece_join, tile_join
 from groundsift.plans.feeds import box_of
 from groundsift.plans.joins import BOX, candidates, road_parcels
 from groundsift.registry import query
+from groundsift.session import spread
 
 
 def cx0():
@@ -148,29 +152,82 @@ def polygon_distance(t):
     return near.select("survey_id", "id", F.col("r_id").alias("parcel_id"), F.round("d", 3).alias("distance_m"))
 
 
-@query("g09_buffer_area", "SELECT id, true AS within_one_percent FROM buildings")
+def holed():
+    """Box with a square hole of 10 m."""
+    return F.slice(framed(), 1, 1)
+
+
+_SECTOR = "8 * sin(pi() / 32)"  # of a quarter circle of radius 1, in 16 chords
+
+
+@query("g09_buffer_area", f"""
+SELECT id, round((x1 - x0) * (y1 - y0) * 0.75 + 5 * 2 * (x1 - x0 + y1 - y0) + 25 * (5 * {_SECTOR} - 1), 2) AS notched_5m,
+  round((x1 - x0) * (y1 - y0) + 8 * (x1 - x0 + y1 - y0) + 16 * 4 * {_SECTOR} - 4, 2) AS holed_4m,
+  round((x1 - x0) * (y1 - y0) + 12 * (x1 - x0 + y1 - y0) + 36 * 4 * {_SECTOR}, 2) AS holed_6m,
+  round((x1 - x0) * (y1 - y0) - 36 + 4 * (x1 - x0 + y1 - y0) + 100 + 2 * 40 + 4 * 8 * {_SECTOR}, 2) AS parts_2m FROM parcels""")
 def buffer_area(t):
-    """A box grown with round corners: its area is that of the exact shape to one percent."""
-    c = 5.0
-    b = FS.buffered_boxes(t("buildings").select("survey_id", *BOX), c)
-    ring = F.arrays_zip("xs", "ys")
-    area = G.ring_area(F.transform(ring, lambda p: F.struct(p["xs"].alias("x"), p["ys"].alias("y"))))
-    w, h = (F.col("x1") - F.col("x0") - 2 * c), (F.col("y1") - F.col("y0") - 2 * c)
-    exact = w * h + 2 * c * (w + h) + 3.141592653589793 * c * c
-    g = b.select((F.col("x0") + c).alias("x0"), (F.col("y0") + c).alias("y0"), (F.abs(area - exact) < exact * 0.01).alias("ok"), (F.col("x1") - c).alias("x1"), (F.col("y1") - c).alias("y1"))
-    return t("buildings").join(g.distinct(), list(BOX)).select("id", F.col("ok").alias("within_one_percent"))
-
-
-@query("g11_validity", """
-SELECT id, CASE p_size % 5 WHEN 1 THEN 'self-intersection' WHEN 2 THEN 'ring structure' WHEN 3 THEN 'hole outside shell' WHEN 4 THEN 'ring structure' END AS reason FROM parcels""")
+    """Polygons grown with round corners: a concave corner, a hole that shrinks, one that closes, two parts."""
+    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), G.grown(shape, c).alias("g")) for name, shape, c in (
+        ("notched_5m", l_shape(), 5.0), ("holed_4m", holed(), 4.0), ("holed_6m", holed(), 6.0), ("parts_2m", framed(), 2.0))])
+    curves = t("parcels").select("id", F.explode(kinds).alias("k")).select("id", "k.kind", *FS.flat_geometry(F.col("k.g")))
+    pieces = FS.covered_pieces(spread(curves, "id"), ["id", "kind"], winding=True)
+    areas = pieces.groupBy("id", "kind").agg(F.sum(G.piece_area()).alias("a"))
+    return areas.groupBy("id").agg(*[F.round(F.max(F.when(F.col("kind") == k, F.col("a"))), 2).alias(k) for k in ("notched_5m", "holed_4m", "holed_6m", "parts_2m")])
+
+
+_KINDS = ("CASE p_size % 16 WHEN 1 THEN 'self-intersection' WHEN 2 THEN 'ring structure' WHEN 3 THEN 'hole outside shell' WHEN 4 THEN 'ring structure' WHEN 5 THEN 'self-intersection' "
+          "WHEN 6 THEN 'nested holes' WHEN 7 THEN 'self-intersection' WHEN 8 THEN 'disconnected interior' WHEN 9 THEN 'self-intersection' WHEN 10 THEN 'nested shells' WHEN 11 THEN 'ring self-intersection' END")
+
+
+def sound_and_broken_shapes():
+    """Sixteen shapes on a box: those that break a rule and, for most, a neighbour that just keeps it."""
+    def at(dx, dy):  # from the lower left corner
+        return G.point(cx0() + dx, cy0() + dy)
+
+    def square(x, y, side):
+        return F.array(at(x, y), at(x + side, y), at(x + side, y + side), at(x, y + side), at(x, y))
+
+    box, far = G.box_ring(cx0(), cy0(), cx1(), cy1()), G.point(cx1(), cy1())
+    touching = F.array(at(0, 10), at(10, 5), at(10, 15), at(0, 10))
+    across = F.array(at(0, 20), at(20, 0), at(20, 20), at(0, 20))
+    shapes = {
+        1: F.array(F.array(F.array(at(0, 0), far, G.point(cx1(), cy0()), G.point(cx0(), cy1()), at(0, 0)))),
+        2: F.array(F.array(F.slice(box, 1, 4))),
+        3: F.array(F.array(box, G.box_ring(cx1() + 50, cy0(), cx1() + 60, cy0() + 10))),
+        4: F.array(F.array(F.array(at(0, 0), at(20, 0), at(0, 0)))),
+        5: F.array(F.array(box, square(-5, 10, 15))),  # hole over the shell
+        6: F.array(F.array(box, square(10, 10, 40), square(20, 20, 10))),
+        7: F.array(F.array(box), F.array(G.box_ring(cx1() - 10, cy0() + 10, cx1() + 20, cy1() + 10))),  # overlapping parts
+        8: F.array(F.array(box, across)),  # a hole that cuts a corner off
+        9: F.array(F.array(box), F.array(G.box_ring(cx1(), cy0(), cx1() + 20, cy1()))),  # parts along one side
+        10: F.array(F.array(box), F.array(square(10, 10, 20))),
+        11: F.array(F.array(F.array(at(0, 0), at(40, 0), at(20, 20), at(40, 40), at(0, 40), at(20, 20), at(0, 0)))),  # one ring, twice through a point
+        12: F.array(F.array(box, touching)),  # a hole on the shell at one point
+        13: F.array(F.array(box), F.array(G.box_ring(cx1(), cy1(), cx1() + 20, cy1() + 20))),  # parts at one corner
+        14: F.array(F.array(box, square(10, 10, 40)), F.array(square(20, 20, 20))),  # a part in a hole
+        15: F.array(F.array(box, square(10, 10, 10), square(20, 20, 10))),  # holes at one corner
+    }
+    kind, out = F.col("p_size") % 16, F.when(F.lit(False), framed())
+    for k, shape in shapes.items():
+        out = out.when(kind == k, shape)
+    return out.otherwise(framed())
+
+
+@query("g11_validity", f"SELECT id, {_KINDS} AS reason FROM parcels")
 def validity(t):
-    bow = F.array(F.array(F.array(G.point(cx0(), cy0()), G.point(cx1(), cy1()), G.point(cx1(), cy0()), G.point(cx0(), cy1()), G.point(cx0(), cy0()))))
-    open_ = F.array(F.array(F.array(G.point(cx0(), cy0()), G.point(cx1(), cy0()), G.point(cx1(), cy1()), G.point(cx0(), cy1()))))
-    away = F.array(F.array(G.box_ring(cx0(), cy0(), cx1(), cy1()), G.box_ring(cx1() + 50, cy0(), cx1() + 60, cy0() + 10)))
-    short = F.array(F.array(F.array(G.point(cx0(), cy0()), G.point(cx1(), cy0()), G.point(cx0(), cy0()))))
-    kind = F.col("p_size") % 5
-    g = F.when(kind == 0, framed()).when(kind == 1, bow).when(kind == 2, open_).when(kind == 3, away).otherwise(short)
-    return t("parcels").select("id", "p_size", g.alias("g")).select("id", G.invalid_reason(F.col("g")).alias("reason"))
+    return V.reasons(t("parcels").select("id", sound_and_broken_shapes().alias("geom")))
+
+
+@query("g11_long_rings", """
+SELECT survey_id, count(*) AS corners, CASE WHEN survey_id % 2 = 1 THEN 'self-intersection' END AS reason FROM lots GROUP BY survey_id HAVING count(*) >= 8""")
+def long_rings(t):
+    """One ring a window through as many points as it has lots; every other one has two corners swapped."""
+    n = t("lots").groupBy("survey_id").agg(F.count("*").alias("corners")).where("corners >= 8")
+    turn = lambda i: 2 * math.pi * i / F.col("corners")
+    place = lambda i: F.when((F.col("survey_id") % 2 == 1) & (i == 1), F.lit(2)).when((F.col("survey_id") % 2 == 1) & (i == 2), F.lit(1)).otherwise(i % F.col("corners"))
+    ring = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("corners")), lambda i: G.point(1000 * F.cos(turn(place(i))), 1000 * F.sin(turn(place(i)))))
+    made = n.withColumn("geom", F.array(F.array(ring)))
+    return V.reasons(made, "survey_id").join(n, "survey_id").select("survey_id", "corners", "reason")
 
 
 @query("g12_coordinate_range", "SELECT id, NOT (p_size % 3 = 1 OR p_size % 3 = 2) AS usable FROM parcels")
