@@ -89,14 +89,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
                coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_text FROM documents),
     twins AS (SELECT *, left(text, n - n // 4) || left(next_text, n // 4) AS copy FROM docs),
+    leaves AS (
+        SELECT *, regexp_replace(text, '([acegikmoqsuwyACEGIKMOQSUWY02468.,;:!?]|[^\x00-\x7F]) ', '\1' || chr(1), 'g') AS t,
+                  regexp_replace(copy, '([acegikmoqsuwyACEGIKMOQSUWY02468.,;:!?]|[^\x00-\x7F]) ', '\1' || chr(1), 'g') AS u,
+                  regexp_replace(next_text, '([acegikmoqsuwyACEGIKMOQSUWY02468.,;:!?]|[^\x00-\x7F]) ', '\1' || chr(1), 'g') AS v FROM twins),
     trees AS (
-        SELECT *, sha256(list_aggregate(list_transform(string_split(text, chr(10) || chr(10)),
-                      lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), 'string_agg', ''))), 'string_agg', '')) AS fingerprint,
-                  sha256(list_aggregate(list_transform(string_split(copy, chr(10) || chr(10)),
-                      lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), 'string_agg', ''))), 'string_agg', '')) AS edited_fingerprint,
-                  list_distinct(string_split(regexp_replace(text, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS a,
-                  list_distinct(string_split(regexp_replace(copy, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS b,
-                  list_distinct(string_split(regexp_replace(next_text, '([aeoAEOéñ.,;:!?。，]) ', '\1' || chr(10), 'g'), chr(10))) AS c FROM twins)
+        SELECT *, sha256(list_aggregate(list_transform(string_split(t, chr(10) || chr(10)), lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)),
+                      lambda p: sha256(list_aggregate(list_transform(string_split(p, chr(1)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', ''))), 'string_agg', '')) AS fingerprint,
+                  sha256(list_aggregate(list_transform(string_split(u, chr(10) || chr(10)), lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)),
+                      lambda p: sha256(list_aggregate(list_transform(string_split(p, chr(1)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', ''))), 'string_agg', '')) AS edited_fingerprint,
+                  list_distinct(string_split(replace(t, chr(10), chr(1)), chr(1))) AS a, list_distinct(string_split(replace(u, chr(10), chr(1)), chr(1))) AS b,
+                  list_distinct(string_split(replace(v, chr(10), chr(1)), chr(1))) AS c FROM leaves)
     SELECT doc_id, n AS n_chars, sha256(copy) AS edited_sha256, fingerprint, edited_fingerprint,
            len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) AS near_edited,
            len(list_intersect(a, c)) / CAST(len(a) + len(c) - len(list_intersect(a, c)) AS DOUBLE) AS near_next FROM trees""")

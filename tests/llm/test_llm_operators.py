@@ -521,3 +521,13 @@ def test_embeddings_against_all_pairs(spark, tmp_path, crowd):
             want[k, 0, k] += 1
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == want
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_cut_passages_leave_other_columns_alone(spark, tmp_path):
+    names = "d k row spans new text_key _key _new _spans _d _k".split()
+    shared = prose(9, 80)
+    rows = [(1, prose(1, 40) + " " + shared, *["mine"] * len(names)), (2, prose(2, 40) + " " + shared, *["yours"] * len(names)), (None, shared, *["none"] * len(names)), (3, None, *["empty"] * len(names))]
+    d = table(spark, tmp_path, rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: r for r in substrings.without_passages(d, substrings.passages(d)).collect()}
+    assert {i: {r[n] for n in names} for i, r in got.items()} == {1: {"mine"}, 2: {"yours"}, None: {"none"}, 3: {"empty"}}
+    assert got[1].text == rows[0][1] and got[2].text.split() == prose(2, 40).split() and got[3].text is None
