@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import text as X
-from groundsift.operators.knn import knn_join
+from groundsift.operators.knn import connected, nearest_polygons
 from groundsift.operators.overlap import box_union_area, clip_box
 from groundsift.operators.tiles import box_distance, box_overlap, distance_join, tile_join
 from groundsift.registry import query
@@ -61,13 +61,33 @@ def window_overlays(t):
             .agg(F.count("*").alias("n"), F.round(F.sum("a"), 2).alias("area_m2")))
 
 
+def notched(df):
+    """Boxes without their upper right quarter, as flat polygons; keeps survey, id and box."""
+    x0, y0, x1, y1 = (F.col(c) for c in BOX)
+    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
+    return df.select("survey_id", "id", *BOX, F.array(x0, x1, x1, xm, xm, x0, x0).alias("xs"), F.array(y0, y0, ym, ym, y1, y1, y0).alias("ys"), F.array(F.lit(7)).alias("sizes"))
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL: distance of two boxes given as four expressions each."""
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = a, b
+    return f"sqrt(power(greatest(0, {bx0} - {ax1}, {ax0} - {bx1}), 2) + power(greatest(0, {by0} - {ay1}, {ay0} - {by1}), 2))"
+
+
+def _halves(t: str) -> list[tuple[str, ...]]:
+    return [(f"{t}.x0", f"{t}.y0", f"{t}.x1", f"({t}.y0 + {t}.y1) / 2"), (f"{t}.x0", f"({t}.y0 + {t}.y1) / 2", f"({t}.x0 + {t}.x1) / 2", f"{t}.y1")]
+
+
+_NOTCHED = "least(" + ", ".join(_apart(a, b) for a in _halves("a") for b in _halves("b")) + ")"
+
+
 @query("j04_nearest_parcels", f"""
-WITH {_CAND}, d AS (SELECT a.survey_id, a.id, b.id AS parcel_id, {_DIST} AS dist,
-  row_number() OVER (PARTITION BY a.survey_id, a.id ORDER BY {_DIST}, b.id) AS rank
-  FROM cand a JOIN parcels b ON a.survey_id = b.survey_id)
-SELECT survey_id, id, parcel_id, rank, round(dist, 1) AS distance_m FROM d WHERE rank <= 5""")
+WITH {_CAND}, d AS (SELECT a.survey_id, a.id, b.id AS parcel_id, {_NOTCHED} AS dist FROM cand a JOIN parcels b ON a.survey_id = b.survey_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY survey_id, id ORDER BY dist, parcel_id) AS rank FROM d)
+SELECT survey_id, id, parcel_id, rank, round(dist, 1) AS distance_m FROM r WHERE rank <= 5""")
 def nearest_parcels(t):
-    return (knn_join(candidates(t), t("parcels"), 5)
+    """Five nearest parcels of every candidate, all of them notched polygons."""
+    return (nearest_polygons(notched(candidates(t)), notched(t("parcels")), 5)
             .select("survey_id", "id", F.col("r_id").alias("parcel_id"), "rank", F.round("distance_m", 1).alias("distance_m")))
 
 
@@ -91,22 +111,24 @@ def road_designation(t):
 
 
 @query("j05_nearest_road", f"""
-WITH {_CAND}, d AS (SELECT a.survey_id, a.id, b.id AS road_id, {_DIST} AS dist,
-  row_number() OVER (PARTITION BY a.survey_id, a.id ORDER BY {_DIST}, b.id) AS rank
-  FROM cand a JOIN parcels b ON a.survey_id = b.survey_id WHERE lower(b.p_name) LIKE '%red%' OR lower(b.p_name) LIKE '%hot%')
-SELECT survey_id, id, road_id, round(dist, 1) AS distance_m, false AS legal_access_confirmed FROM d WHERE rank = 1""")
+WITH {_CAND}, d AS (SELECT a.survey_id, a.id, b.id AS road_id, {_NOTCHED} AS dist
+  FROM cand a JOIN parcels b ON a.survey_id = b.survey_id WHERE lower(b.p_name) LIKE '%red%' OR lower(b.p_name) LIKE '%hot%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY survey_id, id ORDER BY dist, road_id) AS rank FROM d)
+SELECT survey_id, id, road_id, round(dist, 1) AS distance_m, false AS legal_access_confirmed FROM r WHERE rank = 1""")
 def nearest_road(t):
-    return (knn_join(candidates(t), road_parcels(t), 1, side=250.0)
+    return (nearest_polygons(notched(candidates(t)), notched(road_parcels(t)), 1)
             .select("survey_id", "id", F.col("r_id").alias("road_id"), F.round("distance_m", 1).alias("distance_m"),
                     F.lit(False).alias("legal_access_confirmed")))
 
 
 @query("j06_neighbours_within", f"""
-WITH {_CAND} SELECT a.survey_id, a.id, b.id AS neighbour_id, round({_DIST}, 2) AS distance_m
-FROM cand a JOIN parcels b ON a.survey_id = b.survey_id WHERE {_DIST} <= 21""")
+WITH {_CAND} SELECT a.survey_id, a.id, b.id AS neighbour_id, round({_NOTCHED}, 2) AS distance_m
+FROM cand a JOIN parcels b ON a.survey_id = b.survey_id WHERE {_NOTCHED} <= 21""")
 def neighbours_within(t, clearance: float = 20.0):
-    near = distance_join(candidates(t), t("parcels").select("survey_id", "id", *BOX), max(clearance + 1, 5.0))
-    return near.select("survey_id", "id", F.col("r_id").alias("neighbour_id"), F.round("distance_m", 2).alias("distance_m"))
+    """Parcels not further from a candidate than its clearance and a metre; boxes only preselect."""
+    near = distance_join(notched(candidates(t)), notched(t("parcels")), max(clearance + 1, 5.0)).drop("distance_m")
+    found = connected(near).where(F.col("c.d") <= max(clearance + 1, 5.0))
+    return found.select("survey_id", "id", F.col("r_id").alias("neighbour_id"), F.round("c.d", 2).alias("distance_m"))
 
 
 @query("j07_context_matches", f"""

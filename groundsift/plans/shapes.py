@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.operators import freespace as FS
 from groundsift.operators import pairs
 from groundsift.operators import validity as V
-from groundsift.operators.knn import knn_join
+from groundsift.operators.knn import connected, knn_join, nearest_polygons
 from groundsift.operators.plots import square_pieces
-from groundsift.operators.tiles import TILE_M, box_pieces, explode_tiles, piece_join, tile_join
+from groundsift.operators.tiles import TILE_M, box_pieces, distance_join, explode_tiles, piece_join, tile_join
 from groundsift.plans.feeds import box_of
-from groundsift.plans.joins import BOX, candidates, road_parcels
+from groundsift.plans.joins import _NOTCHED, BOX, candidates, notched, road_parcels
 from groundsift.registry import query
 from groundsift.session import spread
 
@@ -145,11 +146,25 @@ WITH b AS (SELECT b.survey_id, b.id, p.id AS parcel_id, least(
 SELECT survey_id, id, parcel_id, round(d, 3) AS distance_m FROM b WHERE d <= 15""")
 def polygon_distance(t):
     """Distance to L-shapes; boxes only preselect."""
-    p = t("parcels").select("survey_id", "id", *BOX, l_shape().alias("g"))
-    b = t("buildings").select("survey_id", "id", *BOX, box_of(None).alias("g"))
-    grown = b.withColumns({"x0": cx0() - 15, "y0": cy0() - 15, "x1": cx1() + 15, "y1": cy1() + 15})
-    near = tile_join(grown, p, touch=True).withColumn("d", pairs.connect(F.col("g"), F.col("r_g"))["d"]).where("d <= 15")
-    return near.select("survey_id", "id", F.col("r_id").alias("parcel_id"), F.round("d", 3).alias("distance_m"))
+    b = t("buildings").select("survey_id", "id", *BOX, *FS.box_flat())
+    near = connected(distance_join(b, notched(t("parcels")), 15.0).drop("distance_m")).where("c.d <= 15")
+    return near.select("survey_id", "id", F.col("r_id").alias("parcel_id"), F.round("c.d", 3).alias("distance_m"))
+
+
+@query("g18_polygon_connections", f"""
+WITH d AS (SELECT a.id, b.id AS parcel_id, {_NOTCHED} AS d FROM parcels a JOIN parcels b ON a.survey_id = b.survey_id AND a.id <> b.id AND b.p_type = 'PROMO'),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, parcel_id) AS n FROM d)
+SELECT id, parcel_id, round(d, 3) AS length_m, true AS starts_on_own, true AS ends_on_other FROM r WHERE n = 1""")
+def polygon_connections(t):
+    """Every notched parcel and the nearest offered one other than itself: the segment between them starts and ends on their outlines."""
+    other = notched(t("parcels").where("p_type = 'PROMO'"))
+    two = nearest_polygons(notched(t("parcels")), other, 2).where("id <> r_id")
+    first = two.withColumn("n", F.row_number().over(Window.partitionBy("survey_id", "id").orderBy("rank"))).where("n = 1")
+    shape = t("parcels").select("id", l_shape().alias("g"))
+    j = first.join(shape, "id").join(shape.select(F.col("id").alias("r_id"), F.col("g").alias("h")), "r_id")
+    lies = lambda g, x, y: pairs.reach(G.point(F.col(x), F.col(y)), pairs.edges(F.col(g))) < 1e-6
+    apart = F.col("distance_m") > 0
+    return j.select("id", F.col("r_id").alias("parcel_id"), F.round("distance_m", 3).alias("length_m"), (~apart | lies("g", "c.ax", "c.ay")).alias("starts_on_own"), (~apart | lies("h", "c.bx", "c.by")).alias("ends_on_other"))
 
 
 def holed():
