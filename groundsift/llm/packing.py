@@ -37,8 +37,10 @@ from groundsift.llm.common import _SPACE, arrow_map, cut, rank_in, single, text_
 LENGTH = 1024
 CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: runs whose ids a worker keeps; beyond it the worker starts anew
+#: runs whose ids a worker keeps in each of two generations; runs that come up again move on to the younger one
 CACHE = 600_000
+#: bytes of text that are looked up together
+BLOCK = 4 << 20
 #: a letter ends a run before one of these as well; "'" and what special tokens are made of don't count
 _STOPS = np.isin(np.arange(256), np.frombuffer(b'.,;:!?$&*#%"()-', np.uint8))
 _LETTERS = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
@@ -63,16 +65,31 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        """The ids known so far become the older generation."""
+        self.older = (getattr(self, "known", {}), getattr(self, "at", [0]), getattr(self, "flat", np.zeros(0, np.int32)))
         self.known: dict[bytes, int] = {}
         self.at = [0]
         self.flat = np.zeros(1 << 16, np.int32)
 
     def _learn(self, runs: list[bytes]) -> None:
+        known, at, flat = self.older
+        again = [r for r in runs if r in known]
+        if again:
+            place = np.fromiter((known[r] for r in again), np.int64, len(again))
+            bounds = np.array(at, np.int64)
+            size = np.diff(bounds)[place]
+            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self._keep(again, size.tolist(), flat[np.repeat(bounds[place], size) + inner])
+            runs = [r for r in runs if r not in known]
         ids = [e.ids for e in self.model.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
-        ends = list(accumulate(map(len, ids), initial=self.at[-1]))
+        size = list(map(len, ids))
+        self._keep(runs, size, np.fromiter(chain.from_iterable(ids), np.int32, sum(size)))
+
+    def _keep(self, runs: list[bytes], sizes: list[int], ids: np.ndarray) -> None:
+        ends = list(accumulate(sizes, initial=self.at[-1]))
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), ends[-1]), np.int32)])
-        self.flat[ends[0] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1] - ends[0])
+        self.flat[ends[0] : ends[-1]] = ids
         first = len(self.known)
         self.known.update((r, first + n) for n, r in enumerate(runs))
         self.at += ends[1:]
@@ -83,6 +100,8 @@ class Encoder:
         opens = np.zeros(n + 1, bool)
         space = _SPACE[data]
         opens[1:n] = (space[1:] & ~space[:-1]) | (_STOPS[data[1:]] & _LETTERS[data[:-1]])
+        # a lone line end or tab before a letter is a token of its own
+        opens[2:n] |= _LETTERS[data[2:]] & space[1:-1] & (data[1:-1] != 32) & ~space[:-2]
         opens[block.start] = True
         opens = opens[:n]
         raw = data.tobytes()
@@ -130,7 +149,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         for batch in batches:
             doc = single(batch.column("doc_id"))
-            for block in text_blocks(batch.column("text")):
+            for block in text_blocks(batch.column("text"), BLOCK):
                 ids, bounds = encoder.encode(block)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 tokens = np.diff(bounds)
