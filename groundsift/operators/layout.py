@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundsift.session import spread
@@ -55,6 +55,11 @@ def cells(rows: DataFrame, page: Sequence[str], gap: float = 0.018) -> DataFrame
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def numeric_cell(text: Column) -> Column:
+    """Cells that may hold a coordinate: five digits or more, besides them only marks and letters taken for a zero."""
+    return (F.regexp_count(text, F.lit(r"\d")) >= 5) & text.rlike(r"^[-\d\s.,ОOоo]+$")
+
+
 def anchors(items: DataFrame, page: Sequence[str], x: str = "x0", gap: float = 0.04, least: int = 2) -> DataFrame:
     """Column positions: clusters of x values with their median, in reading order."""
     w = Window.partitionBy(*page).orderBy(x)

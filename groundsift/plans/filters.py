@@ -277,8 +277,8 @@ def sparse_pages(t):
 @query("p32_reference_choices", """
 SELECT doc_id, concat('90:12:', CAST(survey_id AS VARCHAR), ':', CAST(doc_id * 2 AS VARCHAR)) AS cadastral_number FROM doc_pages WHERE page = 3 AND text LIKE 'СК-63%'""")
 def reference_choices(t):
-    """Documents with exactly one CRS label and one labelled control number on the coordinate page."""
-    p = t("doc_pages").where("page = 3")
+    """Pages, of all there are, with exactly one CRS label and one labelled control number."""
+    p = t("doc_pages")
     g = p.select("doc_id", F.transform(X.crs_labels(F.col("text")), X.crs_name).alias("names"), X.numbers(F.col("text")).alias("nums"))
     return (g.where((F.size(F.array_distinct("names")) == 1) & (F.get("names", F.lit(0)) == "СК63") & (F.size("nums") == 1))
             .select("doc_id", F.get("nums", F.lit(0)).alias("cadastral_number")))

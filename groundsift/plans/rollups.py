@@ -91,29 +91,23 @@ def crs_status(t):
 
 
 def readings(t):
-    """Numbers read from two views: the role tells the view, words of three letters stand for numbers."""
-    c = t("conversations").where("role <> 'system'")
-    return c.select("conv_id", F.col("role").alias("view"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^| )([a-z]{3})(?= |$)"), F.lit(1))).alias("number")).distinct()
+    """Numbers read from two views of every turn, line by line: assistants are one view, all others the other; words of three letters stand for numbers."""
+    c = t("conversations").select("conv_id", F.when(F.col("role") == "assistant", 2).otherwise(1).alias("view"), F.explode(F.split(F.lower("text"), r"\s+")).alias("number"))
+    return c.where(F.col("number").rlike(r"^[a-z]{3}$")).distinct()
 
 
-_READ = """rd AS (SELECT DISTINCT conv_id, role AS view, w AS number FROM (SELECT conv_id, role, unnest(string_split(lower(text), ' ')) AS w FROM conversations WHERE role <> 'system' AND text NOT LIKE '%' || chr(10) || '%') WHERE regexp_matches(w, '^[a-z]{3}$'))"""
+_READ = """rd AS (SELECT DISTINCT conv_id, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS view, w AS number FROM (SELECT conv_id, role, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM conversations) WHERE regexp_matches(w, '^[a-z]{3}$'))"""
 
 
 @query("a13_u04_reading_agreement", f"WITH {_READ} SELECT conv_id, number, CASE WHEN count(*) = 2 THEN 'both' ELSE 'one' END AS agreement FROM rd GROUP BY conv_id, number")
 def reading_agreement(t):
-    r = readings_single_line(t)
+    r = readings(t)
     return r.groupBy("conv_id", "number").agg(F.count("*").alias("n")).select("conv_id", "number", F.when(F.col("n") == 2, "both").otherwise("one").alias("agreement"))
 
 
-def readings_single_line(t):
-    c = t("conversations").where((F.col("role") != "system") & ~F.col("text").contains("\n"))
-    w = c.select("conv_id", F.col("role").alias("view"), F.explode(F.split(F.lower("text"), " ")).alias("number"))
-    return w.where(F.col("number").rlike(r"^[a-z]{3}$")).distinct()
-
-
 @query("a14_ocr_rollup", f"WITH {_READ}, a AS (SELECT conv_id, number, count(*) AS n FROM rd GROUP BY conv_id, number) SELECT number, count(*) AS pages, count(*) FILTER (WHERE n = 2) AS agreed_pages, count(*) FILTER (WHERE n = 1) AS single_pages FROM a GROUP BY number")
 def ocr_rollup(t):
-    a = readings_single_line(t).groupBy("conv_id", "number").agg(F.count("*").alias("n"))
+    a = readings(t).groupBy("conv_id", "number").agg(F.count("*").alias("n"))
     return a.groupBy("number").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 2).alias("agreed_pages"), F.count_if(F.col("n") == 1).alias("single_pages"))
 
 
@@ -151,10 +145,10 @@ def archive_counters(t):
 
 
 @query("a19_map_coverage", """
-SELECT survey_id, count(*) AS pages, count(*) FILTER (WHERE doc_id % 3 = 0) AS rendered, count(*) FILTER (WHERE doc_id % 3 = 1) AS remaining, count(*) FILTER (WHERE doc_id % 3 = 2) AS errors FROM doc_pages WHERE page = 2 GROUP BY survey_id""")
+SELECT survey_id, count(*) AS pages, count(*) FILTER (WHERE doc_id % 3 = 0) AS rendered, count(*) FILTER (WHERE doc_id % 3 = 1) AS remaining, count(*) FILTER (WHERE doc_id % 3 = 2) AS errors FROM doc_pages GROUP BY survey_id""")
 def map_coverage(t):
     k = F.col("doc_id") % 3
-    return t("doc_pages").where("page = 2").groupBy("survey_id").agg(F.count("*").alias("pages"), F.count_if(k == 0).alias("rendered"), F.count_if(k == 1).alias("remaining"), F.count_if(k == 2).alias("errors"))
+    return t("doc_pages").groupBy("survey_id").agg(F.count("*").alias("pages"), F.count_if(k == 0).alias("rendered"), F.count_if(k == 1).alias("remaining"), F.count_if(k == 2).alias("errors"))
 
 
 @query("a20_unread_pages", "SELECT l_suppkey AS project, CAST(sum(greatest(0, l_quantity - 40)) AS BIGINT) AS unread, count(*) FILTER (WHERE l_quantity > 40 AND l_quantity <= 48) AS queued, count(*) FILTER (WHERE l_quantity > 48) AS limited FROM lineitem GROUP BY l_suppkey")
@@ -337,11 +331,11 @@ def land_status(t):
 
 
 @query("a35_map_pages", """
-SELECT doc_id, page, CASE WHEN lang = 'fr' THEN 'map' ELSE 'reference' END AS kind, concat('Ж', CAST(1 + doc_id % 4 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '.1' ELSE '' END, ',СХ2') AS zone_hints FROM doc_pages JOIN documents USING (doc_id) WHERE page = 2""")
+SELECT doc_id, page, CASE WHEN lang = 'fr' THEN 'map' ELSE 'reference' END AS kind, CASE WHEN page = 2 THEN concat('Ж', CAST(1 + doc_id % 4 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '.1' ELSE '' END, ',СХ2') ELSE '' END AS zone_hints FROM doc_pages JOIN documents USING (doc_id)""")
 def map_pages(t):
     """Pages that show a zoning map: both editions make a map page, otherwise a reference."""
     text = F.concat(F.lit("Фрагмент карты градостроительного зонирования. Старая редакция. "), F.when(F.col("lang") == "fr", "Новая  редакция. ").otherwise(""), F.col("page_text"))
-    p = t("doc_pages").where("page = 2").select("doc_id", "page", F.col("text").alias("page_text")).join(t("documents").select("doc_id", "lang"), "doc_id").withColumn("body", text)
+    p = t("doc_pages").select("doc_id", "page", F.col("text").alias("page_text")).join(t("documents").select("doc_id", "lang"), "doc_id").withColumn("body", text)
     p = p.where(F.col("body").rlike(r"(?iu)фрагмент\s+карты\s+градостроительного\s*зонирования"))
     both = F.col("body").rlike(r"(?iu)старая\s+редакция") & F.col("body").rlike(r"(?iu)новая\s+редакция")
     return p.select("doc_id", "page", F.when(both, "map").otherwise("reference").alias("kind"), F.array_join(X.map_zone_codes(F.col("page_text")), ",").alias("zone_hints"))

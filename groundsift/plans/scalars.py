@@ -78,33 +78,33 @@ def paragraph_action(p):
 
 
 def act_texts(t):
-    """Act text of each document: heading page, then an operative part made from the document key."""
+    """All pages; the heading page of each document goes on with an operative part made from the document key."""
     k = F.col("doc_id")
     verb = F.when(k % 3 == 0, "Отменить").when(k % 3 == 1, "Внести изменения в").otherwise("Утвердить")
     ref = F.concat(F.lit(" решение от "), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(".0"), (k % 9 + 1).cast("string"), F.lit(".2014 № "), (k % 50).cast("string"))
     tail = F.concat(F.lit("\nрешил:\n1. "), verb, ref, F.lit(".\n2. "), F.when(k % 7 == 0, "Отменить прежнее решение.").otherwise("Контроль оставить за собой."), F.lit("\nПредседатель"))
-    return t("doc_pages").where("page = 2").select("doc_id", "text", F.concat("text", tail).alias("full"))
+    return t("doc_pages").select("doc_id", "page", "text", F.when(F.col("page") == 2, F.concat("text", tail)).otherwise(F.col("text")).alias("full"))
 
 
 @query("f05_act_evidence", f"""
-SELECT doc_id, 'act_text' AS document_role, {_DATE} AS date,
+SELECT doc_id, CAST(2 AS BIGINT) AS page, 'act_text' AS document_role, {_DATE} AS date,
   CASE WHEN doc_id % 7 = 0 AND doc_id % 3 <> 0 THEN 'multiple_text_actions' WHEN doc_id % 3 = 0 THEN 'cancel_reference' WHEN doc_id % 3 = 1 THEN 'amend_reference' ELSE 'approve_text' END AS action,
   CASE WHEN doc_id % 3 < 2 THEN concat(printf('2014-%02d-%02d', doc_id % 9 + 1, doc_id % 28 + 1), '/', CAST(doc_id % 50 AS VARCHAR)) ELSE '' END AS refs
-FROM documents""")
+FROM documents UNION ALL SELECT doc_id, page, 'planning_document', NULL, 'unknown', '' FROM doc_pages WHERE page <> 2""")
 def act_evidence(t):
     """Role, own identity, action and cited acts, from operative paragraphs only."""
     a = act_texts(t).withColumn("p", evidence_paragraphs(F.col("full")))
     acts = F.filter(F.transform("p", paragraph_action), lambda x: x.isNotNull())
     refs = F.filter(F.transform(F.filter("p", lambda p: paragraph_action(p).isin("cancel_reference", "amend_reference")), X.act_identity), lambda x: x.isNotNull())
-    a = a.select("doc_id", X.own_act(F.col("text")).alias("own"), acts.alias("acts"), F.transform(refs, lambda r: F.concat_ws("/", r["date"], r["number"])).alias("refs"))
+    a = a.select("doc_id", "page", X.own_act(F.col("text")).alias("own"), acts.alias("acts"), F.transform(refs, lambda r: F.concat_ws("/", r["date"], r["number"])).alias("refs"))
     distinct = F.size(F.array_distinct("acts"))
-    return a.select("doc_id", F.when(F.col("own").isNotNull(), "act_text").otherwise("planning_document").alias("document_role"), F.col("own.date").alias("date"),
+    return a.select("doc_id", "page", F.when(F.col("own").isNotNull(), "act_text").otherwise("planning_document").alias("document_role"), F.col("own.date").alias("date"),
                     F.when(distinct == 1, F.get("acts", F.lit(0))).when(distinct > 1, "multiple_text_actions").otherwise("unknown").alias("action"),
                     F.array_join("refs", ",").alias("refs"))
 
 
 @query("f06_listing_conflicts", f"""
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'act_identity' ELSE '' END || CASE WHEN doc_id % 4 = 0 AND doc_id % 5 = 0 THEN ',' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'draft_title_act_text' ELSE '' END AS conflicts FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'act_identity' ELSE '' END || CASE WHEN doc_id % 4 = 0 AND doc_id % 5 = 0 THEN ',' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'draft_title_act_text' ELSE '' END AS conflicts, CAST(2 AS BIGINT) AS page FROM documents UNION ALL SELECT doc_id, '', page FROM doc_pages WHERE page <> 2""")
 def listing_conflicts(t):
     """Title against document: other identity, or a draft title on the text of an act."""
     k = F.col("doc_id")
@@ -116,7 +116,7 @@ def listing_conflicts(t):
     own = X.own_act(F.col("text"))
     kinds = F.filter(F.array(F.when(listed.isNotNull() & own.isNotNull() & (listed != own), "act_identity"),
                              F.when(F.lower(draft).startswith("проект") & own.isNotNull(), "draft_title_act_text")), lambda c: c.isNotNull())
-    return t("doc_pages").where("page = 2").select("doc_id", F.array_join(kinds, ",").alias("conflicts"))
+    return t("doc_pages").select("doc_id", F.array_join(kinds, ",").alias("conflicts"), "page")
 
 
 @query("f07_cancellation_relations", """
@@ -144,9 +144,9 @@ def number_literals(t):
 
 
 @query("f09_zone_codes", """
-SELECT doc_id, concat('Ж', CAST(1 + doc_id % 4 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '.1' ELSE '' END, ',СХ2') AS zones FROM documents""")
+SELECT doc_id, concat('Ж', CAST(1 + doc_id % 4 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '.1' ELSE '' END, ',СХ2') AS zones, CAST(2 AS BIGINT) AS page FROM documents UNION ALL SELECT doc_id, '', page FROM doc_pages WHERE page <> 2""")
 def zone_codes(t):
-    return t("doc_pages").where("page = 2").select("doc_id", F.array_join(X.zone_codes(F.col("text")), ",").alias("zones"))
+    return t("doc_pages").select("doc_id", F.array_join(X.zone_codes(F.col("text")), ",").alias("zones"), "page")
 
 
 @query("f10_counts_or_null", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 AND c_acctbal = floor(c_acctbal) THEN CAST(c_acctbal AS BIGINT) END AS counted FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import text as X
@@ -88,13 +89,47 @@ def transcriptions(t):
     return j.groupBy("conv_id").agg(F.count("*").alias("rows"), F.count_if("bad").alias("differing"), (F.count_if("bad") == 0).alias("accepted"))
 
 
+# Wording of statements about a parent parcel, a division and a quarter.
+_CAD = r"\d{1,2}:\d{1,2}:\d{1,10}:\d{1,10}"
+STATEMENTS = {
+    "origin": rf"(?iu)в\s+границах\s+земельного\s+участка\s+с\s+кадастровым\s+номером\s+({_CAD})\s+площадью\s+(\d{{1,9}}(?:[,.]\d{{1,2}})?)\s+кв\.?\s*м(?![\p{{L}}\d_])",
+    "division": rf"(?iu)Путем\s+раздела\s+земельного\s+участка\s+с\s+кадастровым\s+номе[\s-]*ром\s+({_CAD})\s+с\s+сохранением\s+исходного",
+    "quarter": r"(?iu)кадастров[\s-]*[а-яё]*\s+квартал[а-яё]*\s+(\d{1,2}:\d{1,2}:\d{1,10})(?![:\d])",
+}
+#: characters of the next page that a statement may run on into
+_RUN_ON = 400
+
+
+def statement_pages(t):
+    """All pages; page 2 goes on with statements, the last of which may run over to page 3."""
+    k, quarter = F.col("doc_id"), F.col("survey_id").cast("string")
+    number = F.concat(F.lit("90:12:"), quarter, F.lit(":"), (k * 2).cast("string"))
+    more = F.concat(F.lit("\nкадастровый квартал 90:12:"), quarter, F.lit(" указан"),
+                    F.when(k % 2 == 0, F.concat(F.lit("\nРасположен в границах земельного участка с кадастровым номером "), number, F.lit(" площадью 1234,5 кв.м, далее"))).otherwise(""),
+                    F.when(k % 3 == 0, F.lit("\nПутем раздела земельного участка с кадастровым номе-")).otherwise(""))
+    head = F.when(k % 3 == 0, F.concat(F.lit("ром "), number, F.lit(" с сохранением исходного\n"))).otherwise("")
+    return t("doc_pages").select("doc_id", "page", F.when(F.col("page") == 2, F.concat("text", more)).when(F.col("page") == 3, F.concat(head, F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
 @query("r09_statements", """
-SELECT doc_id, 2 AS page, concat('90:12:', CAST(survey_id AS VARCHAR)) AS quarter FROM doc_pages WHERE page = 2""")
+WITH d AS (SELECT doc_id, concat('90:12:', CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR)) AS q FROM documents)
+SELECT doc_id, 'quarter' AS kind, q AS number, CAST(NULL AS DOUBLE) AS stated_area_m2, CAST(2 AS BIGINT) AS page, concat('кадастровый квартал ', q) AS excerpt FROM d
+UNION ALL SELECT doc_id, 'origin', concat(q, ':', CAST(doc_id * 2 AS VARCHAR)), 1234.5, 2, concat('в границах земельного участка с кадастровым номером ', q, ':', CAST(doc_id * 2 AS VARCHAR), ' площадью 1234,5 кв.м') FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'division', concat(q, ':', CAST(doc_id * 2 AS VARCHAR)), NULL, 2, concat('Путем раздела земельного участка с кадастровым номе-', chr(10), 'ром ', q, ':', CAST(doc_id * 2 AS VARCHAR), ' с сохранением исходного') FROM d WHERE doc_id % 3 = 0""")
 def statements(t):
-    """Quarter statements with their page."""
-    text = F.concat("text", F.lit("\nкадастровый квартал 90:12:"), F.col("survey_id").cast("string"), F.lit(" указан"))
-    p = r"(?iu)кадастров[\s-]*[а-яё]*\s+квартал[а-яё]*\s+(\d{1,2}:\d{1,2}:\d{1,10})(?![:\d])"
-    return t("doc_pages").where("page = 2").select("doc_id", F.col("page").cast("int").alias("page"), F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias("quarter"))
+    """Statements of all pages with the page they begin on and their excerpt, those that run over a page end too."""
+    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("page"))
+    p = statement_pages(t).withColumn("rest", F.substring(F.coalesce(after, F.lit("")), 1, _RUN_ON))
+    both = F.concat("text", F.lit("\n"), "rest")
+
+    def found(kind, pattern):
+        every = F.regexp_extract_all(both, F.lit(pattern), F.lit(0))
+        own = F.slice(every, F.lit(1), F.size(every) - F.size(F.regexp_extract_all("rest", F.lit(pattern), F.lit(0))))  # the others begin on the next page
+        area = F.translate(F.regexp_extract("excerpt", pattern, 2), ",", ".").try_cast("double") if kind == "origin" else F.lit(None).cast("double")
+        return p.select("doc_id", "page", F.explode(own).alias("excerpt")).select(
+            "doc_id", F.lit(kind).alias("kind"), F.regexp_extract("excerpt", pattern, 1).alias("number"), area.alias("stated_area_m2"), "page", "excerpt")
+
+    return found("quarter", STATEMENTS["quarter"]).unionByName(found("origin", STATEMENTS["origin"])).unionByName(found("division", STATEMENTS["division"]))
 
 
 @query("r10_unparsed_pages", "SELECT k AS doc_id, 5 AS page FROM parcels WHERE p_size = 4")
@@ -116,40 +151,57 @@ def page_limit(t):
     return g.select("doc_id", ((F.col("closure") != "explicit") & ~F.array_contains("issues", "closing point moved") & (F.col("last_page") == processed)).alias("cut_off"))
 
 
+PAGE = ["conv_id", "turn"]
+
+
 def word_boxes(t):
-    """Word boxes of a scanned table: one line of each conversation turn is a row, every tenth word a box."""
-    c = t("conversations").where("role <> 'system'")
-    w = c.select("conv_id", "turn", F.length("text").alias("n"), F.posexplode(F.slice(F.split("text", r"\s+"), 1, 6)).alias("i", "text"))
-    jitter = (F.col("n") + F.col("i")) % 3
-    return w.where("text <> ''").select("conv_id", F.lit(1000).alias("width"), F.lit(1000).alias("height"), "turn", "i", "text", (F.col("i") * 150 + 20 + jitter).cast("double").alias("x"),
-                                        (F.col("turn") * 40 + 10 + jitter).cast("double").alias("y"), F.lit(80.0).alias("w"), F.lit(20.0).alias("h"))
+    """Word boxes of scanned pages: every turn is a page and every word of it a box, six to a line.
+
+    Words of even length read as numbers; the third word of a line reaches up to the fourth.
+    """
+    v = t("conversations").select("conv_id", "turn", F.length("text").alias("n"), F.split("text", r"\s+").alias("v"))
+    w = v.select("conv_id", "turn", "n", (F.ceil(F.size("v") / 6) * 40 + 20).alias("height"), F.posexplode("v").alias("i", "word")).where("word <> ''")
+    jitter, column = (F.col("n") + F.col("i")) % 3, F.col("i") % 6
+    shown = F.when(F.length("word") % 2 == 0, F.concat((F.length("word") * 11 + 10000).cast("string"), F.lit(",5"))).otherwise(F.col("word"))
+    return w.select("conv_id", "turn", F.lit(1000).alias("width"), "height", "i", column.alias("place"), shown.alias("text"), (column * 150 + 20 + jitter).cast("double").alias("x"),
+                    (F.floor(F.col("i") / 6) * 40 + 10 + jitter).cast("double").alias("y"), F.when(column == 2, 135.0).otherwise(80.0).alias("w"), F.lit(20.0).alias("h"))
 
 
-_WORDS = """w AS (SELECT conv_id, turn, i - 1 AS i, (length(text) + i - 1) % 3 AS jt, length(text) AS n FROM (SELECT conv_id, turn, text, unnest(generate_series(1, least(6, len(regexp_split_to_array(text, '\\s+'))))) AS i FROM conversations WHERE role <> 'system') WHERE regexp_split_to_array(text, '\\s+')[i] <> '')"""
+_WORDS = """v AS (SELECT conv_id, turn, length(text) AS n, regexp_split_to_array(text, '\\s+') AS v FROM conversations),
+w AS (SELECT conv_id, turn, i - 1 AS i, (i - 1) % 6 AS place, (i - 1) // 6 AS line, (n + i - 1) % 3 AS jt, v[i] AS word, ceil(len(v) / 6.0) * 40 + 20 AS height FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM v) WHERE v[i] <> '')"""
 
 
-@query("f21_word_positions", f"WITH {_WORDS} SELECT conv_id, turn, CAST(i AS INTEGER) AS i, round((i * 150 + 20 + jt) / 1000.0, 4) AS x0, round((turn * 40 + 30 + jt) / 1000.0, 4) AS y1, true AS usable FROM w")
+@query("f21_word_positions", f"""WITH {_WORDS} SELECT conv_id, turn, CAST(i AS INTEGER) AS i, round((place * 150 + 20 + jt) / 1000.0, 4) AS x0, round((line * 40 + 30 + jt) / height, 4) AS y1,
+  length(word) % 2 = 0 OR length(word) <= 200 AS usable FROM w""")
 def word_positions(t):
     return L.normalise_words(word_boxes(t)).select("conv_id", "turn", "i", F.round("x0", 4).alias("x0"), F.round("y1", 4).alias("y1"), "usable")
 
 
-@query("r12_visual_rows", f"WITH {_WORDS} SELECT conv_id, count(DISTINCT turn) AS rows, count(*) AS words FROM w GROUP BY conv_id")
+def page_words(t):
+    return L.normalise_words(word_boxes(t)).select("conv_id", "turn", "text", "x0", "y0", "x1", "y1")
+
+
+@query("r12_visual_rows", f"WITH {_WORDS} SELECT conv_id, turn, count(DISTINCT line) AS rows, count(*) AS words FROM w GROUP BY conv_id, turn")
 def visual_rows(t):
-    w = L.normalise_words(word_boxes(t)).select("conv_id", "text", "x0", "y0", "x1", "y1")
-    return L.visual_rows(w, ["conv_id"]).groupBy("conv_id").agg(F.count_distinct("row").alias("rows"), F.count("*").alias("words"))
+    return L.visual_rows(page_words(t), PAGE).groupBy("conv_id", "turn").agg(F.count_distinct("row").alias("rows"), F.count("*").alias("words"))
+
+
+_CELLS = """c AS (SELECT w.conv_id, w.turn, w.place, w.jt, n.word IS NOT NULL AS joined, length(w.word) % 2 = 0 AND coalesce(length(n.word) % 2 = 0, true) AS numeric FROM w
+  LEFT JOIN w n ON w.conv_id = n.conv_id AND w.turn = n.turn AND w.place = 2 AND n.i = w.i + 1 LEFT JOIN w p ON w.conv_id = p.conv_id AND w.turn = p.turn AND w.place = 3 AND p.i = w.i - 1 WHERE p.i IS NULL)"""
 
 
-@query("r13_cells", f"WITH {_WORDS} SELECT conv_id, count(*) AS cells FROM w GROUP BY conv_id")
+@query("r13_cells", f"WITH {_WORDS}, {_CELLS} SELECT conv_id, turn, count(*) AS cells, count(*) FILTER (WHERE joined) AS joined FROM c GROUP BY conv_id, turn")
 def cells(t):
-    w = L.normalise_words(word_boxes(t)).select("conv_id", "text", "x0", "y0", "x1", "y1")
-    return L.cells(L.visual_rows(w, ["conv_id"]), ["conv_id"]).groupBy("conv_id").agg(F.count("*").alias("cells"))
+    c = L.cells(L.visual_rows(page_words(t), PAGE), PAGE)
+    return c.groupBy("conv_id", "turn").agg(F.count("*").alias("cells"), F.count_if(F.col("text").contains(" ")).alias("joined"))
 
 
-@query("r14_column_anchors", f"""WITH {_WORDS}, c AS (SELECT conv_id, i, count(*) AS n, median((i * 150 + 20 + jt) / 1000.0) AS centre FROM w GROUP BY conv_id, i)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY centre) AS INTEGER) AS "column", round(centre, 4) AS centre, n FROM c WHERE n >= 2""")
+@query("r14_column_anchors", f"""WITH {_WORDS}, {_CELLS}, g AS (SELECT conv_id, turn, place, count(*) AS n, median((place * 150 + 20 + jt) / 1000.0) AS centre FROM c WHERE numeric GROUP BY conv_id, turn, place)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY centre) AS INTEGER) AS "column", round(centre, 4) AS centre, n FROM g WHERE n >= 2""")
 def column_anchors(t):
-    w = L.normalise_words(word_boxes(t)).select("conv_id", "text", "x0", "y0", "x1", "y1")
-    return L.anchors(w, ["conv_id"]).select("conv_id", "column", F.round("centre", 4).alias("centre"), "n")
+    """Columns are where cells of at least five digits, and nothing that numbers don't have, begin one below the other."""
+    c = L.cells(L.visual_rows(page_words(t), PAGE), PAGE).where(L.numeric_cell(F.col("text")))
+    return L.anchors(c, PAGE).select("conv_id", "turn", "column", F.round("centre", 4).alias("centre"), "n")
 
 
 @query("r15_table_split", """
@@ -171,12 +223,13 @@ def cell_agreement(t):
     return o.select("o_orderkey", issue.alias("issues"))
 
 
-@query("r17_crop_bands", f"""WITH {_WORDS} SELECT conv_id, CAST(i AS INTEGER) AS i, round(greatest(0, min((i * 150 + 20 + jt) / 1000.0) - 0.012), 4) AS left_edge, round(least(1, max((i * 150 + 100 + jt) / 1000.0) + 0.012), 4) AS right_edge FROM w GROUP BY conv_id, i HAVING count(*) >= 2""")
+@query("r17_crop_bands", f"""WITH {_WORDS} SELECT conv_id, turn, CAST(place AS INTEGER) AS place, round(greatest(0, min((place * 150 + 20 + jt) / 1000.0) - 0.012), 4) AS left_edge,
+  round(least(1, max((place * 150 + 20 + jt + CASE WHEN place = 2 THEN 135 ELSE 80 END) / 1000.0) + 0.012), 4) AS right_edge FROM w GROUP BY conv_id, turn, place HAVING count(*) >= 2""")
 def crop_bands(t):
     """Column bands from the extents of their cells, padded, inside the page."""
     w = L.normalise_words(word_boxes(t))
-    g = w.groupBy("conv_id", "i").agg(F.count("*").alias("n"), F.greatest(F.lit(0.0), F.min("x0") - 0.012).alias("l"), F.least(F.lit(1.0), F.max("x1") + 0.012).alias("r"))
-    return g.where("n >= 2 AND r - l BETWEEN 0.005 AND 0.25").select("conv_id", "i", F.round("l", 4).alias("left_edge"), F.round("r", 4).alias("right_edge"))
+    g = w.groupBy("conv_id", "turn", "place").agg(F.count("*").alias("n"), F.greatest(F.lit(0.0), F.min("x0") - 0.012).alias("l"), F.least(F.lit(1.0), F.max("x1") + 0.012).alias("r"))
+    return g.where("n >= 2 AND r - l BETWEEN 0.005 AND 0.25").select("conv_id", "turn", "place", F.round("l", 4).alias("left_edge"), F.round("r", 4).alias("right_edge"))
 
 
 def catalogue_lines(t):
@@ -198,14 +251,14 @@ def catalogue_parts(t):
     return g.select("doc_id", "part", "contour", "points", "state", "local_area_m2")
 
 
-@query("r20_section_columns", f"""WITH {_WORDS}, c AS (SELECT conv_id, turn, i FROM w WHERE turn >= 1) SELECT conv_id, turn, CAST(i AS INTEGER) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY i, turn) AS position FROM c""")
+@query("r20_section_columns", f"""WITH {_WORDS} SELECT conv_id, turn, CAST(i AS INTEGER) AS i, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place, line) AS position FROM w WHERE line >= 1""")
 def section_columns(t):
-    """Lines of a section in reading order: column, then downwards; what stands above the section mark is left out."""
+    """Words of a section in reading order: column, then downwards; the first line is the section mark, and what stands above it or in it is left out."""
     from groundsift.operators.ranking import grouped_rank
 
     w = L.normalise_words(word_boxes(t)).select("conv_id", "turn", "i", "x0", "y0")
-    cols = L.anchors(w, ["conv_id"], gap=0.09, least=1)
-    a = L.assign_columns(w, cols, ["conv_id"], "x0", ["turn", "i"])
-    mark = w.where("turn = 0").groupBy("conv_id").agg(F.max("y0").alias("mark_y"))
-    inside = a.join(mark, "conv_id", "left").where(F.col("mark_y").isNull() | (F.col("y0") > F.col("mark_y"))).where("turn >= 1")
-    return grouped_rank(inside.select("conv_id", "turn", "i", "column", "y0"), ["conv_id"], [F.col("column"), F.col("y0"), F.col("turn"), F.col("i")]).select("conv_id", "turn", "i", "position")
+    cols = L.anchors(w, PAGE, gap=0.09, least=1)
+    a = L.assign_columns(w, cols, PAGE, "x0", ["i"])
+    mark = w.where("i < 6").groupBy(*PAGE).agg(F.max("y0").alias("mark_y"))
+    inside = a.join(mark, PAGE, "left").where(F.col("mark_y").isNull() | (F.col("y0") > F.col("mark_y")))
+    return grouped_rank(inside.select("conv_id", "turn", "i", "column", "y0"), PAGE, [F.col("column"), F.col("y0"), F.col("i")]).select("conv_id", "turn", "i", "position")
