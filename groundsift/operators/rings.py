@@ -18,6 +18,9 @@ POINT_LIKE = r"(?iu)^(?:н\S*\s+\S+|\d+\s+(?:[-\d]|\S+\s+[-\d]))"
 PAIR = r"\d{5,8}[,.]\d+\s+\d{5,8}[,.]\d+"
 COMPONENT = r"(?iu)^Номер контура многоконтурного земельного участка\s+(:ЗУ\d{1,4})\((\d{1,3})\)$"
 STATED = r"(?iu)^Площадь контура многоконтурного земельного участка\s+(\d{1,9}(?:[,.]\d{1,2})?)\s+кв\.\s*м$"
+#: lines that page ends put between rows; component tables also have bare page numbers
+FOOTER = r"(?iu)^(?:\d{4}-ПМТ|Лист № докум\. Подп\. Дата Изм|Лист)$"
+COMPONENT_FOOTER = r"(?iu)^(?:\d{4}-ПМТ|(?:Изм )?Лист № докум\. Подп\. Дата(?: Изм)?|Лист|\d{1,3})$"
 PART = r"(?iu)^(?::ЗУ\s*\d{1,4}(?::ЗУ\s*\d{1,4})?|Ст\d{2}_\d{1,3})$"
 CONTOUR = r"(?iu)^Контур\s+(\d{1,3})$"
 
@@ -35,24 +38,66 @@ def carry(lines: DataFrame, doc: Sequence[str], head: Column, name: str) -> Data
         .withColumn(f"{name}_no", F.count("_h").over(w)).drop("_h")
 
 
-def table_points(pages: DataFrame, doc: Sequence[str] = ("doc_id",), heading: str = DESIGNATION) -> tuple[DataFrame, DataFrame]:
-    """Point rows under each heading, and lines that look like a point but are none.
+#: what a line is, and what each kind makes of the four states: outside, under a heading, in its rows, behind them
+HEAD, AXIS, ROW, SKIP, OTHER = range(5)
+_STEPS = {HEAD: (1, 1, 1, 1), AXIS: (0, 2, 2, 3), ROW: (0, 1, 2, 3), SKIP: (0, 1, 2, 3), OTHER: (0, 1, 3, 3)}
+_STATE = "struct<state:int,label:string,no:int>"
 
-    Rows count while nothing but points follows the heading's axis line; the
-    first other line ends the table.  Returns (points, broken lines).
+
+def _kinds(text: Column, heading: str, footer: str) -> Column:
+    return (F.when((text == "") | text.rlike(footer), SKIP).when(text.rlike(heading), HEAD).when(text.rlike(AXES), AXIS).when(text.rlike(POINT), ROW).otherwise(OTHER))
+
+
+def table_lines(pages: DataFrame, doc: Sequence[str], heading: str, footer: str = FOOTER) -> DataFrame:
+    """Lines with ``kind``, the ``state`` they are met in, and the table they belong to: ``label`` and ``label_no``.
+
+    Lines drive a machine of four states.  What a page does to them, whatever
+    state it is met in, is a table of four numbers, made page by page where the
+    page lies; tables compose, so a document's pages, one small row each, tell
+    the state every page is met in, and then pages are read side by side.
+    """
+    step = F.array(*[F.array(*[F.lit(v) for v in _STEPS[k]]) for k in range(5)])
+    after = lambda state, kind: F.get(F.get(step, kind), state)
+    lines = F.transform(F.split("text", r"\r?\n"), lambda t: squash(t))
+    p = pages.select(*doc, "page", F.transform(lines, lambda t: F.struct(t.alias("text"), _kinds(t, heading, footer).alias("kind"))).alias("lines"))
+    effect = F.aggregate("lines", F.array(*[F.lit(i) for i in range(4)]), lambda m, l: F.transform(m, lambda s: after(s, l["kind"])))
+    heads = F.filter("lines", lambda l: l["kind"] == HEAD)
+    name = lambda t: F.regexp_extract(t, heading, 1)
+    short = p.select(*doc, "page", effect.alias("effect"), F.when(F.size(heads) > 0, name(F.element_at(heads, -1)["text"])).alias("last"), F.size(heads).alias("heads"))
+    start = F.lit(None).cast(_STATE)
+    begin = F.struct(F.lit(0).alias("state"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("no")).cast(_STATE)
+    met = F.aggregate("pages", F.struct(begin.alias("now"), F.array(start).alias("seen")), lambda a, x: F.struct(
+        F.struct(F.get(x["effect"], a["now"]["state"]).alias("state"), F.coalesce(x["last"], a["now"]["label"]).alias("label"), (a["now"]["no"] + x["heads"]).alias("no")).cast(_STATE).alias("now"),
+        F.concat(a["seen"], F.array(a["now"])).alias("seen")), lambda a: F.slice(a["seen"], F.lit(2), F.size(a["seen"])))
+    starts = short.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("page", "effect", "last", "heads"))).alias("pages"))
+    starts = starts.select(*doc, F.explode(F.arrays_zip(F.transform("pages", lambda x: x["page"]).alias("page"), met.alias("start"))).alias("z")).select(*doc, "z.page", "z.start")
+    # the same machine once more, now from a known state
+    run = F.aggregate("lines", F.struct(F.col("start").alias("now"), F.array(start).alias("seen")), lambda a, l: F.struct(
+        F.struct(after(a["now"]["state"], l["kind"]).alias("state"), F.when(l["kind"] == HEAD, name(l["text"])).otherwise(a["now"]["label"]).alias("label"),
+                 (a["now"]["no"] + (l["kind"] == HEAD).cast("int")).alias("no")).cast(_STATE).alias("now"),
+        F.concat(a["seen"], F.array(a["now"])).alias("seen")), lambda a: F.slice(a["seen"], F.lit(2), F.size(a["seen"])))
+    read = p.join(starts, [*doc, "page"]).select(*doc, "page", F.posexplode(F.arrays_zip(F.col("lines").alias("l"), run.alias("at"))).alias("line", "z"))
+    return read.select(*doc, "page", "line", F.col("z.l.text").alias("text"), F.col("z.l.kind").alias("kind"), F.col("z.at.state").alias("state"), F.col("z.at.label").alias("label"), F.col("z.at.no").cast("bigint").alias("label_no"))
+
+
+def table_points(pages: DataFrame, doc: Sequence[str] = ("doc_id",), heading: str = DESIGNATION, footer: str = FOOTER) -> tuple[DataFrame, DataFrame]:
+    """Point rows under each heading, and lines that look like a point but are none of its rows.
+
+    Rows count while nothing but points and page footers follows the heading's
+    axis line; the first other line ends the table, and so does the row that
+    repeats the first label.  Returns (points, broken lines with their reason).
     """
-    l = carry(page_lines(pages, doc), doc, F.when(F.col("text").rlike(heading), F.regexp_extract("text", heading, 1)), "label")
-    l = l.where("label IS NOT NULL AND NOT (text RLIKE '" + heading.replace("\\", "\\\\").replace("'", "\\'") + "')")
     keys = [*doc, "label", "label_no"]
-    w = Window.partitionBy(*keys).orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    is_point = F.col("text").rlike(POINT)
-    l = l.withColumn("_axes", F.max(F.when(F.col("text").rlike(AXES), 1).otherwise(0)).over(w)).where("_axes = 1").where(~F.col("text").rlike(AXES))
-    l = l.withColumn("_p", is_point).withColumn("_stop", F.sum(F.when(F.col("_p"), 0).otherwise(1)).over(w))
-    points = (l.where("_p AND _stop = 0").withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "line")))
-              .select(*keys, "ord", F.regexp_extract("text", POINT, 1).alias("point"), literal_number(F.regexp_extract("text", POINT, 2)).alias("x"),
-                      literal_number(F.regexp_extract("text", POINT, 3)).alias("y"), "page", "text"))
-    broken = l.where(~F.col("_p") & (F.col("_stop") == 1) & F.col("text").rlike(POINT_LIKE)).select(*keys, "page", "text")
-    return points, broken
+    l = table_lines(pages, doc, heading, footer).where("state = 2")
+    rows = (l.where(F.col("kind") == ROW).withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "line")))
+            .withColumn("point", F.regexp_extract("text", POINT, 1)))
+    # a table is one ring: its first label, and where it comes up again
+    first = rows.where("ord = 1").select(*keys, F.col("point").alias("_first"))
+    closing = rows.join(first, keys).where("ord > 1 AND point = _first").groupBy(*keys).agg(F.min("ord").alias("_closing"))
+    rows = rows.join(closing, keys, "left").withColumn("_late", F.coalesce(F.col("ord") > F.col("_closing"), F.lit(False)))
+    points = rows.where("NOT _late").select(*keys, "ord", "point", literal_number(F.regexp_extract("text", POINT, 2)).alias("x"), literal_number(F.regexp_extract("text", POINT, 3)).alias("y"), "page", "text")
+    broken = l.where((F.col("kind") == OTHER) & F.col("text").rlike(POINT_LIKE)).select(*keys, "page", "text", F.lit("not a point row").alias("reason"))
+    return points, broken.unionByName(rows.where("_late").select(*keys, "page", "text", F.lit("row after closure").alias("reason")))
 
 
 def check_rings(points: DataFrame, keys: Sequence[str], explicit: bool = True, consecutive: bool = False) -> DataFrame:

@@ -12,27 +12,37 @@ from groundsift.registry import query
 
 
 def scheme_pages(t):
-    """Page text with one X/Y table per parcel: box corners, some open, some with a repeated or moved point.
+    """Three pages with one X/Y table per parcel: box corners, page footers in between, some open, some with a repeated or moved point.
 
-    p_size decides: 1 open, 2 closing point moved, 3 repeated place, 4 broken row, otherwise sound.
+    p_size decides: 1 open, 2 closing point moved, 3 repeated place, 4 broken row, 5 one more row after closure, otherwise sound.
     """
     n = lambda c: F.translate((F.col(c) + 100000).cast("decimal(12,2)").cast("string"), ".", ",")
     s = F.col("p_size")
     row = lambda label, x, y: F.concat(F.lit(f"\n{label} "), n(x), F.lit(" "), n(y))
-    last = F.when(s == 1, "").when(s == 2, row("н1", "x1", "y1")).otherwise(row("н1", "x0", "y0"))
+    last = F.when(s == 1, "").when(s == 2, row("н1", "x1", "y1")).when(s == 5, F.concat(row("н1", "x0", "y0"), row("н9", "x1", "y1"))).otherwise(row("н1", "x0", "y0"))
     third = F.when(s == 3, row("н3", "x1", "y0")).when(s == 4, "\nн3 1O0,00 2").otherwise(row("н3", "x1", "y1"))
     head = F.concat(F.lit("Обозначение земельного участка :ЗУ"), (F.col("k") % 90 + 1).cast("string"), F.lit("\nКоординаты, м\nX   Y"))
-    text = F.concat(head, row("н1", "x0", "y0"), row("н2", "x1", "y0"), third, row("н4", "x0", "y1"), last, F.lit("\nКонец таблицы"))
-    return t("parcels").select(F.col("k").alias("doc_id"), F.lit(5).cast("bigint").alias("page"), text.alias("text"))
+    bodies = F.array(F.concat(head, row("н1", "x0", "y0"), row("н2", "x1", "y0"), F.lit("\nЛист")), F.concat(F.lit("1234-ПМТ\nЛист № докум. Подп. Дата Изм"), third, row("н4", "x0", "y1"), F.lit("\n\n")),
+                     F.concat(F.lit("1234-ПМТ"), last, F.lit("\nКонец таблицы")))
+    return t("parcels").select(F.col("k").alias("doc_id"), F.posexplode(bodies).alias("i", "text")).select("doc_id", (F.col("i") + 5).cast("bigint").alias("page"), "text")
 
 
 @query("r01_table_points", """
-SELECT k AS doc_id, concat(':ЗУ', CAST(k % 90 + 1 AS VARCHAR)) AS label, count(*) AS points, round(sum(x), 2) AS sum_x FROM (
- SELECT k, x0 + 100000 AS x, p_size, 1 AS o FROM parcels UNION ALL SELECT k, x1 + 100000, p_size, 2 FROM parcels UNION ALL SELECT k, x1 + 100000, p_size, 3 FROM parcels UNION ALL SELECT k, x0 + 100000, p_size, 4 FROM parcels
- UNION ALL SELECT k, CASE WHEN p_size = 2 THEN x1 ELSE x0 END + 100000, p_size, 5 FROM parcels WHERE p_size <> 1) WHERE p_size <> 4 OR o < 3 GROUP BY k""")
+SELECT k AS doc_id, concat(':ЗУ', CAST(k % 90 + 1 AS VARCHAR)) AS label, count(*) AS points, round(sum(x), 2) AS sum_x, count(DISTINCT page) AS pages FROM (
+ SELECT k, x0 + 100000 AS x, p_size, 1 AS o, 5 AS page FROM parcels UNION ALL SELECT k, x1 + 100000, p_size, 2, 5 FROM parcels UNION ALL SELECT k, x1 + 100000, p_size, 3, 6 FROM parcels UNION ALL SELECT k, x0 + 100000, p_size, 4, 6 FROM parcels
+ UNION ALL SELECT k, CASE WHEN p_size = 2 THEN x1 ELSE x0 END + 100000, p_size, 5, 7 FROM parcels WHERE p_size <> 1) WHERE p_size <> 4 OR o < 3 GROUP BY k""")
 def table_points(t):
+    """Rows of tables that go over page ends."""
     p, _ = R.table_points(scheme_pages(t))
-    return p.groupBy("doc_id", "label").agg(F.count("*").alias("points"), F.round(F.sum("x"), 2).alias("sum_x"))
+    return p.groupBy("doc_id", "label").agg(F.count("*").alias("points"), F.round(F.sum("x"), 2).alias("sum_x"), F.count_distinct("page").alias("pages"))
+
+
+@query("r01_broken_rows", """
+SELECT k AS doc_id, CASE WHEN p_size = 4 THEN 6 ELSE 7 END AS page, CASE WHEN p_size = 4 THEN 'not a point row' ELSE 'row after closure' END AS reason FROM parcels WHERE p_size IN (4, 5)""")
+def broken_rows(t):
+    """Lines that stop a table short of its end, and rows that come after it."""
+    _, broken = R.table_points(scheme_pages(t))
+    return broken.select("doc_id", F.col("page").cast("int").alias("page"), "reason")
 
 
 @query("r04_ring_rules", """
@@ -56,26 +66,31 @@ def consecutive_rings(t):
 
 
 def component_pages(t):
+    """A component over two pages, with its stated area; one in seven has another row after its closure."""
     n = lambda c: F.translate((F.col(c) + 100000).cast("decimal(12,2)").cast("string"), ".", ",")
     row = lambda label, x, y: F.concat(F.lit(f"\n{label} "), n(x), F.lit(" "), n(y))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) + F.when(F.col("p_size") % 4 == 0, 5).otherwise(0)
-    text = F.concat(F.lit("Номер контура многоконтурного земельного участка :ЗУ"), (F.col("k") % 50 + 1).cast("string"), F.lit("("), (F.col("p_size") % 9 + 1).cast("string"),
-                    F.lit(")\nПлощадь контура многоконтурного земельного участка "), F.translate(area.cast("decimal(12,1)").cast("string"), ".", ","), F.lit(" кв. м\nX Y"),
-                    row("н1", "x0", "y0"), row("н2", "x1", "y0"), row("н3", "x1", "y1"), row("н4", "x0", "y1"), row("н1", "x0", "y0"))
-    return t("parcels").select(F.col("k").alias("doc_id"), F.lit(1).cast("bigint").alias("page"), text.alias("text"))
+    head = F.concat(F.lit("Номер контура многоконтурного земельного участка :ЗУ"), (F.col("k") % 50 + 1).cast("string"), F.lit("("), (F.col("p_size") % 9 + 1).cast("string"),
+                    F.lit(")\nПлощадь контура многоконтурного земельного участка "), F.translate(area.cast("decimal(12,1)").cast("string"), ".", ","), F.lit(" кв. м\nX Y"))
+    bodies = F.array(F.concat(head, row("н1", "x0", "y0"), row("н2", "x1", "y0"), row("н3", "x1", "y1"), F.lit("\n17\nИзм Лист № докум. Подп. Дата")),
+                     F.concat(F.lit("18"), row("н4", "x0", "y1"), row("н1", "x0", "y0"), F.when(F.col("p_size") % 7 == 3, row("н7", "x0", "y1")).otherwise("")))
+    return t("parcels").select(F.col("k").alias("doc_id"), F.posexplode(bodies).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("bigint").alias("page"), "text")
 
 
 @query("r03_r07_components", """
-SELECT k AS doc_id, concat(':ЗУ', CAST(k % 50 + 1 AS VARCHAR)) AS parent, CAST(p_size % 9 + 1 AS INTEGER) AS component, (x1 - x0) * (y1 - y0) AS local_area_m2, p_size % 4 = 0 AS stated_area_disagrees FROM parcels""")
+SELECT k AS doc_id, concat(':ЗУ', CAST(k % 50 + 1 AS VARCHAR)) AS parent, CAST(p_size % 9 + 1 AS INTEGER) AS component, (x1 - x0) * (y1 - y0) AS local_area_m2, p_size % 4 = 0 AS stated_area_disagrees,
+  CASE WHEN p_size % 7 = 3 THEN 'rejected' ELSE 'review_required' END AS state FROM parcels""")
 def components(t):
-    """Named components with their stated areas, compared within the printed decimals."""
+    """Named components with their stated areas, compared within the printed decimals; a row after closure rejects one."""
     pages = component_pages(t)
     heads = R.page_lines(pages).where(F.col("text").rlike(R.COMPONENT)).select("doc_id", F.upper(F.regexp_extract("text", R.COMPONENT, 1)).alias("parent"), F.regexp_extract("text", R.COMPONENT, 2).cast("int").alias("component"))
     stated = R.page_lines(pages).where(F.col("text").rlike(R.STATED)).select("doc_id", F.regexp_extract("text", R.STATED, 1).alias("stated"))
-    p, _ = R.table_points(pages, heading=R.COMPONENT.replace("^", "").replace("$", ""))
+    p, broken = R.table_points(pages, heading=R.COMPONENT, footer=R.COMPONENT_FOOTER)
     g = R.check_rings(p, ["doc_id", "label", "label_no"])
-    j = g.join(heads, "doc_id").join(stated, "doc_id")
-    return j.select("doc_id", "parent", "component", "local_area_m2", R.stated_area_disagrees(F.col("local_area_m2"), F.col("stated")).alias("stated_area_disagrees"))
+    late = broken.where("reason = 'row after closure'").select("doc_id", F.lit(True).alias("late")).distinct()
+    j = g.join(heads, "doc_id").join(stated, "doc_id").join(late, "doc_id", "left")
+    return j.select("doc_id", "parent", "component", "local_area_m2", R.stated_area_disagrees(F.col("local_area_m2"), F.col("stated")).alias("stated_area_disagrees"),
+                    F.when(F.col("late"), "rejected").otherwise(F.col("state")).alias("state"))
 
 
 @query("r06_transcriptions", """
@@ -132,7 +147,7 @@ def statements(t):
     return found("quarter", STATEMENTS["quarter"]).unionByName(found("origin", STATEMENTS["origin"])).unionByName(found("division", STATEMENTS["division"]))
 
 
-@query("r10_unparsed_pages", "SELECT k AS doc_id, 5 AS page FROM parcels WHERE p_size = 4")
+@query("r10_unparsed_pages", "SELECT k AS doc_id, page FROM parcels, (SELECT unnest([6, 7]) AS page) WHERE p_size = 4 OR (p_size = 5 AND page = 7)")
 def unparsed_pages(t):
     """Pages with number pairs no table took up."""
     pages = scheme_pages(t)
@@ -147,7 +162,7 @@ def page_limit(t):
     """A ring left open on the last page read may continue beyond it; it is not accepted."""
     p, _ = R.table_points(scheme_pages(t))
     g = R.check_rings(p, ["doc_id", "label", "label_no"], explicit=False).where("vertices >= 3")
-    processed = F.when(F.col("doc_id") % 2 == 0, 5).otherwise(9)
+    processed = F.when(F.col("doc_id") % 2 == 0, 6).otherwise(9)
     return g.select("doc_id", ((F.col("closure") != "explicit") & ~F.array_contains("issues", "closing point moved") & (F.col("last_page") == processed)).alias("cut_off"))
 
 
