@@ -9,6 +9,7 @@ from groundsift.functions import text as X
 from groundsift.operators.ranking import global_rank
 from groundsift.plans.joins import BOX, candidates, number_geometries
 from groundsift.registry import query
+from groundsift.session import scratch_folder
 from groundsift.sources import contours, features, listings, sinks, traffic
 
 
@@ -276,10 +277,16 @@ def candidate_features(t):
 
 
 @query("s22_registry_csv", """
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 3 THEN concat('''', CASE o_orderkey % 4 WHEN 0 THEN '=1+1' WHEN 1 THEN ' @x' ELSE '-5' END) ELSE o_orderpriority END AS note FROM orders""")
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 5 WHEN 0 THEN chr(39) || '=1+1' WHEN 1 THEN chr(39) || ' @x' WHEN 2 THEN chr(39) || '-5' WHEN 3 THEN 'a;"b";c' ELSE o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 3 = 0 THEN chr(39) || '+' || o_orderpriority ELSE o_orderpriority END AS state FROM orders""")
 def registry_csv(t):
-    note = F.when(F.col("o_orderkey") % 4 == 0, "=1+1").when(F.col("o_orderkey") % 4 == 1, " @x").when(F.col("o_orderkey") % 4 == 2, "-5").otherwise(F.col("o_orderpriority"))
-    return t("orders").select(F.col("o_orderkey").alias("id"), X.safe_cell(note).alias("note"))
+    """The registry as a ``;`` separated file that no spreadsheet runs, written and read again."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 5 == 0, "=1+1").when(k % 5 == 1, " @x").when(k % 5 == 2, "-5").when(k % 5 == 3, 'a;"b";c').otherwise(F.col("o_orderpriority"))
+    state = F.when(k % 3 == 0, F.concat(F.lit("+"), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    path = scratch_folder(t.spark, "registry")
+    sinks.write_csv(t("orders").select(k.cast("string").alias("id"), note.alias("note"), state.alias("state")), path)
+    return sinks.read_csv(t.spark, path)
 
 
 @query("s23_vertex_rows", """
@@ -308,10 +315,21 @@ def observation_receipts(t):
     return expected.join(got, ["survey_id", "mode"], "left").select("survey_id", "mode", F.when(F.col("n") > 0, "received").otherwise("not_available").alias("state"), F.coalesce("n", F.lit(0)).alias("features"))
 
 
-@query("s26_version_addresses")
+@query("s26_version_addresses", """
+SELECT survey_id, count(*) AS rows, survey_id % 2 = 1 AS refused, CAST(CASE WHEN survey_id % 2 = 0 THEN sum(k) END AS BIGINT) AS loaded_keys FROM parcels GROUP BY survey_id""")
 def version_addresses(t):
-    """Content address of every window's parcel layer; row order does not matter."""
-    return sinks.content_id(t("parcels"), ["survey_id"], ["id", "cad_num", *BOX])
+    """A version of every window's parcels, written and loaded again; those of odd windows, altered in one row behind their address, are refused."""
+    path = scratch_folder(t.spark, "versions")
+    parcels = t("parcels").select("survey_id", "k", "id", "cad_num", *BOX)
+    sinks.write_versions(parcels, f"{path}/saved", ["survey_id"])
+    saved = t.spark.read.parquet(f"{path}/saved")
+    last = saved.groupBy("survey_id").agg(F.max("k").alias("last"))
+    touched = saved.join(last, "survey_id").withColumn("cad_num", F.when((F.col("survey_id") % 2 == 1) & (F.col("k") == F.col("last")), "90:00").otherwise(F.col("cad_num"))).drop("last")
+    touched.write.partitionBy("version").parquet(f"{path}/kept")
+    rows, states = sinks.load_versions(t.spark, f"{path}/kept", ["survey_id"])
+    counts = saved.groupBy("survey_id").agg(F.count("*").alias("rows"))
+    loaded = rows.groupBy("survey_id").agg(F.sum("k").alias("loaded_keys"))
+    return states.select("survey_id", "refused").join(counts, "survey_id").join(loaded, "survey_id", "left").select("survey_id", "rows", "refused", "loaded_keys")
 
 
 @query("s27_w19_latest_events", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")

@@ -12,7 +12,8 @@ from groundsift.operators.plots import feasible_squares, pick_plots
 from groundsift.operators.tiles import box_pieces, piece_join, tile_join
 from groundsift.plans.joins import BOX, candidates, overlay_layers
 from groundsift.registry import query
-from groundsift.session import cut
+from groundsift.session import cut, scratch_folder
+from groundsift.sources import sinks
 
 MIN_AREA, MAX_AREA, MIN_WIDTH = 1000.0, 20000.0, 50.0
 
@@ -28,7 +29,10 @@ def occupied(t, *names):
 
 def gap_table(t, min_width=MIN_WIDTH):
     """Pieces and one settled row per gap."""
-    w, occ = t("surveys"), occupied(t)
+    return settled_gaps(t("surveys"), occupied(t), min_width)
+
+
+def settled_gaps(w, occ, min_width):
     pieces = FS.free_pieces(w, occ, min_width)
     figures = FS.settle_width(pieces, FS.gap_figures(pieces, w), w, occ, min_width)
     return pieces, figures
@@ -282,3 +286,33 @@ def gap_outlines(t):
     rings = O.ring_figures(O.link_rings(O.boundary_sides(pieces)))
     g = rings.groupBy("survey_id", "gap").agg(F.round(F.sum("area"), 2).alias("outlined_m2"), F.round(F.sum("length"), 2).alias("outline_m"))
     return g.join(anchor, ["survey_id", "gap"]).drop("gap")
+
+
+@query("l09_recalculation", f"""WITH RECURSIVE {_CELLS},
+n AS (SELECT survey_id, count(*) AS source_rows FROM occ GROUP BY survey_id)
+SELECT g.survey_id, count(*) FILTER (WHERE area >= {MIN_AREA}) AS parent_gaps, count(*) FILTER (WHERE area >= 5000 AND is_wide) AS gaps,
+  count(*) FILTER (WHERE area >= 5000 AND is_wide) AS with_parent, any_value(n.source_rows) AS source_rows FROM gap g JOIN n ON g.survey_id = n.survey_id GROUP BY g.survey_id""")
+def recalculation(t):
+    """Free ground once more, with new parameters, from the layers of a saved version; the result names the one it came from."""
+    path = scratch_folder(t.spark, "surveys")
+    layers = None
+    for name in ("parcels", "buildings"):
+        rows = t(name).select(F.lit(name).alias("layer"), "survey_id", "id", *BOX)
+        layers = rows if layers is None else layers.unionByName(rows)
+    version = sinks.save(layers, f"{path}/layers")
+
+    def result(min_area, min_width, parent):
+        stored = sinks.load_version(t.spark, f"{path}/layers", version)  # refused if it no longer fits its address
+        _, f = settled_gaps(t("surveys"), stored.select("survey_id", *BOX, *FS.box_flat()), min_width)
+        kept = f.where((F.col("area") >= min_area) & F.col("wide")).select(
+            "survey_id", "gap_id", F.round("area", 2).alias("area_m2"), F.lit(version).alias("layers"), F.lit(min_area).alias("min_area"), F.lit(min_width).alias("min_width"), F.lit(parent).cast("string").alias("parent_id"))
+        name = sinks.save(cut(kept), f"{path}/results")
+        return name, sinks.load_version(t.spark, f"{path}/results", name)
+
+    parent_id, parent = result(MIN_AREA, 0.0, None)
+    _, new = result(5000.0, MIN_WIDTH, parent_id)
+    stored = sinks.load_version(t.spark, f"{path}/layers", version)
+    j = t("surveys").select("survey_id").join(parent.groupBy("survey_id").agg(F.count("*").alias("parent_gaps")), "survey_id", "left")
+    j = j.join(new.groupBy("survey_id").agg(F.count("*").alias("gaps"), F.count_if(F.col("parent_id") == parent_id).alias("with_parent")), "survey_id", "left")
+    j = j.join(stored.groupBy("survey_id").agg(F.count("*").alias("source_rows")), "survey_id")
+    return j.fillna(0, ["parent_gaps", "gaps", "with_parent"])

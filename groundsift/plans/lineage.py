@@ -102,15 +102,6 @@ def lookup_states(t):
     return n.select("k", state.alias("state"), (state != "received").alias("retry"))
 
 
-@query("l09_recalculation", """
-SELECT survey_id, count(*) FILTER (WHERE a >= 20000) AS kept, count(*) FILTER (WHERE a >= 20000) < count(*) FILTER (WHERE a >= 10000) AS fewer_than_parent, count(*) AS source_rows FROM (SELECT survey_id, (x1 - x0) * (y1 - y0) AS a FROM parcels) GROUP BY survey_id""")
-def recalculation(t):
-    """New parameters on stored layers: the source rows and dates stay, only the choice changes."""
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    kept, parent = F.count_if(area >= 20000), F.count_if(area >= 10000)
-    return t("parcels").groupBy("survey_id").agg(kept.alias("kept"), (kept < parent).alias("fewer_than_parent"), F.count("*").alias("source_rows"))
-
-
 @query("l10_rematch", """
 WITH s AS (SELECT survey_id, wx0 + 400 AS a, wy0 + 400 AS b, wx1 - 400 AS c, wy1 - 400 AS d FROM surveys)
 SELECT l.lot_id, count(DISTINCT CASE WHEN least(p.x1, s.c) > greatest(p.x0, s.a) AND least(p.y1, s.d) > greatest(p.y0, s.b) THEN p.k END) AS matched FROM lots l JOIN s ON l.survey_id = s.survey_id JOIN lot_numbers n ON l.lot_id = n.lot_id JOIN parcels p ON n.k = p.k GROUP BY l.lot_id""")

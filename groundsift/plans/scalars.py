@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundsift.functions import text as X
+from groundsift.operators.jsontree import has_key
 from groundsift.registry import query
 
 
@@ -180,12 +181,21 @@ def rounded_metrics(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.avg("l_quantity"), 1).alias("mean"))
 
 
-@query("f16_forbidden_keys", "SELECT event_id, event_type = 'error' AS forbidden FROM events")
+# Keys that no imported answer may hold.
+FORBIDDEN_KEYS = ("authorization", "cookie", "cookies", "headers", "requestheaders", "responseheaders", "access_token", "refresh_token",
+                  "accesstoken", "refreshtoken", "password", "token", "set-cookie")
+
+
+@query("f16_forbidden_keys", "SELECT event_id, event_id % 7 <> 5 AS readable, event_id % 7 IN (0, 1, 3) AS forbidden FROM events")
 def forbidden_keys(t):
-    """Credential-like keys anywhere in a JSON tree."""
-    body = F.concat(F.lit('{"a":[{"b":'), "props", F.lit(',"'), F.when(F.col("event_type") == "error", "Access_Token").otherwise("note"), F.lit('":"cookie"}]}'))
-    keys = F.regexp_extract_all(body, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
-    return t("events").select("event_id", F.exists(keys, lambda k: F.lower(k).rlike("|".join(X.SENSITIVE_KEYS[:1] + ("auth", "cookie", "session")))).alias("forbidden"))
+    """Credential keys anywhere in a JSON tree: escaped ones, deep ones; not words in values, longer keys or broken texts."""
+    k = F.col("event_id") % 7
+    body = (F.when(k == 0, F.concat(F.lit('{"a":[{"b":'), "props", F.lit(',"Access_Token":"x"}]}'))).when(k == 1, F.concat(F.lit('{"a":{"\\u0074oken":'), "props", F.lit("}}")))
+            .when(k == 2, F.concat(F.lit('{"a":"\\"token\\":1","note":"cookie","b":'), "props", F.lit("}")))
+            .when(k == 3, F.concat(F.lit('{"a":[' * 10), F.lit('{"Set-Cookie":'), "props", F.lit("}"), F.lit("]}" * 10)))
+            .when(k == 4, F.concat(F.lit('{"tokens":1,"my_password_hint":[2,{"cook":3}],"b":'), "props", F.lit("}")))
+            .when(k == 5, F.concat(F.lit('{"token":'), "props")).otherwise(F.concat(F.lit("["), "props", F.lit(',"token"]'))))
+    return has_key(t("events").select("event_id", body.alias("body")), "event_id", F.col("body"), FORBIDDEN_KEYS)
 
 
 @query("f17_path_templates", """
