@@ -109,8 +109,8 @@ def cover(x1, y1, x2, y2, owner, sign=None):
     return [tuple(p) for p in done]
 
 
-def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None):
-    """Free trapezoids of a rectangle and the pairs that share a stretch of horizontal side.
+def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
+    """Free trapezoids of a rectangle, or with ``inside`` covered ones, and the pairs that share a stretch of horizontal side.
 
     Returns (pieces, links); a piece is (y0, y1, xl0, xl1, xr0, xr1).
     """
@@ -125,7 +125,7 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None):
         return float(x1[e] + slope[e] * (y - y1[e]))
 
     if not len(y1):
-        return [(by0, by1, bx0, bx0, bx1, bx1)], []
+        return ([] if inside else [(by0, by1, bx0, bx0, bx1, bx1)]), []
     # walls act as sides too, so slanted sides are cut where they meet a wall
     wx = np.array([bx0, bx1])
     wy0, wy1 = np.array([by0, by0]), np.array([by1, by1])
@@ -137,10 +137,9 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None):
         inner = extra[(extra > ya + 1e-9) & (extra < yb - 1e-9)]
         for za, zb in zip(np.concatenate([[ya], inner]), np.concatenate([inner, [yb]])):
             za, zb = float(za), float(zb)
-            bounds = [left_wall]
-            for le, re in zip(left.tolist(), right.tolist()):
-                bounds += [le, re]
-            bounds.append(right_wall)
+            bounds = [e for pair in zip(left.tolist(), right.tolist()) for e in pair]
+            if not inside:
+                bounds = [left_wall, *bounds, right_wall]
             here = []
             for le, re in zip(bounds[0::2], bounds[1::2]):
                 l0, l1, r0, r1 = at(le, za), at(le, zb), at(re, za), at(re, zb)

@@ -258,15 +258,22 @@ def synthetic_layers(t):
     return g.select("survey_id", "role", "ord", x.alias("x0"), y.alias("y0"), (x + 30).alias("x1"), (y + 10).alias("y1"))
 
 
-@query("s20_clipped_layers", """
-SELECT p.survey_id, p.id, p.cad_num AS label, round(greatest(0, least(x1, wx1 - 400) - greatest(x0, wx0 + 400)) * greatest(0, least(y1, wy1 - 400) - greatest(y0, wy0 + 400)), 2) AS area_m2
-FROM parcels p JOIN surveys s ON p.survey_id = s.survey_id WHERE least(x1, wx1 - 400) > greatest(x0, wx0 + 400) AND least(y1, wy1 - 400) > greatest(y0, wy0 + 400)""")
+_FORK = """(SELECT survey_id, id, cad_num, x0, y0, x1, (y0 + y1) / 2 AS y1, 1 AS s FROM parcels UNION ALL SELECT survey_id, id, cad_num, x0, (y0 + y1) / 2, x0 + (x1 - x0) / 4, y1, 1 FROM parcels
+ UNION ALL SELECT survey_id, id, cad_num, x1 - (x1 - x0) / 4, (y0 + y1) / 2, x1, y1, 1 FROM parcels UNION ALL SELECT survey_id, id, cad_num, x0 + 10, y0 + 10, x0 + 20, y0 + 20, -1 FROM parcels)"""
+
+
+@query("s20_clipped_layers", f"""
+SELECT p.survey_id, p.id, p.cad_num AS label, round(sum(p.s * (least(x1, wx1 - 400) - greatest(x0, wx0 + 400)) * (least(y1, wy1 - 400) - greatest(y0, wy0 + 400))), 2) AS area_m2
+FROM {_FORK} p JOIN surveys s ON p.survey_id = s.survey_id WHERE least(x1, wx1 - 400) > greatest(x0, wx0 + 400) AND least(y1, wy1 - 400) > greatest(y0, wy0 + 400) GROUP BY p.survey_id, p.id, p.cad_num""")
 def clipped_layers(t, inset: float = 400.0):
-    """Layer export with geometry cut to the window; objects outside it are left out."""
-    j = t("parcels").join(t("surveys"), "survey_id")
-    ring = G.clip_ring(G.box_ring(*[F.col(c) for c in BOX]), F.col("wx0") + inset, F.col("wy0") + inset, F.col("wx1") - inset, F.col("wy1") - inset)
-    c = j.select("survey_id", "id", F.col("cad_num").alias("label"), F.abs(G.ring_area(ring)).alias("a"))
-    return c.where("a > 0").select("survey_id", "id", "label", F.round("a", 2).alias("area_m2"))
+    """Layer export with polygons cut to the window, holes and arms kept; objects outside it are left out."""
+    from groundsift.operators.clipping import clipped_figures
+    from groundsift.operators.freespace import flat_geometry
+    from groundsift.plans.shapes import forked
+
+    w = t("surveys").select("survey_id", (F.col("wx0") + inset).alias("bx0"), (F.col("wy0") + inset).alias("by0"), (F.col("wx1") - inset).alias("bx1"), (F.col("wy1") - inset).alias("by1"))
+    p = t("parcels").select("survey_id", "id", "cad_num", *BOX, *flat_geometry(forked())).join(w, "survey_id").where("x1 > bx0 AND x0 < bx1 AND y1 > by0 AND y0 < by1")
+    return clipped_figures(p).join(t("parcels").select("survey_id", "id", F.col("cad_num").alias("label")), ["survey_id", "id"]).select("survey_id", "id", "label", F.round("area_m2", 2).alias("area_m2"))
 
 
 @query("s21_candidate_features", """

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
+from groundsift.operators import clipping as CL
 from groundsift.operators import freespace as FS
 from groundsift.operators import pairs
 from groundsift.operators import validity as V
@@ -273,13 +274,23 @@ def boundary_touch(t):
     return j.select("id", (F.least(cx0() - F.col("wx0"), cy0() - F.col("wy0"), F.col("wx1") - cx1(), F.col("wy1") - cy1()) < 0.1).alias("touches"))
 
 
-@query("g16_clip_l_shape", """
-WITH l AS (SELECT p.id, wx0 + 500 AS a, wy0 + 500 AS b, wx1 - 500 AS c, wy1 - 500 AS d, x0, y0, x1, y1, (x0 + x1) / 2 AS xm, (y0 + y1) / 2 AS ym FROM parcels p JOIN surveys s ON p.survey_id = s.survey_id)
-SELECT id, round(greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(ym, d) - greatest(y0, b)) + greatest(0, least(xm, c) - greatest(x0, a)) * greatest(0, least(y1, d) - greatest(ym, b)), 2) AS area_m2 FROM l""")
-def clip_l_shape(t, inset: float = 500.0):
-    j = t("parcels").join(t("surveys"), "survey_id").withColumn("r", F.get(F.get(l_shape(), F.lit(0)), F.lit(0)))
-    ring = G.clip_ring(F.col("r"), F.col("wx0") + inset, F.col("wy0") + inset, F.col("wx1") - inset, F.col("wy1") - inset)
-    return j.select("id", F.round(F.coalesce(F.abs(G.ring_area(ring)), F.lit(0.0)), 2).alias("area_m2"))
+def forked():
+    """Box with a notch from above, half as wide and half as high, and a square hole of 10 m in its lower left."""
+    left, right = cx0() + (cx1() - cx0()) / 4, cx1() - (cx1() - cx0()) / 4
+    ring = F.array(G.point(cx0(), cy0()), G.point(cx1(), cy0()), G.point(cx1(), cy1()), G.point(right, cy1()), G.point(right, cym()), G.point(left, cym()), G.point(left, cy1()), G.point(cx0(), cy1()), G.point(cx0(), cy0()))
+    return F.array(F.array(ring, F.get(F.get(framed(), F.lit(0)), F.lit(1))))
+
+
+@query("g16_clip_to_window", """
+WITH p AS (SELECT survey_id, id, k % 5 AS kind, x1 - x0 AS w, y1 - y0 AS h FROM parcels)
+SELECT survey_id, id, round(CASE kind WHEN 0 THEN w * h * 0.75 - 100 WHEN 1 THEN w * (h - 15) - w * h / 4 - 50 WHEN 2 THEN w / 2 * (h / 2 - 10) ELSE w * h * 0.75 - 15 * h - 50 END, 2) AS area_m2,
+  CAST(CASE kind WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS parts, CAST(CASE kind WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS holes FROM p WHERE kind < 4""")
+def clip_to_window(t):
+    """Forked parcels in windows that hold them whole, cut through their hole from below or from the left, cut their arms apart, or miss them."""
+    kind = F.col("k") % 5
+    p = t("parcels").select("survey_id", "id", *FS.flat_geometry(forked()), F.when(kind == 3, cx0() + 15).otherwise(cx0() - 5).alias("bx0"),
+                            F.when(kind == 1, cy0() + 15).when(kind == 2, cym() + 10).when(kind == 4, cy1() + 1).otherwise(cy0() - 5).alias("by0"), (cx1() + 5).alias("bx1"), (cy1() + 5).alias("by1"))
+    return CL.clipped_figures(p).select("survey_id", "id", F.round("area_m2", 2).alias("area_m2"), "parts", "holes")
 
 
 @query("g17_rotated_squares", "SELECT id, CAST(900.0 AS DOUBLE) AS area_m2, round(30 * (abs(cos(radians(p_size % 90))) + abs(sin(radians(p_size % 90)))), 3) AS width_m FROM parcels")

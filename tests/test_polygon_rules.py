@@ -126,3 +126,30 @@ def test_ground_left_with_clearance(spark, jts):
     left = jts.polygon([(50, 60), (650, 60), (650, 640), (50, 640), (50, 60)]).difference(union)
     want = sorted(left.getGeometryN(i).getArea() for i in range(left.getNumGeometries()))
     assert sorted(r.area for r in got) == pytest.approx(want, rel=2e-4)
+
+
+def test_clipped_polygons(spark, jts):
+    """Windows through spiky polygons with a hole: area, outline, parts and holes of what lies inside."""
+    from groundsift.operators import clipping as CL
+
+    r = random.Random(12)
+    rows, want = [], {}
+    for i in range(24):
+        n = r.randrange(7, 14)
+        radius = [100 * (0.45 + 0.55 * r.random()) for _ in range(n)]
+        shell = [(round(radius[k] * math.cos(2 * math.pi * k / n), 3), round(radius[k] * math.sin(2 * math.pi * k / n), 3)) for k in range(n)]
+        hole = [(-20.0, -11.0), (5.0, 17.0), (18.0, -9.0), (-20.0, -11.0)]
+        geom = [[[*shell, shell[0]], hole]]
+        x, y = round(r.uniform(-90, 30), 2), round(r.uniform(-90, 30), 2)
+        window = (x, y, x + round(r.uniform(20, 120), 2), y + round(r.uniform(20, 120), 2))
+        rows.append((1, f"g{i}", [[[{"x": a, "y": b} for a, b in q] for q in p] for p in geom], *window))
+        a, b, c, d = window
+        cut = jts.of(wkt(geom)).intersection(jts.polygon([(a, b), (c, b), (c, d), (a, d), (a, b)]))
+        parts = [cut.getGeometryN(k) for k in range(cut.getNumGeometries())]
+        if cut.getArea() > 0:
+            want[f"g{i}"] = (cut.getArea(), len(parts), sum(p.getNumInteriorRing() for p in parts))
+    df = spark.createDataFrame(rows, f"survey_id long, id string, geom {GEOM}, bx0 double, by0 double, bx1 double, by1 double")
+    got = {x.id: x for x in CL.clipped_figures(df.select("survey_id", "id", *FS.flat_geometry(F.col("geom")), *CL.WINDOW)).collect()}
+    assert set(got) == set(want) and {w[1] for w in want.values()} > {1} and {w[2] for w in want.values()} == {0, 1}
+    for k, (area, parts, holes) in want.items():
+        assert (got[k].parts, got[k].holes) == (parts, holes) and got[k].area_m2 == pytest.approx(area, abs=1e-3), k
