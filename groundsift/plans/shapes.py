@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
+from groundsift.operators import agreement as AG
 from groundsift.operators import clipping as CL
 from groundsift.operators import freespace as FS
 from groundsift.operators import pairs
@@ -389,38 +390,44 @@ def access_state(t):
 
 
 def agreement_pairs(t):
-    """Outline against a reference: shifted by p_size / 10 m, some with one more vertex moved."""
-    s = F.col("p_size") / 10.0
-    moved = F.array(F.array(F.array(G.point(cx0() + s, cy0()), G.point(cx1() + s, cy0()), G.point(cx1() + s, cy1()), G.point(cx0() + s, cy1()), G.point(cx0() + s, cy0()))))
-    return t("parcels").select("id", "p_size", box_of(None).alias("a"), moved.alias("b"), *BOX)
+    """Holed outlines of two parts against a reference, shifted by p_size / 10 m.
 
+    k says how else the reference differs: 1 has one part only, 2 lists its parts the other way round, 3 has two strips where the outline has one.
+    """
+    s, kind = F.col("p_size") / 10.0, F.col("k") % 4
 
-@query("g20_a39_agreement", """
-WITH v AS (SELECT id, p_size / 10.0 AS s, x1 - x0 AS w, y1 - y0 AS h FROM parcels)
-SELECT id, round(s, 4) AS vertex_gap_m, round(s, 4) AS boundary_gap_m, CAST(0.0 AS DOUBLE) AS area_difference_percent, round((w - s) * h / (w * h + s * h), 6) AS iou, round(s, 4) AS centroid_distance_m,
-  CASE WHEN s <= 3 THEN 'consistent_with_reference' ELSE 'reference_disagrees' END AS verdict FROM v""")
+    def strip(shift, low):
+        return F.array(G.box_ring(cx1() + 5 + shift, cy0() + low, cx1() + 15 + shift, cy0() + low + 2))
+
+    moved = G.map_points(framed(), lambda x, y: (x + s, y))
+    main, second = F.get(moved, F.lit(0)), F.get(moved, F.lit(1))
+    a = F.when(kind == 3, F.array(F.get(framed(), F.lit(0)), strip(F.lit(0.0), 0))).otherwise(framed())
+    b = F.when(kind == 1, F.array(main)).when(kind == 2, F.array(second, main)).when(kind == 3, F.array(main, strip(s, 0), strip(s, 2.5))).otherwise(moved)
+    return t("parcels").select("id", a.alias("a"), b.alias("b"))
+
+
+_AGREE = """v AS (SELECT id, k % 4 AS kind, p_size / 10.0 AS s, x1 - x0 AS w, y1 - y0 AS h FROM parcels),
+q AS (SELECT id, 'a' AS side, w * h AS m, w / 2 AS cx, h / 2 AS cy FROM v UNION ALL SELECT id, 'a', -100, 15, 15 FROM v UNION ALL SELECT id, 'a', 100, w + 10, 5 FROM v WHERE kind <> 3 UNION ALL SELECT id, 'a', 20, w + 10, 1 FROM v WHERE kind = 3
+  UNION ALL SELECT id, 'b', w * h, w / 2 + s, h / 2 FROM v UNION ALL SELECT id, 'b', -100, 15 + s, 15 FROM v UNION ALL SELECT id, 'b', 100, w + 10 + s, 5 FROM v WHERE kind IN (0, 2)
+  UNION ALL SELECT id, 'b', 20, w + 10 + s, 1 FROM v WHERE kind = 3 UNION ALL SELECT id, 'b', 20, w + 10 + s, 3.5 FROM v WHERE kind = 3),
+c AS (SELECT id, side, sum(m) AS area, sum(m * cx) / sum(m) AS cx, sum(m * cy) / sum(m) AS cy FROM q GROUP BY id, side),
+g AS (SELECT v.*, a.area AS area_a, b.area AS area_b, sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) AS far, (w - s) * h - 200 + (10 - s) * 10 + CASE kind WHEN 1 THEN 0 WHEN 3 THEN (10 - s) * 2 ELSE (10 - s) * 10 END AS common,
+  CASE kind WHEN 1 THEN 15 - s WHEN 3 THEN sqrt(s * s + 6.25) ELSE s END AS gap FROM v JOIN c a ON v.id = a.id AND a.side = 'a' JOIN c b ON v.id = b.id AND b.side = 'b')"""
+
+
+@query("g20_a39_agreement", f"""
+WITH {_AGREE} SELECT id, round(gap, 4) AS vertex_gap_m, round(gap, 4) AS boundary_gap_m, CAST(round(abs(area_a - area_b) / area_b * 100, 6) AS DOUBLE) AS area_difference_percent, CAST(round(common / (area_a + area_b - common), 6) AS DOUBLE) AS iou,
+  CAST(round(far, 4) AS DOUBLE) AS centroid_distance_m, CASE WHEN s <= 3 AND kind IN (0, 2) THEN 'consistent_with_reference' ELSE 'reference_disagrees' END AS verdict FROM g""")
 def agreement(t, tolerance: float = 3.0):
-    p = agreement_pairs(t)
-    s = p.select("id", pairs.vertex_gap(F.col("a"), F.col("b")).alias("vg"), pairs.boundary_gap(F.col("a"), F.col("b"), 5.0).alias("bg"),
-                 G.area(F.col("a")).alias("aa"), G.area(F.col("b")).alias("ab"), G.centroid(F.col("a")).alias("ca"), G.centroid(F.col("b")).alias("cb"),
-                 G.piece_overlap(G.box_piece(cx0(), cy0(), cx1(), cy1()), G.box_piece(cx0() + F.col("p_size") / 10.0, cy0(), cx1() + F.col("p_size") / 10.0, cy1())).alias("ov"))
-    delta = F.abs(F.col("aa") - F.col("ab")) / F.col("ab")
-    close = (F.round("vg", 6) <= tolerance) & (delta <= 0.01)
-    return s.select("id", F.round("vg", 4).alias("vertex_gap_m"), F.round("bg", 4).alias("boundary_gap_m"), F.round(delta * 100, 6).alias("area_difference_percent"),
-                    F.round(F.col("ov") / (F.col("aa") + F.col("ab") - F.col("ov")), 6).alias("iou"),
-                    F.round(F.hypot(F.col("ca.x") - F.col("cb.x"), F.col("ca.y") - F.col("cb.y")), 4).alias("centroid_distance_m"),
-                    F.when(close & (F.round("bg", 6) <= tolerance), "consistent_with_reference").when(close, "vertices_consistent_boundary_differs")
-                    .otherwise("reference_disagrees").alias("verdict"))
+    g = AG.agreement(agreement_pairs(t), tolerance)
+    return g.select("id", F.round("vertex_gap_m", 4).alias("vertex_gap_m"), F.round("boundary_gap_m", 4).alias("boundary_gap_m"), F.round(F.col("area_difference") * 100, 6).alias("area_difference_percent"),
+                    F.round("iou", 6).alias("iou"), F.round("centroid_distance_m", 4).alias("centroid_distance_m"), "verdict")
 
 
 @query("j40_part_matching", """
-SELECT id, CASE WHEN p_size / 10.0 <= 3 THEN 1 ELSE 0 END AS matched_parts, p_size / 10.0 <= 3 AS unique_both_ways FROM parcels""")
+WITH v AS (SELECT id, k % 4 AS kind, p_size / 10.0 AS s FROM parcels)
+SELECT id, CAST(2 AS BIGINT) AS parts_a, CAST(CASE kind WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS parts_b,
+  CAST(CASE WHEN s > 3 THEN 0 WHEN kind = 1 THEN 1 WHEN kind = 3 AND s <= 1.65 THEN 3 ELSE 2 END AS BIGINT) AS fits, s <= 3 AND kind IN (0, 2) AS "unique" FROM v""")
 def part_matching(t, tolerance: float = 3.0):
     """Parts of two outlines paired within 3 m and one percent of area; each must be the other's only fit."""
-    p = agreement_pairs(t).select("id", F.posexplode("a").alias("i", "pa"), "b").select("id", "i", "pa", F.posexplode("b").alias("j", "pb"))
-    one = lambda c: F.array(F.col(c))
-    fit = (F.round(pairs.vertex_gap(one("pa"), one("pb")), 6) <= tolerance) & (F.abs(G.part_area(F.col("pa")) - G.part_area(F.col("pb"))) / G.part_area(F.col("pb")) <= 0.01)
-    f = p.withColumn("fit", fit)
-    g = f.groupBy("id").agg(F.count_if("fit").cast("int").alias("matched_parts"), F.count_distinct("i").alias("left"), F.count_distinct("j").alias("right"),
-                            F.count_distinct(F.when(F.col("fit"), F.col("i"))).alias("li"), F.count_distinct(F.when(F.col("fit"), F.col("j"))).alias("rj"))
-    return g.select("id", "matched_parts", ((F.col("left") == F.col("right")) & (F.col("li") == F.col("left")) & (F.col("rj") == F.col("right")) & (F.col("matched_parts") == F.col("left"))).alias("unique_both_ways"))
+    return AG.matched_parts(agreement_pairs(t), tolerance)

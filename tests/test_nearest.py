@@ -75,3 +75,19 @@ def test_boxes_in_one_pass(spark):
     for _, i, x0, y0, x1, y1 in rows:
         want = sorted((math.hypot(max(0, b[2] - x1, x0 - b[4]), max(0, b[3] - y1, y0 - b[5])), b[1]) for b in rows)[:4]
         assert [got[i, k + 1][0] for k in range(4)] == [w[1] for w in want]
+
+
+def test_gaps_of_outlines(jts):
+    """Directed gaps, with bounds and early stop, against every point and every side."""
+    from groundsift.operators import agreement as AG
+
+    for seed in range(5):
+        a, b = star(0, 0, 100, 60 + seed, seed), star(3, 2, 100, 75, seed + 9)
+        flat = lambda p: knn.sides_of([x for x, _ in p], [y for _, y in p], [len(p)])
+        ring = jts.polygon(b).getBoundary()
+        for step in (1e9, 1.0):
+            points = AG.densified(flat(a), step)
+            want = max(ring.distance(jts.of(f"POINT({x!r} {y!r})")) for x, y in points.tolist())
+            assert AG.directed_gap(points, flat(b)) == pytest.approx(want, abs=1e-9)
+        inner = AG.densified(flat(a), 1.0)
+        assert np.hypot(*np.diff(inner, axis=0).T).max() <= 1 + 1e-9 and {tuple(p) for p in flat(a)[:, :2].tolist()} <= {tuple(p) for p in inner.tolist()}
