@@ -9,7 +9,7 @@ from groundsift.plans.joins import BOX
 from groundsift.registry import query
 from groundsift.session import scratch_folder
 from groundsift.sources.sinks import content_id
-from groundsift.streaming import observations
+from groundsift.streaming import lookups, observations
 
 VERSION = 16
 
@@ -102,6 +102,28 @@ def lookup_states(t):
     return n.select("k", state.alias("state"), (state != "received").alias("retry"))
 
 
+_ANSWERS = """a AS (SELECT user_id AS number, event_id AS answer, CASE event_type WHEN 'view' THEN 'received' WHEN 'click' THEN 'not_found' WHEN 'signup' THEN 'not_returned' WHEN 'purchase' THEN 'rejected' ELSE 'error' END AS state,
+  event_id % 3 = 0 AS retry FROM events)"""
+
+
+@query("l08_u06_lookup_runs", f"""
+WITH {_ANSWERS}, g AS (SELECT number, list({{'state': state, 'answer': answer, 'counted': CAST(1 AS BIGINT), 'retry': retry}} ORDER BY answer) AS l FROM a GROUP BY number),
+r AS (SELECT number, list_reduce(l, lambda s, x: CASE WHEN s.state = 'error' OR (s.state <> 'received' AND x.retry) THEN {{'state': x.state, 'answer': x.answer, 'counted': s.counted + 1, 'retry': x.retry}} ELSE s END) AS m FROM g)
+SELECT number, m.state AS state, m.answer AS answer, m.counted AS counted, m.state <> 'received' AS open FROM r""")
+def lookup_runs(t):
+    """Answers that land in two halves and are taken in by two runs of one checkpoint; then the first half lands once more and a third run takes nothing from it."""
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "received").when(kind == "click", "not_found").when(kind == "signup", "not_returned").when(kind == "purchase", "rejected").otherwise("error")
+    answers = t("events").select(F.col("user_id").cast("long").alias("number"), F.col("event_id").cast("long").alias("answer"), state.alias("state"), (F.col("event_id") % 3 == 0).alias("retry"))
+    middle = t("events").agg(F.expr("approx_percentile(event_id, 0.5)").alias("m")).first()["m"]
+    work = scratch_folder(t.spark, "lookups")
+    first = answers.where(F.col("answer") <= F.lit(middle))
+    for landed in (first, answers.where(F.col("answer") > F.lit(middle)), first):
+        landed.write.mode("append").parquet(f"{work}/landed")
+        lookups.run(t.spark, f"{work}/landed", answers.schema, f"{work}/states", f"{work}/checkpoint")
+    return lookups.current(t.spark, f"{work}/states")
+
+
 @query("l10_rematch", """
 WITH s AS (SELECT survey_id, wx0 + 400 AS a, wy0 + 400 AS b, wx1 - 400 AS c, wy1 - 400 AS d FROM surveys)
 SELECT l.lot_id, count(DISTINCT CASE WHEN least(p.x1, s.c) > greatest(p.x0, s.a) AND least(p.y1, s.d) > greatest(p.y0, s.b) THEN p.k END) AS matched FROM lots l JOIN s ON l.survey_id = s.survey_id JOIN lot_numbers n ON l.lot_id = n.lot_id JOIN parcels p ON n.k = p.k GROUP BY l.lot_id""")
