@@ -42,13 +42,14 @@ def stale_results(t):
     return j.groupBy("survey_id").agg((F.bool_or(~F.col("saved").eqNullSafe(F.col("version"))) | F.bool_or(F.coalesce(F.col("calculation"), F.lit(0)) != VERSION)).alias("stale"))
 
 
-@query("l03_survey_signature", "SELECT survey_id, true AS same_after_reorder, false AS same_after_move FROM surveys")
+@query("l03_survey_signature", "SELECT survey_id, survey_id % 3 <> 1 AS same_after_reorder, survey_id % 2 = 0 AS same_after_move FROM surveys")
 def survey_signature(t):
-    """Only what geometry depends on enters the signature: order and labels do not, coordinates do."""
+    """Only what geometry depends on enters the signature: order and labels do not; a repeated object, in every third window, and a moved one, in every other, do."""
     p = t("parcels")
     a = content_id(p, ["survey_id"], ["id", *BOX]).select("survey_id", F.col("version").alias("a"))
-    b = content_id(p.orderBy(F.desc("k")).withColumn("p_name", F.lit("renamed")), ["survey_id"], ["id", *BOX]).select("survey_id", F.col("version").alias("b"))
-    c = content_id(p.withColumn("x1", F.col("x1") + F.when(F.col("k") % 200 == 0, 1).otherwise(0)), ["survey_id"], ["id", *BOX]).select("survey_id", F.col("version").alias("c"))
+    again = p.where("survey_id % 3 = 1 AND k % 200 = 0")
+    b = content_id(p.unionByName(again).orderBy(F.desc("k")).withColumn("p_name", F.lit("renamed")), ["survey_id"], ["id", *BOX]).select("survey_id", F.col("version").alias("b"))
+    c = content_id(p.withColumn("x1", F.col("x1") + F.when((F.col("k") % 200 == 0) & (F.col("survey_id") % 2 == 1), 1).otherwise(0)), ["survey_id"], ["id", *BOX]).select("survey_id", F.col("version").alias("c"))
     return a.join(b, "survey_id").join(c, "survey_id").select("survey_id", (F.col("a") == F.col("b")).alias("same_after_reorder"), (F.col("a") == F.col("c")).alias("same_after_move"))
 
 

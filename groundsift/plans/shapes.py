@@ -261,11 +261,15 @@ def coordinate_budget(t):
     return t("parcels").groupBy("survey_id").agg(n.alias("coordinates"), (n <= 200_000).alias("within_budget"))
 
 
-@query("g14_geometry_identity", "SELECT id, true AS same_ring FROM parcels")
+@query("g14_geometry_identity", "SELECT id, k % 3 <> 1 AS same_ring, k % 3 = 0 AS same_parts FROM parcels")
 def geometry_identity(t):
-    """Another start and direction of the ring is the same geometry."""
-    turned = F.array(F.array(F.array(G.point(cx1(), cy1()), G.point(cx1(), cy0()), G.point(cx0(), cy0()), G.point(cx0(), cy1()), G.point(cx1(), cy1()))))
-    return t("parcels").select("id", (G.geometry_hash(box_of(None)) == G.geometry_hash(turned)).alias("same_ring"))
+    """Another start, another direction or another order of parts is the same geometry; a corner moved by a micrometre, or a part left out, is not."""
+    k = F.col("k") % 3
+    corner = F.when(k == 1, cx1() + 1e-6).otherwise(cx1())
+    forth = F.array(G.point(corner, cy1()), G.point(cx0(), cy1()), G.point(cx0(), cy0()), G.point(cx1(), cy0()), G.point(corner, cy1()))
+    turned = F.array(F.array(F.when(k == 0, F.reverse(forth)).otherwise(forth)))
+    parts = F.when(k == 0, F.reverse(framed())).when(k == 1, F.slice(framed(), 1, 1)).otherwise(G.map_points(framed(), lambda x, y: (x, y + 1e-6)))
+    return t("parcels").select("id", (G.geometry_hash(box_of(None)) == G.geometry_hash(turned)).alias("same_ring"), (G.geometry_hash(framed()) == G.geometry_hash(parts)).alias("same_parts"))
 
 
 @query("g15_boundary_touch", """
