@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.functions.text import literal_number, squash
+from groundsift.session import cut
 
 # Wording of headings and the shape of a point row.
 DESIGNATION = r"(?iu)Обозначение земельного\s+участка\s+(:ЗУ\d+|\d{1,2}:\d{1,2}:\d{1,10}:\d{1,10}(?:\(\d+\))?)"
@@ -88,7 +89,7 @@ def table_points(pages: DataFrame, doc: Sequence[str] = ("doc_id",), heading: st
     repeats the first label.  Returns (points, broken lines with their reason).
     """
     keys = [*doc, "label", "label_no"]
-    l = table_lines(pages, doc, heading, footer).where("state = 2")
+    l = cut(table_lines(pages, doc, heading, footer).where("state = 2"))  # read four times below
     rows = (l.where(F.col("kind") == ROW).withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "line")))
             .withColumn("point", F.regexp_extract("text", POINT, 1)))
     # a table is one ring: its first label, and where it comes up again

@@ -9,6 +9,7 @@ from groundsift.functions import text as X
 from groundsift.operators import layout as L
 from groundsift.operators import rings as R
 from groundsift.registry import query
+from groundsift.session import cut
 
 
 def scheme_pages(t):
@@ -94,14 +95,22 @@ def components(t):
 
 
 @query("r06_transcriptions", """
-SELECT conv_id, count(*) AS rows, count(*) FILTER (WHERE (conv_id + turn) % 6 = 0) AS differing, count(*) FILTER (WHERE (conv_id + turn) % 6 = 0) = 0 AS accepted FROM conversations GROUP BY conv_id""")
+WITH p AS (SELECT k AS doc_id, p_size, k % 6 AS slip, CASE p_size WHEN 1 THEN 4 WHEN 4 THEN 2 ELSE 5 END AS n FROM parcels)
+SELECT doc_id, CAST(n + CASE slip WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS typed_rows, CAST(CASE WHEN slip IN (1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS differing,
+  slip IN (0, 1, 4, 5) AND p_size NOT IN (1, 2, 3, 4) AS ring_holds, slip IN (0, 4, 5) AND p_size NOT IN (1, 2, 3, 4) AS accepted FROM p""")
 def transcriptions(t):
-    """Typed rows against drafted rows, ordinal by ordinal."""
-    c = t("conversations")
-    draft = c.select("conv_id", "turn", F.length("text").alias("v"))
-    typed = c.select("conv_id", "turn", (F.length("text") + F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, 1).otherwise(0)).alias("w"))
-    j = draft.join(typed, ["conv_id", "turn"], "full").withColumn("bad", ~F.col("v").eqNullSafe(F.col("w")))
-    return j.groupBy("conv_id").agg(F.count("*").alias("rows"), F.count_if("bad").alias("differing"), (F.count_if("bad") == 0).alias("accepted"))
+    """Typed rows against drafted ones, ordinal by ordinal, and the ring rules on what was typed; one in six has a slip in a number, a row left out or one too many."""
+    keys, slip = ["doc_id", "label", "label_no"], F.col("doc_id") % 6
+    draft, _ = R.table_points(scheme_pages(t))
+    draft = cut(draft)
+    rows = draft.join(draft.groupBy(*keys).agg(F.max("ord").alias("n")), keys)
+    typed = rows.where(~((slip == 2) & (F.col("ord") == F.col("n")))).select(*keys, "ord", "point", (F.col("x") + F.when((slip == 1) & (F.col("ord") == 2), 1).otherwise(0)).alias("x"), "y", "page")
+    typed = typed.unionByName(rows.where((slip == 3) & (F.col("ord") == F.col("n"))).select(*keys, (F.col("ord") + 1).alias("ord"), F.lit("н8").alias("point"), "x", (F.col("y") + 7).alias("y"), "page"))
+    place = [*keys, "ord"]
+    j = draft.select(*place, F.struct("point", "x", "y").alias("drafted")).join(typed.select(*place, F.struct("point", "x", "y").alias("written")), place, "full")
+    found = j.groupBy(*keys).agg(F.count("written").alias("typed_rows"), F.count_if(~F.col("drafted").eqNullSafe(F.col("written"))).alias("differing"))
+    rules = R.check_rings(typed, keys).select(*keys, (F.col("state") == "review_required").alias("ring_holds"))
+    return found.join(rules, keys).select("doc_id", "typed_rows", "differing", "ring_holds", ((F.col("differing") == 0) & F.col("ring_holds")).alias("accepted"))
 
 
 # Wording of statements about a parent parcel, a division and a quarter.
