@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundsift.functions import text as X
+from groundsift.operators.freespace import FLAT, box_flat, covered_pieces
 from groundsift.operators.knn import connected, nearest_polygons
 from groundsift.operators.overlap import box_union_area, clip_box
-from groundsift.operators.tiles import box_distance, box_overlap, distance_join, tile_join
+from groundsift.operators.tiles import box_distance, box_overlap, distance_join, piece_join, tile_join
 from groundsift.registry import query
+from groundsift.session import spread
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -35,32 +37,6 @@ _OV = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least
 _DIST = ("sqrt(power(greatest(0, b.x0 - a.x1, a.x0 - b.x1), 2) + power(greatest(0, b.y0 - a.y1, a.y0 - b.y1), 2))")
 
 
-@query("j02_candidate_overlays", f"""
-WITH {_CAND}, {_LAYERS}
-SELECT a.survey_id, a.id, a.kind, b.layer, b.id AS feature_id, round({_OV}, 2) AS area_m2
-FROM cand a JOIN lay b ON a.survey_id = b.survey_id WHERE {_OV} > 0.01""")
-def candidate_overlays(t):
-    return (tile_join(candidates(t), overlay_layers(t)).withColumn("area_m2", box_overlap()).where("area_m2 > 0.01")
-            .select("survey_id", "id", "kind", F.col("r_layer").alias("layer"), F.col("r_id").alias("feature_id"), F.round("area_m2", 2).alias("area_m2")))
-
-
-@query("j03_window_overlays", """
-WITH lay AS (SELECT survey_id, 'restrictions' AS role, s_name AS payload, x0, y0, x1, y1 FROM restrictions
- UNION ALL SELECT survey_id, 'pzz', s_name, x0, y0, x1, y1 FROM zones
- UNION ALL SELECT survey_id, 'quarters', quarter_num, x0, y0, x1, y1 FROM context WHERE mode = 'quarters')
-SELECT a.survey_id, a.id, b.role, b.payload, count(*) AS n, round(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))), 2) AS area_m2
-FROM buildings a JOIN lay b ON a.survey_id = b.survey_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
-GROUP BY ALL""")
-def window_overlays(t):
-    def pick(df, role, payload):
-        return df.select("survey_id", F.lit(role).alias("role"), F.col(payload).alias("payload"), *BOX)
-    layers = (pick(t("restrictions"), "restrictions", "s_name").unionByName(pick(t("zones"), "pzz", "s_name"))
-              .unionByName(pick(t("context").where("mode = 'quarters'"), "quarters", "quarter_num")))
-    return (tile_join(t("buildings").select("survey_id", "id", *BOX), layers).withColumn("a", box_overlap()).where("a > 0.01")
-            .groupBy("survey_id", "id", F.col("r_role").alias("role"), F.col("r_payload").alias("payload"))
-            .agg(F.count("*").alias("n"), F.round(F.sum("a"), 2).alias("area_m2")))
-
-
 def notched(df):
     """Boxes without their upper right quarter, as flat polygons; keeps survey, id and box."""
     x0, y0, x1, y1 = (F.col(c) for c in BOX)
@@ -68,6 +44,59 @@ def notched(df):
     return df.select("survey_id", "id", *BOX, F.array(x0, x1, x1, xm, xm, x0, x0).alias("xs"), F.array(y0, y0, ym, ym, y1, y1, y0).alias("ys"), F.array(F.lit(7)).alias("sizes"))
 
 
+def holed(df):
+    """Boxes with a square hole of 10 m in their lower left, as flat polygons; keeps survey, id and box."""
+    x0, y0, x1, y1 = (F.col(c) for c in BOX)
+    return df.select("survey_id", "id", *BOX, F.array(x0, x1, x1, x0, x0, x0 + 10, x0 + 10, x0 + 20, x0 + 20, x0 + 10).alias("xs"),
+                     F.array(y0, y0, y1, y1, y0, y0 + 10, y0 + 20, y0 + 20, y0 + 10, y0 + 10).alias("ys"), F.array(F.lit(5), F.lit(5)).alias("sizes"))
+
+
+def overlays(left, right, left_keys, right_keys):
+    """Common area of the polygons of both sides, pair by pair; ``left`` and ``right`` carry survey, keys and flat geometry."""
+    pieces = lambda df, keys: covered_pieces(spread(df.select("survey_id", *keys, *FLAT), *keys), ["survey_id", *keys])
+    return piece_join(pieces(left, left_keys), pieces(right, right_keys), left_keys, right_keys)
+
+
+def _signed(table: str, columns: str, shape: str) -> str:
+    """SQL: the boxes of a notched or holed polygon, with their sign."""
+    if shape == "notched":
+        return (f"SELECT {columns}, x0, y0, x1, (y0 + y1) / 2 AS y1, 1 AS s FROM {table} UNION ALL SELECT {columns}, x0, (y0 + y1) / 2, (x0 + x1) / 2, y1, 1 FROM {table}")
+    return f"SELECT {columns}, x0, y0, x1, y1, 1 AS s FROM {table} UNION ALL SELECT {columns}, x0 + 10, y0 + 10, x0 + 20, y0 + 20, -1 FROM {table}"
+
+
+@query("j02_candidate_overlays", f"""
+WITH {_CAND}, ca AS ({_signed("cand", "survey_id, id, kind", "notched")}),
+lb AS ({_signed("offers", "survey_id, CASE WHEN p_type = 'ECONOMY' THEN 'free' ELSE 'auction' END AS layer, id", "notched")} UNION ALL {_signed("zones", "survey_id, 'pzz' AS layer, id", "holed")}
+  UNION ALL {_signed("restrictions", "survey_id, 'restrictions' AS layer, id", "holed")}),
+o AS (SELECT a.survey_id, a.id, a.kind, b.layer, b.id AS feature_id, sum(a.s * b.s * {_OV}) AS area_m2 FROM ca a JOIN lb b ON a.survey_id = b.survey_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL)
+SELECT survey_id, id, kind, layer, feature_id, round(area_m2, 2) AS area_m2 FROM o WHERE area_m2 > 0.01""")
+def candidate_overlays(t):
+    """Notched candidates over four layers of notched and holed polygons."""
+    kind = candidates(t).select("id", "kind")
+    layer = F.when(F.col("p_type") == "ECONOMY", "free").otherwise("auction")
+    parts = (notched(t("offers")).join(t("offers").select("id", layer.alias("layer")), "id").unionByName(holed(t("zones")).withColumn("layer", F.lit("pzz")))
+             .unionByName(holed(t("restrictions")).withColumn("layer", F.lit("restrictions"))))
+    found = overlays(notched(candidates(t)), parts, ["id"], ["layer", "id"])
+    return found.join(kind, "id").select("survey_id", "id", "kind", F.col("r_layer").alias("layer"), F.col("r_id").alias("feature_id"), F.round("area_m2", 2).alias("area_m2"))
+
+
+@query("j03_window_overlays", f"""
+WITH lay AS ({_signed("restrictions", "survey_id, 'restrictions' AS role, s_name AS payload, id", "holed")} UNION ALL {_signed("zones", "survey_id, 'pzz' AS role, s_name AS payload, id", "holed")}
+ UNION ALL {_signed("(SELECT * FROM context WHERE mode = 'quarters')", "survey_id, 'quarters' AS role, quarter_num AS payload, id", "notched")}),
+o AS (SELECT a.survey_id, a.id, b.role, b.payload, b.id AS feature_id, sum(b.s * {_OV}) AS area_m2 FROM buildings a JOIN lay b ON a.survey_id = b.survey_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL)
+SELECT survey_id, id, role, payload, count(*) AS n, round(sum(area_m2), 2) AS area_m2 FROM o WHERE area_m2 > 0.01 GROUP BY ALL""")
+def window_overlays(t):
+    """Buildings over restrictions and zones with holes and notched quarters."""
+    def pick(shape, df, role, payload):
+        return shape(df).join(df.select("id", F.lit(role).alias("role"), F.col(payload).alias("payload")), "id")
+    layers = (pick(holed, t("restrictions"), "restrictions", "s_name").unionByName(pick(holed, t("zones"), "pzz", "s_name"))
+              .unionByName(pick(notched, t("context").where("mode = 'quarters'"), "quarters", "quarter_num")))
+    boxes = t("buildings").select("survey_id", "id", *box_flat())
+    return (overlays(boxes, layers, ["id"], ["role", "payload", "id"])
+            .groupBy("survey_id", "id", F.col("r_role").alias("role"), F.col("r_payload").alias("payload"))
+            .agg(F.count("*").alias("n"), F.round(F.sum("area_m2"), 2).alias("area_m2")))
+
+
 def _apart(a: str, b: str) -> str:
     """SQL: distance of two boxes given as four expressions each."""
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = a, b
