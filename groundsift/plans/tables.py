@@ -9,7 +9,7 @@ from groundsift.functions import text as X
 from groundsift.operators import layout as L
 from groundsift.operators import rings as R
 from groundsift.registry import query
-from groundsift.session import cut
+from groundsift.session import cut, unsent
 
 
 def scheme_pages(t):
@@ -89,7 +89,7 @@ def components(t):
     p, broken = R.table_points(pages, heading=R.COMPONENT, footer=R.COMPONENT_FOOTER)
     g = R.check_rings(p, ["doc_id", "label", "label_no"])
     late = broken.where("reason = 'row after closure'").select("doc_id", F.lit(True).alias("late")).distinct()
-    j = g.join(heads, "doc_id").join(stated, "doc_id").join(late, "doc_id", "left")
+    j = g.join(unsent(heads), "doc_id").join(unsent(stated), "doc_id").join(unsent(late), "doc_id", "left")
     return j.select("doc_id", "parent", "component", "local_area_m2", R.stated_area_disagrees(F.col("local_area_m2"), F.col("stated")).alias("stated_area_disagrees"),
                     F.when(F.col("late"), "rejected").otherwise(F.col("state")).alias("state"))
 
@@ -103,14 +103,14 @@ def transcriptions(t):
     keys, slip = ["doc_id", "label", "label_no"], F.col("doc_id") % 6
     draft, _ = R.table_points(scheme_pages(t))
     draft = cut(draft)
-    rows = draft.join(draft.groupBy(*keys).agg(F.max("ord").alias("n")), keys)
+    rows = draft.join(unsent(draft.groupBy(*keys).agg(F.max("ord").alias("n"))), keys)
     typed = rows.where(~((slip == 2) & (F.col("ord") == F.col("n")))).select(*keys, "ord", "point", (F.col("x") + F.when((slip == 1) & (F.col("ord") == 2), 1).otherwise(0)).alias("x"), "y", "page")
     typed = typed.unionByName(rows.where((slip == 3) & (F.col("ord") == F.col("n"))).select(*keys, (F.col("ord") + 1).alias("ord"), F.lit("н8").alias("point"), "x", (F.col("y") + 7).alias("y"), "page"))
     place = [*keys, "ord"]
-    j = draft.select(*place, F.struct("point", "x", "y").alias("drafted")).join(typed.select(*place, F.struct("point", "x", "y").alias("written")), place, "full")
+    j = draft.select(*place, F.struct("point", "x", "y").alias("drafted")).join(unsent(typed.select(*place, F.struct("point", "x", "y").alias("written"))), place, "full")
     found = j.groupBy(*keys).agg(F.count("written").alias("typed_rows"), F.count_if(~F.col("drafted").eqNullSafe(F.col("written"))).alias("differing"))
     rules = R.check_rings(typed, keys).select(*keys, (F.col("state") == "review_required").alias("ring_holds"))
-    return found.join(rules, keys).select("doc_id", "typed_rows", "differing", "ring_holds", ((F.col("differing") == 0) & F.col("ring_holds")).alias("accepted"))
+    return found.join(unsent(rules), keys).select("doc_id", "typed_rows", "differing", "ring_holds", ((F.col("differing") == 0) & F.col("ring_holds")).alias("accepted"))
 
 
 # Wording of statements about a parent parcel, a division and a quarter.
@@ -163,7 +163,7 @@ def unparsed_pages(t):
     p, _ = R.table_points(pages)
     used = p.select("doc_id", "page", "text").distinct()
     pair = R.page_lines(pages).where(F.col("text").rlike(R.PAIR)).select("doc_id", "page", "text").distinct()
-    return pair.join(used, ["doc_id", "page", "text"], "left_anti").select("doc_id", F.col("page").cast("int").alias("page")).distinct()
+    return pair.join(unsent(used), ["doc_id", "page", "text"], "left_anti").select("doc_id", F.col("page").cast("int").alias("page")).distinct()
 
 
 @query("r11_page_limit", """SELECT k AS doc_id, p_size = 1 AND k % 2 = 0 AS cut_off FROM parcels WHERE p_size <> 4""")
