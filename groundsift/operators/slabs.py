@@ -9,6 +9,8 @@ side, what its curves wind around at all, as offset curves need.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 
 #: slivers thinner than this many metres come from rounding along shared slanted sides
@@ -39,60 +41,79 @@ def ring_signs(ys, sizes):
     return -step[inside & (step != 0)].astype(int)
 
 
+#: cells of a table of sides by sides, or of slabs by sides, that is looked at in one step
+TABLE = 1 << 20
+#: sides whose boxes are further apart than this can't cross, whatever rounding does
+NEAR = 1e-6
+
+
 def _crossing_heights(x1, y1, x2, y2, lo, hi):
     slope = (x2 - x1) / (y2 - y1)
     slanted = np.nonzero(slope != 0)[0]
-    out = []
     base = x1 - slope * y1
-    for i in slanted:  # only slanted sides can cross anything
+    left, right = np.minimum(x1, x2) - NEAR, np.maximum(x1, x2) + NEAR
+    step, out = max(1, TABLE // max(1, len(x1))), []
+    for s in range(0, len(slanted), step):  # only slanted sides can cross anything
+        i = slanted[s : s + step]
+        met = (y1 < y2[i, None]) & (y2 > y1[i, None]) & (left <= right[i, None]) & (right >= left[i, None])
+        a, b = np.nonzero(met)
+        a = i[a]
         with np.errstate(divide="ignore", invalid="ignore"):
-            y = (base - base[i]) / (slope[i] - slope)
-        ok = np.isfinite(y) & (y > np.maximum(y1, y1[i])) & (y < np.minimum(y2, y2[i])) & (y > lo) & (y < hi)
+            y = (base[b] - base[a]) / (slope[a] - slope[b])
+        ok = np.isfinite(y) & (y > np.maximum(y1[b], y1[a])) & (y < np.minimum(y2[b], y2[a])) & (y > lo) & (y < hi)
         out.append(y[ok])
     return np.concatenate(out) if out else np.empty(0)
 
 
 def slabs(x1, y1, x2, y2, owner, lo, hi, sign=None):
-    """Yield (ya, yb, left edge ids, right edge ids, x tables) of the union, slab by slab from below."""
+    """Yield (ya, yb, left edge ids, right edge ids) of the union, slab by slab from below; many slabs are worked out at once."""
     inner = np.concatenate([y1, y2, _crossing_heights(x1, y1, x2, y2, lo, hi)])
     cuts = np.unique(np.concatenate([inner[(inner > lo) & (inner < hi)], [lo, hi]]))
     cuts = cuts[np.concatenate([[True], np.diff(cuts) > 1e-9])] if len(cuts) > 1 else cuts
     cuts[-1] = hi
     slope = (x2 - x1) / (y2 - y1)
-    for ya, yb in zip(cuts[:-1], cuts[1:]):
-        mid = (ya + yb) / 2
-        act = np.nonzero((y1 < mid) & (y2 > mid))[0]
-        if not len(act):
-            yield ya, yb, act, act
-            continue
-        xm = x1[act] + slope[act] * (mid - y1[act])
-        order = np.lexsort((xm, owner[act]))
-        act, xm = act[order], xm[order]
-        if sign is None:  # even-odd inside each owner
-            left, right, lm, rm = act[0::2], act[1::2], xm[0::2], xm[1::2]
-        else:  # an owner's windings add up to zero, so one sum serves all
+    step = max(1, TABLE // max(1, len(y1)))
+    for s in range(0, len(cuts) - 1, step):
+        ends = cuts[s : s + step + 1]
+        mid = (ends[:-1] + ends[1:]) / 2
+        at, act = np.nonzero((y1 < mid[:, None]) & (y2 > mid[:, None]))
+        xm = x1[act] + slope[act] * (mid[at] - y1[act])
+        order = np.lexsort((xm, owner[act], at))
+        at, act, xm = at[order], act[order], xm[order]
+        if sign is None:  # even-odd inside each owner, and so in each slab
+            left, right, lm, rm, at = act[0::2], act[1::2], xm[0::2], xm[1::2], at[0::2]
+        else:  # an owner's windings in a slab add up to zero, so one sum serves all
             wind = np.cumsum(sign[act])
             opens, closes = wind - sign[act] == 0, wind == 0
-            left, right, lm, rm = act[opens], act[closes], xm[opens], xm[closes]
-        order = np.argsort(lm, kind="stable")
-        left, right, lm, rm = left[order], right[order], lm[order], rm[order]
-        reach = np.maximum.accumulate(rm)
-        start = np.concatenate([[True], lm[1:] > reach[:-1] + SLIVER])
+            left, right, lm, rm, at = act[opens], act[closes], xm[opens], xm[closes], at[opens]
+        order = np.lexsort((lm, at))
+        left, right, lm, rm, at = left[order], right[order], lm[order], rm[order], at[order]
+        # ranks by slab and right side, so that their running maximum starts anew in each slab; of equals the first counts
+        place = np.arange(len(at))
+        by = np.lexsort((-place, rm, at))
+        rank = np.empty(len(at), int)
+        rank[by] = place
+        far = by[np.maximum.accumulate(rank)]
+        start = np.ones(len(at), bool)
+        start[1:] = (at[1:] != at[:-1]) | (lm[1:] > rm[far[:-1]] + SLIVER)
         first = np.nonzero(start)[0]
         # right side of a merged run: the interval that reaches furthest
-        stop = np.append(first[1:], len(lm)) - 1
-        far = np.array([f + int(np.argmax(rm[f:s + 1])) for f, s in zip(first, stop)])
-        yield ya, yb, left[first], right[far]
+        stop = np.append(first[1:], len(at))[: len(first)] - 1
+        left, right = left[first], right[far[stop]]
+        bounds = np.searchsorted(at[first], np.arange(len(mid) + 1)).tolist()
+        ends = ends.tolist()
+        for k in range(len(mid)):
+            yield ends[k], ends[k + 1], left[bounds[k] : bounds[k + 1]], right[bounds[k] : bounds[k + 1]]
 
 
 def cover(x1, y1, x2, y2, owner, sign=None):
     """Trapezoids of the union of closed polygons."""
     if not len(y1):
         return []
-    slope = (x2 - x1) / (y2 - y1)
+    xs, ys, slope = x1.tolist(), y1.tolist(), ((x2 - x1) / (y2 - y1)).tolist()
 
     def at(e, y):
-        return float(x1[e] + slope[e] * (y - y1[e]))
+        return xs[e] + slope[e] * (y - ys[e])
 
     done, open_ = [], {}
     for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, float(y1.min()), float(y2.max()), sign):
@@ -114,7 +135,7 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
 
     Returns (pieces, links); a piece is (y0, y1, xl0, xl1, xr0, xr1).
     """
-    slope = (x2 - x1) / (y2 - y1) if len(y1) else x1
+    xs, ys, slope = x1.tolist(), y1.tolist(), ((x2 - x1) / (y2 - y1)).tolist() if len(y1) else []
     left_wall, right_wall = -1, -2
 
     def at(e, y):
@@ -122,7 +143,7 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
             return bx0
         if e == right_wall:
             return bx1
-        return float(x1[e] + slope[e] * (y - y1[e]))
+        return xs[e] + slope[e] * (y - ys[e])
 
     if not len(y1):
         return ([] if inside else [(by0, by1, bx0, bx0, bx1, bx1)]), []
@@ -132,14 +153,13 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
     cut = _crossing_heights(np.concatenate([x1, wx]), np.concatenate([y1, wy0]), np.concatenate([x2, wx]),
                             np.concatenate([y2, wy1]), by0, by1)
     pieces, links, below = [], [], []
-    extra = np.unique(cut)
+    extra = np.unique(cut).tolist()
     for ya, yb, left, right in slabs(x1, y1, x2, y2, owner, by0, by1, sign):
-        inner = extra[(extra > ya + 1e-9) & (extra < yb - 1e-9)]
-        for za, zb in zip(np.concatenate([[ya], inner]), np.concatenate([inner, [yb]])):
-            za, zb = float(za), float(zb)
-            bounds = [e for pair in zip(left.tolist(), right.tolist()) for e in pair]
-            if not inside:
-                bounds = [left_wall, *bounds, right_wall]
+        inner = extra[bisect_right(extra, ya + 1e-9) : bisect_left(extra, yb - 1e-9)]
+        bounds = [e for pair in zip(left.tolist(), right.tolist()) for e in pair]
+        if not inside:
+            bounds = [left_wall, *bounds, right_wall]
+        for za, zb in zip([ya, *inner], [*inner, yb]):
             here = []
             for le, re in zip(bounds[0::2], bounds[1::2]):
                 l0, l1, r0, r1 = at(le, za), at(le, zb), at(re, za), at(re, zb)
@@ -162,8 +182,7 @@ def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
                 i = len(pieces)
                 pieces.append((za, zb, l0, l1, r0, r1))
                 now.append((le, re, i, l1, r1))
-            for le, re, l0, l1, r0, r1 in here:
-                i = next(p[2] for p in now if p[0] == le and p[1] == re)
+            for (_, _, i, _, _), (_, _, l0, _, r0, _) in zip(now, here):
                 while j < len(below) and below[j][4] <= l0 + SLIVER:
                     j += 1
                 k = j
