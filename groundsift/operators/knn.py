@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.operators.tiles import BOX, box_distance
-from groundsift.session import cut, ship_package
+from groundsift.session import cut, ship_package, unsent
 
 #: sides in a packed box; products of sides up to which pairs are measured without boxes
 PACK, SMALL = 16, 4096
@@ -60,11 +60,11 @@ def with_radius(left: DataFrame, right: DataFrame, k: int, group: str, side: flo
     places = lt.select(group, "_cx", "_cy").distinct().join(need, group).select(
         group, F.col("_cx").alias("_px"), F.col("_cy").alias("_py"), "_need", "_widest", levels.alias("_level"))
     places = places.withColumns({"_cx": F.expr("shiftright(_px, _level)"), "_cy": F.expr("shiftright(_py, _level)")})
-    enough = (places.join(around, [group, "_level", "_cx", "_cy"]).where("_n >= _need")
+    enough = (places.join(unsent(around), [group, "_level", "_cx", "_cy"]).where("_n >= _need")
               .groupBy(group, F.col("_px").alias("_cx"), F.col("_py").alias("_cy")).agg(F.min(F.struct("_level", "_h")).alias("_e")))
     size = F.pow(F.lit(2.0), F.col("_e._level")) * side
     reach = size * (2 * 2**0.5) + (F.lit(0.0) if solid else half + F.col("_e._h"))
-    return lt.join(enough, [group, "_cx", "_cy"]).withColumns({"_reach": reach, "_level": F.col("_e._level")}).drop("_cx", "_cy", "_mx", "_my", "_e")
+    return lt.join(unsent(enough), [group, "_cx", "_cy"]).withColumns({"_reach": reach, "_level": F.col("_e._level")}).drop("_cx", "_cy", "_mx", "_my", "_e")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, k: int, group: str, left_id: str, side: float, solid: bool, extra: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +79,7 @@ def near_pairs(left: DataFrame, right: DataFrame, k: int, group: str, left_id: s
     asks = (lt.withColumn("_tx", F.explode(F.sequence(at(F.col("x0") - F.col("_reach")), at(F.col("x1") + F.col("_reach")))))
             .withColumn("_ty", F.explode(F.sequence(at(F.col("y0") - F.col("_reach")), at(F.col("y1") + F.col("_reach"))))))
     lx, ly = F.greatest(F.col("x0") - F.col("_reach"), F.col("r_x0")), F.greatest(F.col("y0") - F.col("_reach"), F.col("r_y0"))
-    pairs = asks.join(objects, [group, "_level", "_tx", "_ty"]).where((at(lx) == F.col("_tx")) & (at(ly) == F.col("_ty")))
+    pairs = asks.join(unsent(objects), [group, "_level", "_tx", "_ty"]).where((at(lx) == F.col("_tx")) & (at(ly) == F.col("_ty")))
     return pairs.withColumn("box_m", box_distance()).where(F.col("box_m") <= F.col("_reach"))
 
 
