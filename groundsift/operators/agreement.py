@@ -21,7 +21,7 @@ from groundsift.functions import geometry as G
 from groundsift.operators import freespace as FS
 from groundsift.operators.knn import PACK, _feet, sides_of
 from groundsift.operators.tiles import piece_join
-from groundsift.session import ship_package, spread
+from groundsift.session import ship_package, spread, unsent
 
 BATCH = 64
 
@@ -87,7 +87,7 @@ def part_fits(pairs: DataFrame, tolerance: float, area_share: float = 0.01) -> D
     for c in ("x0", "y0", "x1", "y1"):
         near = F.abs(F.col(f"box_a.{c}") - F.col(f"box_b.{c}")) <= tolerance + 1e-6
         close = near if close is None else close & near
-    met = a.join(b, ["id", "cx", "cy"]).where(close & (F.abs(G.area(F.col("g_a")) - G.area(F.col("g_b"))) / G.area(F.col("g_b")) <= area_share))
+    met = a.join(unsent(b), ["id", "cx", "cy"]).where(close & (F.abs(G.area(F.col("g_a")) - G.area(F.col("g_b"))) / G.area(F.col("g_b")) <= area_share))
     met = met.select("id", "i", "j", *_flat(F.col("g_a"), "a"), *_flat(F.col("g_b"), "b")).withColumn("gap", _gaps(1e9)(*_COLUMNS)["vertex"])
     return met.where(F.round("gap", 6) <= tolerance).select("id", "i", "j")
 
@@ -96,7 +96,7 @@ def matched_parts(pairs: DataFrame, tolerance: float) -> DataFrame:
     """``(id, parts_a, parts_b, fits, unique)``."""
     fits = part_fits(pairs, tolerance)
     g = fits.groupBy("id").agg(F.count("*").alias("fits"), F.count_distinct("i").alias("li"), F.count_distinct("j").alias("rj"))
-    sizes = pairs.select("id", F.size("a").cast("bigint").alias("parts_a"), F.size("b").cast("bigint").alias("parts_b")).join(g, "id", "left").fillna(0, ["fits", "li", "rj"])
+    sizes = pairs.select("id", F.size("a").cast("bigint").alias("parts_a"), F.size("b").cast("bigint").alias("parts_b")).join(unsent(g), "id", "left").fillna(0, ["fits", "li", "rj"])
     proved = (F.col("parts_a") == F.col("parts_b")) & (F.col("fits") == F.col("parts_a")) & (F.col("li") == F.col("parts_a")) & (F.col("rj") == F.col("parts_b"))
     return sizes.select("id", "parts_a", "parts_b", "fits", proved.alias("unique"))
 
@@ -108,7 +108,7 @@ def agreement(pairs: DataFrame, tolerance: float, step: float = 1.0) -> DataFram
     measured = measured.withColumn("gap", _gaps(step)(*_COLUMNS))
     side = lambda c: FS.covered_pieces(pairs.select("id", *FS.flat_geometry(F.col(c))), ["id"])
     common = piece_join(side("a"), side("b"), [], [], group=("id",), min_area=0.0)
-    j = measured.join(common, "id", "left").join(matched_parts(pairs, tolerance), "id")
+    j = measured.join(unsent(common), "id", "left").join(unsent(matched_parts(pairs, tolerance)), "id")
     shared, delta = F.coalesce("area_m2", F.lit(0.0)), F.abs(F.col("area_a") - F.col("area_b")) / F.col("area_b")
     vertices = (F.round("gap.vertex", 6) <= tolerance) & (delta <= 0.01) & F.col("unique")
     return j.select("id", F.col("gap.vertex").alias("vertex_gap_m"), F.col("gap.boundary").alias("boundary_gap_m"), delta.alias("area_difference"), (shared / (F.col("area_a") + F.col("area_b") - shared)).alias("iou"),
