@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsift.session import cut
+from groundsift.session import cut, unsent
 
 UNIT = 1e-6
 
@@ -22,7 +22,7 @@ def _snap(c):
 
 def boundary_sides(pieces: DataFrame) -> DataFrame:
     """Directed boundary sides (survey_id, gap, ax, ay, bx, by) of all gaps, in units of a micrometre."""
-    p = pieces.select("survey_id", "gap", *[_snap(F.col(c)).alias(c) for c in ("y0", "y1", "xl0", "xl1", "xr0", "xr1", "bx0", "bx1")])
+    p = cut(pieces.select("survey_id", "gap", *[_snap(F.col(c)).alias(c) for c in ("y0", "y1", "xl0", "xl1", "xr0", "xr1", "bx0", "bx1")]))  # read six times below
     c = F.col
 
     def face(axis, line, lo, hi, sign, on=None):
@@ -55,16 +55,15 @@ def _turn(e, f):
 
 def link_rings(sides: DataFrame) -> DataFrame:
     """Ring name and place of every side.  Where rings touch in a vertex they stay apart: the widest clockwise turn goes on."""
-    s = sides.withColumn("id", F.concat_ws(",", F.col("survey_id").cast("string"), "gap", *[F.col(k).cast("string") for k in ("ax", "ay", "bx", "by")]))
-    s = cut(s)
+    s = cut(sides.withColumn("id", F.monotonically_increasing_id()))  # written once, so names stay
     nxt = s.select("survey_id", "gap", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("n_id"), F.col("bx").alias("n_bx"), F.col("by").alias("n_by"))
-    j = s.join(nxt, ["survey_id", "gap", "bx", "by"]).withColumn("n_ax", F.col("bx")).withColumn("n_ay", F.col("by"))
+    j = s.join(unsent(nxt), ["survey_id", "gap", "bx", "by"]).withColumn("n_ax", F.col("bx")).withColumn("n_ay", F.col("by"))
     step = cut(j.groupBy("id").agg(F.max_by("n_id", F.struct(_turn("", "n_"), "n_id")).alias("next")))
     # ring name: least side name around the cycle
     r = step.select("id", F.col("next").alias("to"), "next", F.least("id", "next").alias("ring"))
     while True:
         far = r.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
-        new = r.join(far, "to").select("id", F.col("to2").alias("to"), "next", F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved"))
+        new = r.join(unsent(far), "to").select("id", F.col("to2").alias("to"), "next", F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved"))
         new = cut(new)
         settled = new.where("moved").isEmpty()
         r = new.drop("moved")
@@ -75,21 +74,21 @@ def link_rings(sides: DataFrame) -> DataFrame:
     while True:
         far = d.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
         # sides that have reached the first one leave the join, where they would all share its key
-        go_on = d.where("to <> ring").join(far, "to").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
+        go_on = d.where("to <> ring").join(unsent(far), "to").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
         d = cut(go_on.unionByName(d.where("to = ring").select("id", "ring", "to", "left")))
         if d.where("to <> ring").isEmpty():
             break
     size = d.groupBy("ring").agg(F.max("left").alias("_m"))
-    place = d.join(size, "ring").select("id", "ring", F.when(F.col("left") == 0, 1).otherwise(F.col("_m") - F.col("left") + 2).alias("ord"))
-    return s.join(place, "id").drop("id")
+    place = d.join(unsent(size), "ring").select("id", "ring", F.when(F.col("left") == 0, 1).otherwise(F.col("_m") - F.col("left") + 2).alias("ord"))
+    return s.join(unsent(place), "id").drop("id")
 
 
 def ring_vertices(linked: DataFrame) -> DataFrame:
     """Vertices of every ring in order, metres; points in the middle of a straight run are left out."""
     n = linked.groupBy("ring").agg(F.max("ord").alias("_n"))
     prev = linked.select("ring", (F.col("ord") + 1).alias("ord"), F.col("ax").alias("px"), F.col("ay").alias("py"))
-    first = linked.join(n, "ring").where(F.col("ord") == F.col("_n")).select("ring", F.lit(1).cast("bigint").alias("ord"), F.col("ax").alias("px"), F.col("ay").alias("py"))
-    j = linked.join(prev.unionByName(first), ["ring", "ord"])
+    first = linked.join(unsent(n), "ring").where(F.col("ord") == F.col("_n")).select("ring", F.lit(1).cast("bigint").alias("ord"), F.col("ax").alias("px"), F.col("ay").alias("py"))
+    j = linked.join(unsent(prev.unionByName(first)), ["ring", "ord"])
     cross = (F.col("ax") - F.col("px")).cast("double") * (F.col("by") - F.col("ay")) - (F.col("ay") - F.col("py")).cast("double") * (F.col("bx") - F.col("ax"))
     span = F.greatest(F.abs(F.col("ax") - F.col("px")), F.abs(F.col("ay") - F.col("py")), F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))).cast("double")
     return j.where(F.abs(cross) > span * 2).select("survey_id", "gap", "ring", "ord", (F.col("ax") * UNIT).alias("x"), (F.col("ay") * UNIT).alias("y"))
@@ -98,7 +97,7 @@ def ring_vertices(linked: DataFrame) -> DataFrame:
 def ring_figures(linked: DataFrame) -> DataFrame:
     """Signed area and length of every ring: shells count positive, holes negative; coordinates taken from the ring's start."""
     head = linked.where("ord = 1").select("ring", F.col("ax").alias("ox"), F.col("ay").alias("oy"))
-    j = linked.join(head, "ring")
+    j = linked.join(unsent(head), "ring")
     m = lambda a, o: (F.col(a) - F.col(o)).cast("double") * UNIT
     cross = m("ax", "ox") * m("by", "oy") - m("bx", "ox") * m("ay", "oy")
     length = F.hypot((F.col("bx") - F.col("ax")).cast("double"), (F.col("by") - F.col("ay")).cast("double")) * UNIT

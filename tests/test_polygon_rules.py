@@ -153,3 +153,21 @@ def test_clipped_polygons(spark, jts):
     assert set(got) == set(want) and {w[1] for w in want.values()} > {1} and {w[2] for w in want.values()} == {0, 1}
     for k, (area, parts, holes) in want.items():
         assert (got[k].parts, got[k].holes) == (parts, holes) and got[k].area_m2 == pytest.approx(area, abs=1e-3), k
+
+
+def test_pieces_are_cut_once_and_sides_are_numbered(spark):
+    """Outlines read their pieces six times; what makes them runs once a row, and a side's name is a number."""
+    from groundsift.operators import outlines
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    box = spark.createDataFrame([(1, "g", 0.0, 10.0, 0.0, 0.0, 10.0, 10.0, -5.0, 15.0)], "survey_id long, gap string, y0 double, y1 double, xl0 double, xl1 double, xr0 double, xr1 double, bx0 double, bx1 double")
+    linked = outlines.link_rings(outlines.boundary_sides(box.mapInPandas(count, box.schema)))
+    assert dict(linked.dtypes)["ring"] == "bigint"
+    assert [(r["area"], r["length"], r["sides"]) for r in outlines.ring_figures(linked).collect()] == [(100.0, 40.0, 4)]
+    assert runs.value == 1
