@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
+from groundsift.session import unsent
 
 #: default side of a join tile in metres: a few objects of usual size per tile
 TILE_M = 250.0
@@ -48,7 +49,7 @@ def tile_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("survey_
     hx, hy = F.least("x1", "r_x1"), F.least("y1", "r_y1")
     meets = (lx <= hx) & (ly <= hy) if touch else (lx < hx) & (ly < hy)
     owner = (tile_of(lx, side) == F.col("_tx")) & (tile_of(ly, side) == F.col("_ty"))
-    return lt.join(rt, on).where(meets & owner).drop("_tx", "_ty")
+    return lt.join(unsent(rt), on).where(meets & owner).drop("_tx", "_ty")
 
 
 def box_overlap() -> Column:
@@ -97,6 +98,6 @@ def distance_join(left: DataFrame, right: DataFrame, within: Column | float, key
     rt = explode_tiles(r, side, box=tuple(f"r_{c}" for c in BOX))
     lx, ly = F.greatest(F.col("x0") - g, F.col("r_x0")), F.greatest(F.col("y0") - g, F.col("r_y0"))
     owner = (tile_of(lx, side) == F.col("_tx")) & (tile_of(ly, side) == F.col("_ty"))
-    return (lt.join(rt, [*keys, "_tx", "_ty"]).where(owner).drop("_tx", "_ty")
+    return (lt.join(unsent(rt), [*keys, "_tx", "_ty"]).where(owner).drop("_tx", "_ty")
               .withColumn("distance_m", box_distance() if distance is None else distance)
               .where(F.col("distance_m") <= g))

@@ -270,9 +270,10 @@ def clipped_layers(t, inset: float = 400.0):
     from groundsift.operators.clipping import clipped_figures
     from groundsift.operators.freespace import flat_geometry
     from groundsift.plans.shapes import forked
+    from groundsift.session import spread
 
     w = t("surveys").select("survey_id", (F.col("wx0") + inset).alias("bx0"), (F.col("wy0") + inset).alias("by0"), (F.col("wx1") - inset).alias("bx1"), (F.col("wy1") - inset).alias("by1"))
-    p = t("parcels").select("survey_id", "id", "cad_num", *BOX, *flat_geometry(forked())).join(w, "survey_id").where("x1 > bx0 AND x0 < bx1 AND y1 > by0 AND y0 < by1")
+    p = spread(t("parcels").select("survey_id", "id", "cad_num", *BOX), "id").select("survey_id", "id", "cad_num", *BOX, *flat_geometry(forked())).join(w, "survey_id").where("x1 > bx0 AND x0 < bx1 AND y1 > by0 AND y0 < by1")
     return clipped_figures(p).join(t("parcels").select("survey_id", "id", F.col("cad_num").alias("label")), ["survey_id", "id"]).select("survey_id", "id", "label", F.round("area_m2", 2).alias("area_m2"))
 
 

@@ -19,7 +19,7 @@ from groundsift.operators.tiles import TILE_M, box_pieces, distance_join, explod
 from groundsift.plans.feeds import box_of
 from groundsift.plans.joins import _NOTCHED, BOX, candidates, notched, road_parcels
 from groundsift.registry import query
-from groundsift.session import spread
+from groundsift.session import spread, unsent
 
 
 def cx0():
@@ -100,12 +100,12 @@ def centroids(t):
 @query("g05_interior_point", "SELECT id, true AS inside FROM parcels")
 def interior_point(t):
     """Middle of the largest piece: always strictly inside."""
-    shapes = t("parcels").select("id", *FS.flat_geometry(l_shape()))
+    shapes = spread(t("parcels").select("id", *BOX), "id").select("id", *FS.flat_geometry(l_shape()))
     pieces = FS.covered_pieces(shapes, ["id"])
     mid = F.struct(G.piece_area().alias("a"), ((F.col("xl0") + F.col("xl1") + F.col("xr0") + F.col("xr1")) / 4).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     best = pieces.select("id", mid.alias("m"))
     g = best.groupBy("id").agg(F.max("m").alias("m"))
-    back = g.join(t("parcels"), "id").withColumn("shape", l_shape())
+    back = g.join(unsent(t("parcels").select("id", *BOX)), "id").withColumn("shape", l_shape())
     return back.select("id", pairs.holds_point(F.col("shape"), F.col("m")).alias("inside"))
 
 
@@ -115,7 +115,7 @@ SELECT l.survey_id, l.id, z.id AS zone_id, round(sum((least(l.x1, z.x1) - greate
 FROM l JOIN zones z ON l.survey_id = z.survey_id AND l.x0 < z.x1 AND z.x0 < l.x1 AND l.y0 < z.y1 AND z.y0 < l.y1 GROUP BY l.survey_id, l.id, z.id""")
 def polygon_overlap(t):
     """Polygon tier: L-shapes are cut to pieces, then joined like everything else."""
-    shapes = FS.covered_pieces(t("parcels").select("survey_id", "id", *FS.flat_geometry(l_shape())), ["survey_id", "id"])
+    shapes = FS.covered_pieces(spread(t("parcels").select("survey_id", "id", *BOX), "id").select("survey_id", "id", *FS.flat_geometry(l_shape())), ["survey_id", "id"])
     hits = piece_join(shapes, box_pieces(t("zones")).select("survey_id", "id", *G.PIECE), ["id"], ["id"])
     return hits.select("survey_id", "id", F.col("r_id").alias("zone_id"), F.round("area_m2", 2).alias("area_m2"))
 
@@ -133,7 +133,7 @@ WITH l AS (SELECT survey_id, id, x0, y0, x1, y1 FROM parcels)
 SELECT l.survey_id, l.id, z.id AS zone_id FROM l JOIN zones z ON l.survey_id = z.survey_id AND z.x0 <= l.x0 AND z.y0 <= l.y0 AND z.x1 >= l.x1 AND z.y1 >= l.y1""")
 def covers(t):
     """A zone covers an L-shape when the common area is all of it."""
-    shapes = FS.covered_pieces(t("parcels").select("survey_id", "id", *FS.flat_geometry(l_shape())), ["survey_id", "id"])
+    shapes = FS.covered_pieces(spread(t("parcels").select("survey_id", "id", *BOX), "id").select("survey_id", "id", *FS.flat_geometry(l_shape())), ["survey_id", "id"])
     own = t("parcels").select("id", G.area(l_shape()).alias("own"))
     hits = piece_join(shapes, box_pieces(t("zones")).select("survey_id", "id", *G.PIECE), ["id"], ["id"])
     return hits.join(own, "id").where(F.col("area_m2") >= F.col("own") * (1 - 1e-9)).select("survey_id", "id", F.col("r_id").alias("zone_id"))
@@ -293,7 +293,7 @@ SELECT survey_id, id, round(CASE kind WHEN 0 THEN w * h * 0.75 - 100 WHEN 1 THEN
 def clip_to_window(t):
     """Forked parcels in windows that hold them whole, cut through their hole from below or from the left, cut their arms apart, or miss them."""
     kind = F.col("k") % 5
-    p = t("parcels").select("survey_id", "id", *FS.flat_geometry(forked()), F.when(kind == 3, cx0() + 15).otherwise(cx0() - 5).alias("bx0"),
+    p = spread(t("parcels").select("survey_id", "id", "k", *BOX), "id").select("survey_id", "id", *FS.flat_geometry(forked()), F.when(kind == 3, cx0() + 15).otherwise(cx0() - 5).alias("bx0"),
                             F.when(kind == 1, cy0() + 15).when(kind == 2, cym() + 10).when(kind == 4, cy1() + 1).otherwise(cy0() - 5).alias("by0"), (cx1() + 5).alias("bx1"), (cy1() + 5).alias("by1"))
     return CL.clipped_figures(p).select("survey_id", "id", F.round("area_m2", 2).alias("area_m2"), "parts", "holes")
 
@@ -407,7 +407,7 @@ def agreement_pairs(t):
     main, second = F.get(moved, F.lit(0)), F.get(moved, F.lit(1))
     a = F.when(kind == 3, F.array(F.get(framed(), F.lit(0)), strip(F.lit(0.0), 0))).otherwise(framed())
     b = F.when(kind == 1, F.array(main)).when(kind == 2, F.array(second, main)).when(kind == 3, F.array(main, strip(s, 0), strip(s, 2.5))).otherwise(moved)
-    return t("parcels").select("id", a.alias("a"), b.alias("b"))
+    return spread(t("parcels").select("id", "k", "p_size", *BOX), "id").select("id", a.alias("a"), b.alias("b"))
 
 
 _AGREE = """v AS (SELECT id, k % 4 AS kind, p_size / 10.0 AS s, x1 - x0 AS w, y1 - y0 AS h FROM parcels),
