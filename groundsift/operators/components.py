@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundsift.session import cut
+from groundsift.session import cut, unsent
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node points to the least of its neighbourhood
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        large = both.join(unsent(least), "n").where("m > n").select(F.col("m").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour, and the node, points to the least smaller neighbour
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = (large.join(unsent(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
         e = cut(small)
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -20,7 +20,7 @@ from groundsift.functions import geometry as G
 from groundsift.operators import slabs
 from groundsift.operators.components import connected_components
 from groundsift.operators.tiles import explode_tiles
-from groundsift.session import cut, ship_package, spread
+from groundsift.session import cut, ship_package, spread, unsent
 
 TILE_M = 500.0
 #: objects one task takes in a tile before the tile is cut finer
@@ -148,7 +148,7 @@ def tile_objects(windows: DataFrame, occupied: DataFrame, halo: float, side: flo
     near = ((F.col("g.survey_id") == F.col("o.survey_id")) & (F.col("g.tx") == F.col("o.tx")) & (F.col("g.ty") == F.col("o.ty"))
             & (F.col("o_x0") < F.col("bx1") + h) & (F.col("o_x1") > F.col("bx0") - h)
             & (F.col("o_y0") < F.col("by1") + h) & (F.col("o_y1") > F.col("by0") - h))
-    return g.join(o, near, "left").select("g.*", *FLAT)
+    return g.join(unsent(o), near, "left").select("g.*", *FLAT)
 
 
 SUBTILE = ["survey_id", "tx", "ty", "lv", "sx", "sy"]
@@ -166,7 +166,7 @@ def free_pieces(windows: DataFrame, occupied: DataFrame, min_width: float = 0.0,
               .withColumn("node", F.concat_ws("/", *SUBTILE, "comp")))
     edges = border_links(raw)
     comps = connected_components(raw.select("node"), edges).withColumnRenamed("component", "gap")
-    return raw.join(comps, "node")
+    return raw.join(unsent(comps), "node")
 
 
 def border_links(pieces: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def border_links(pieces: DataFrame) -> DataFrame:
     faces = faces.withColumn("cell", F.explode(F.sequence(F.floor(c("lo") / cell), F.floor(c("hi") / cell))))
     a = faces.where("face = '-'").select("survey_id", "axis", "line", "cell", "lo", "hi", c("node").alias("a"))
     b = faces.where("face = '+'").select("survey_id", "axis", "line", "cell", c("lo").alias("lo2"), c("hi").alias("hi2"), c("node").alias("b"))
-    return (a.join(b, ["survey_id", "axis", "line", "cell"])
+    return (a.join(unsent(b), ["survey_id", "axis", "line", "cell"])
             .where(F.least("hi", "hi2") - F.greatest("lo", "lo2") > slabs.SLIVER).select("a", "b").distinct())
 
 
