@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundsift.session import spread
+from groundsift.session import ship_package
 
 
 def normalise_words(words: DataFrame) -> DataFrame:
@@ -28,21 +28,32 @@ def visual_rows(words: DataFrame, page: Sequence[str]) -> DataFrame:
     """Row number of every word: a row starts where a word lies lower than the row's first word by 0.55 of the median height.
 
     The comparison runs against the first word of the open row, which no window
-    expresses, so a page is scanned in one pass.
+    expresses, so a page is scanned in one pass.  Pages are gathered natively and
+    only heights and middles go to Python, many pages a batch; rows are numbered from 1 on without gaps.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields) + ", row int"
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["_c", "x0"], kind="stable")
-        step = float(np.median(pdf["y1"] - pdf["y0"])) * 0.55
+    ship_package(words.sparkSession)
+    rest = [c for c in words.columns if c not in page]
+    pages = words.groupBy(*page).agg(F.collect_list(F.struct(*rest)).alias("_w"))
+    scan = F.pandas_udf(_scan_pages, "array<int>")
+    row = scan(F.transform("_w", lambda w: ((w["y0"] + w["y1"]) / 2).cast("double")), F.transform("_w", lambda w: (w["y1"] - w["y0"]).cast("double")))
+    each = pages.withColumn("_row", row).select(*page, F.explode(F.arrays_zip("_w", "_row")).alias("_z"))
+    return each.select(*page, *[F.col(f"_z._w.{c}").alias(c) for c in rest], F.col("_z._row").alias("row")).select(*words.columns, "row")
+
+
+def _scan_pages(middles: pd.Series, heights: pd.Series) -> pd.Series:
+    out = []
+    for c, h in zip(middles, heights):
+        c = np.asarray(c, float)
+        order, step = np.argsort(c, kind="stable"), float(np.median(np.asarray(h, float))) * 0.55
         rows, start, n = [], None, 0
-        for c in pdf["_c"]:
-            if start is None or c - start > step:
-                start, n = c, n + 1
+        for v in c[order].tolist():
+            if start is None or v - start > step:
+                start, n = v, n + 1
             rows.append(n)
-        return pdf.assign(row=rows).drop(columns="_c")
-
-    return spread(words, *page).groupBy(*page).applyInPandas(scan, schema)
+        numbered = np.empty(len(c), np.int32)
+        numbered[order] = rows
+        out.append(numbered)
+    return pd.Series(out)
 
 
 def cells(rows: DataFrame, page: Sequence[str], gap: float = 0.018) -> DataFrame:
