@@ -9,7 +9,7 @@ from groundsift.functions import text as X
 from groundsift.operators import layout as L
 from groundsift.operators import rings as R
 from groundsift.registry import query
-from groundsift.session import cut, unsent
+from groundsift.session import cut, spread, unsent
 
 
 def scheme_pages(t):
@@ -60,7 +60,7 @@ SELECT l_orderkey AS doc_id, count(*) AS points, bool_or(coalesce(jump, false))
  SELECT l_orderkey, l_linenumber <> lag(l_linenumber) OVER w + 1 AS jump, l_linenumber > lag(l_linenumber) OVER w + 1 AS skip FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) GROUP BY l_orderkey""")
 def consecutive_rings(t):
     """Rows of a section in sheet order: numbers rise by one, no page is left out."""
-    d = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).distinct()
+    d = spread(t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")), "doc_id").distinct()  # two numbers a row are all that is shuffled
     p = d.select("doc_id", F.col("n").alias("ord"), F.col("n").cast("string").alias("point"), F.cos(F.col("n").cast("double")).alias("x"), F.sin(F.col("n").cast("double")).alias("y"), F.col("n").alias("page"))
     g = R.check_rings(p, ["doc_id"], consecutive=True)
     return g.select("doc_id", "points", F.array_contains("issues", "row numbers out of order").alias("out_of_order"), F.array_contains("issues", "page skipped").alias("page_skipped"))
@@ -207,7 +207,7 @@ def page_words(t):
 
 @query("r12_visual_rows", f"WITH {_WORDS} SELECT conv_id, turn, count(DISTINCT line) AS rows, count(*) AS words FROM w GROUP BY conv_id, turn")
 def visual_rows(t):
-    return L.visual_rows(page_words(t), PAGE).groupBy("conv_id", "turn").agg(F.count_distinct("row").alias("rows"), F.count("*").alias("words"))
+    return L.visual_rows(page_words(t), PAGE).groupBy("conv_id", "turn").agg(F.max("row").cast("bigint").alias("rows"), F.count("*").alias("words"))
 
 
 _CELLS = """c AS (SELECT w.conv_id, w.turn, w.place, w.jt, n.word IS NOT NULL AS joined, length(w.word) % 2 = 0 AND coalesce(length(n.word) % 2 = 0, true) AS numeric FROM w
