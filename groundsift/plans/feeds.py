@@ -9,7 +9,7 @@ from groundsift.functions import text as X
 from groundsift.operators.ranking import global_rank
 from groundsift.plans.joins import BOX, candidates, number_geometries
 from groundsift.registry import query
-from groundsift.session import scratch_folder
+from groundsift.session import scratch_folder, spread
 from groundsift.sources import contours, features, listings, sinks, traffic
 
 
@@ -270,8 +270,6 @@ def clipped_layers(t, inset: float = 400.0):
     from groundsift.operators.clipping import clipped_figures
     from groundsift.operators.freespace import flat_geometry
     from groundsift.plans.shapes import forked
-    from groundsift.session import spread
-
     w = t("surveys").select("survey_id", (F.col("wx0") + inset).alias("bx0"), (F.col("wy0") + inset).alias("by0"), (F.col("wx1") - inset).alias("bx1"), (F.col("wy1") - inset).alias("by1"))
     p = spread(t("parcels").select("survey_id", "id", "cad_num", *BOX), "id").select("survey_id", "id", "cad_num", *BOX, *flat_geometry(forked())).join(w, "survey_id").where("x1 > bx0 AND x0 < bx1 AND y1 > by0 AND y0 < by1")
     return clipped_figures(p).join(t("parcels").select("survey_id", "id", F.col("cad_num").alias("label")), ["survey_id", "id"]).select("survey_id", "id", "label", F.round("area_m2", 2).alias("area_m2"))
@@ -393,7 +391,8 @@ def xml_records(t):
     last = (F.when(F.col("p_size") == 1, F.lit("")).when(F.col("p_size") == 2, F.lit("<ordinate><x>1,5</x><y>2</y><ord_nmb>5</ord_nmb></ordinate>"))
             .when(F.col("p_size") == 3, o("x0", "y0", "7")).otherwise(o("x0", "y0", "1")))
     ords = F.concat(o("x0", "y0", "1"), o("x1", "y0", "2"), o("x1", "y1", "3"), o("x0", "y1", "4"), last)
-    return t("parcels").select("k", F.concat(F.lit("<land_record><object><common_data><cad_number>"), "cad_num", F.lit(
+    # dealt out before texts are made and parsed: a small file of parcels would be one task
+    return spread(t("parcels").select("k", "cad_num", "p_size", *BOX), "k").select("k", F.concat(F.lit("<land_record><object><common_data><cad_number>"), "cad_num", F.lit(
         "</cad_number></common_data></object><contours_location><contours><contour><entity_spatial><sk_id>91.1</sk_id><spatials_elements><spatial_element><ordinates>"), ords, F.lit(
         "</ordinates></spatial_element></spatials_elements></entity_spatial></contour></contours></contours_location></land_record>")).alias("value"))
 
