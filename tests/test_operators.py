@@ -1,5 +1,7 @@
 """Joins, ranks, components, sinks and streaming on small and skewed inputs."""
 
+import os
+import sys
 import json
 import random
 
@@ -228,3 +230,62 @@ def test_paragraphs_by_operator(spark):
     row = spark.createDataFrame([(text,)], "t string").select(
         S.evidence_paragraphs(F.col("t")).alias("a"), S.operative_paragraphs(F.col("t"), S.ORDER_OPENS, S.ORDER_ENDS).alias("b")).first()
     assert row.a == ["Отменить решение от 01.02.2014 № 5 в части.", "Утвердить."] and row.b is None
+
+
+def test_written_steps_leave_no_shuffle_files(tmp_path):
+    """In a session of its own process: a step that is written drops its shuffles at once and leaves the caller's setting alone."""
+    import subprocess
+    import textwrap
+
+    code = textwrap.dedent(f"""
+        import glob
+        from pyspark.sql import SparkSession, functions as F
+        from groundsift.session import CLEANUP_CONF, cut
+        spark = (SparkSession.builder.master("local[2]").config("spark.local.dir", "{tmp_path}/local").config("spark.checkpoint.dir", "{tmp_path}/kept")
+                 .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate())
+        before = spark.conf.get(CLEANUP_CONF, None)
+        df = cut(spark.range(100000).withColumn("x", F.rand(1)).repartition(3, "x"))
+        left = glob.glob("{tmp_path}/local/**/shuffle_*", recursive=True)
+        assert not left and df.count() == 100000 and spark.conf.get(CLEANUP_CONF, None) == before, left
+    """)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+
+
+def test_links_are_read_a_few_pages_at_a_time(spark, monkeypatch):
+    """A thousand pages of one batch never become one table of tags, and no link is lost or moved to another page."""
+    from groundsift.sources import listings
+
+    assert [p for s, t in listings._portions([None, "x" * (2 * listings.READ_CHARS), "", *["y"] * 1000]) for p in range(s, t)] == list(range(1003))
+    assert all(t - s <= listings.READ_PAGES for s, t in listings._portions(["y"] * 1000)) and not list(listings._portions([]))
+    rows = [(i, "https://a.example/", f"<article><a href='/d/{i}'>Title {i}</a></article>") for i in range(1000)]
+    got = listings.extract_links(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert {(r.page_id, r.url, r.title) for r in got.collect()} == {(i, f"https://a.example/d/{i}", f"Title {i}") for i in range(1000)}
+
+
+def test_ring_rules_shuffle_once(spark):
+    """The ends of a ring need no second pass over its points and no join."""
+    from groundsift.operators import rings
+
+    p = spark.createDataFrame([(1, n, str(n), float(n), float(n * n), n) for n in range(4)], "doc_id long, ord int, point string, x double, y double, page int")
+    g = rings.check_rings(p, ["doc_id"], consecutive=True)
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and g.first().points == 4
+
+
+def test_rows_of_pages_without_a_group_call_each(spark):
+    """Row numbers of many pages, a null page among them, as a plain scan of each page gives them; no page is a Python call of its own."""
+    from groundsift.operators import layout
+
+    rng = random.Random(2)
+    words = [(None if k == 0 else k, i, rng.choice([0.1, 0.11, 0.2, 0.5]) + rng.random() / 100) for k in range(30) for i in range(rng.randint(1, 20))]
+    df = spark.createDataFrame([(k, i, y, y + 0.02) for k, i, y in words], "k int, i int, y0 double, y1 double")
+    got = layout.visual_rows(df, ["k"])
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for k in {w[0] for w in words}:
+        start, n = None, 0
+        for c, i in sorted(((y + (y + 0.02)) / 2, i) for kk, i, y in words if kk == k):
+            if start is None or c - start > 0.02 * 0.55:
+                start, n = c, n + 1
+            want[k, i] = n
+    assert {(r.k, r.i): r.row for r in got.collect()} == want
