@@ -69,29 +69,38 @@ def robust_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
     out = np.full((n, degree), -1, np.int64)
     if n < 2:
         return out
-    pool = min(n - 1, 4 * degree)
-    for s in range(0, n, 512):
-        sim = x[s : s + 512] @ x.T
+    pool, y = min(n - 1, 4 * degree), x.astype(np.float32)
+    for s in range(0, n, 64):  # as many rows as keep their candidates in the cache
+        sim = x[s : s + 64] @ x.T
         rows = np.arange(len(sim))
         sim[rows, s + rows] = -2
         near = np.argpartition(-sim, pool - 1, 1)[:, :pool]
         order = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), 1, kind="stable"), 1)
         far = 2 - 2 * np.take_along_axis(sim, order, 1)  # squared distances
+        near_ = y[order]
+        between = 2 - 2 * np.matmul(near_, near_.transpose(0, 2, 1))  # of the candidates of a row, once for all steps
         alive = np.ones(order.shape, bool)
         for k in range(degree):
             at = alive.argmax(1)  # nearest candidate left
             some = alive[rows, at]
             if not some.any():
                 break
-            kept = order[rows, at]
-            out[s + rows[some], k] = kept[some]
+            out[s + rows[some], k] = order[rows, at][some]
             # candidates that the kept one is much nearer to fall away
-            between = 2 - 2 * np.einsum("rd,rpd->rp", x[kept], x[order])
-            alive &= ~((alpha * alpha * between <= far) & some[:, None])
+            alive &= ~((alpha * alpha * between[rows, at] <= far) & some[:, None])
             alive[rows, at] = False
     return out
 
 
+def both_ways(graph: np.ndarray) -> list[np.ndarray]:
+    """Neighbours of each row and the rows that it is a neighbour of, each once, from lists padded with -1."""
+    n = len(graph)
+    a, k = np.nonzero(graph >= 0)
+    b = graph[a, k]
+    edges = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(edges % max(1, n), np.searchsorted(edges, np.arange(1, n) * n))
+
+
 def walk(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndarray, beam: int) -> np.ndarray:
     """Greedy walks of all queries at once; the beam (queries x beam) of nearest nodes, padded with -1."""
     n = len(queries)
@@ -239,12 +248,11 @@ def _search(nodes: DataFrame, threshold: float, overlap: int, cluster: int, crow
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf.node.to_numpy()
         graph = robust_graph(units(stacked(pdf.vector)))
-        a, k = np.nonzero(graph >= 0)
-        b = graph[a, k]
-        return pd.DataFrame({"node": np.concatenate([node[a], node[b]]), "neighbour": np.concatenate([node[b], node[a]])})
+        return pd.DataFrame({"node": node, "near": [node[v] for v in both_ways(graph)]})
 
-    lists = cut(members.repartition(n, *shard).groupBy(*shard).applyInPandas(build, "node long, neighbour long")
-                .groupBy("node").agg(F.collect_set("neighbour").alias("near")))
+    # a row a member, not a row an edge
+    lists = cut(members.repartition(n, *shard).groupBy(*shard).applyInPandas(build, "node long, near array<long>")
+                .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     # the united lists go to every shard of the node, and each shard's blocks of homes come there
     targets = members.join(lists, "node", "left").select(*shard, F.lit(True).alias("target"), F.lit(0).alias("turn"), "node", "copies", "vector", "near", "blocks")
     homes = members.where("home").select("label", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),

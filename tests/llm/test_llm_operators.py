@@ -533,6 +533,25 @@ def test_embeddings_against_all_pairs(spark, tmp_path, crowd):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_graph_candidates_are_read_once_a_row():
+    rng = np.random.default_rng(6)
+    x = embeddings.units(np.repeat(rng.normal(size=(100, 16)), 5, 0) + rng.normal(0, 0.05, (500, 16)))
+
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            Counted.read += np.asarray(at).size if isinstance(at, np.ndarray) and at.ndim == 2 and self.shape[-1:] == (16,) else 0
+            return super().__getitem__(at)
+
+    graph = embeddings.robust_graph(x.view(Counted), degree=8)
+    assert 0 < Counted.read <= 2 * 500 * 32  # not once for each of the eight steps
+    near = embeddings.both_ways(np.asarray(graph))
+    want = [{int(j) for j in row if j >= 0} | {i for i in range(500) if n in graph[i]} for n, row in enumerate(np.asarray(graph))]
+    assert [set(v.tolist()) for v in near] == want and all(len(set(v.tolist())) == len(v) for v in near)
+    assert [len(v) for v in embeddings.both_ways(np.full((1, 8), -1))] == [0] and embeddings.both_ways(np.array([[1, -1], [-1, -1]]))[1].tolist() == [0]
+
+
 def test_cut_passages_leave_other_columns_alone(spark, tmp_path):
     names = "d k row spans new text_key _key _new _spans _d _k".split()
     shared = prose(9, 80)
