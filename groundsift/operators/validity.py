@@ -31,6 +31,8 @@ from groundsift.session import cut
 
 #: sides in a cell beyond which it is cut finer, into as many cells each way as sides over half of that; halvings at most
 CROWD, HALVINGS = 32, 10
+#: points of a geometry up to which its sides are compared in its own row; a bound on the pairs of a row, not on what is compared
+FEW = 64
 #: rules in the order in which they are reported
 RULES = ("empty", "ring structure", "self-intersection", "ring self-intersection", "hole outside shell", "nested holes", "nested shells", "disconnected interior")
 _RING = ("part", "ring")
@@ -84,8 +86,16 @@ def _meetings(sides: DataFrame) -> DataFrame:
     fine = _cells(fine, "fx", "fy", F.col("ox") + F.col("cx") * F.col("cell"), F.col("oy") + F.col("cy") * F.col("cell"), F.col("cell") / F.col("split"), F.col("split"))
     cell = [*at, "fx", "fy"]
     fine = fine.select(*cell, "part", "ring", "seg", "n", "ax", "ay", "bx", "by")
-    other = fine.select(*cell, F.col("part").alias("part2"), F.col("ring").alias("ring2"), F.col("seg").alias("seg2"), *[F.col(c).alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx_", "cy_", "dx_", "dy_"))])
-    pairs = fine.join(other, cell).where(F.struct("part", "ring", "seg") < F.struct(F.col("part2").alias("part"), F.col("ring2").alias("ring"), F.col("seg2").alias("seg")))
+    return _met(fine.join(_renamed(fine, cell), cell))
+
+
+def _renamed(sides: DataFrame, keys: list[str]) -> DataFrame:
+    return sides.select(*keys, F.col("part").alias("part2"), F.col("ring").alias("ring2"), F.col("seg").alias("seg2"), *[F.col(c).alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx_", "cy_", "dx_", "dy_"))])
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """What meets, of pairs of sides of one geometry."""
+    pairs = pairs.where(F.struct("part", "ring", "seg") < F.struct(F.col("part2").alias("part"), F.col("ring2").alias("ring"), F.col("seg2").alias("seg")))
     pairs = pairs.where((F.least("ax", "bx") <= F.greatest("cx_", "dx_")) & (F.least("cx_", "dx_") <= F.greatest("ax", "bx"))
                         & (F.least("ay", "by") <= F.greatest("cy_", "dy_")) & (F.least("cy_", "dy_") <= F.greatest("ay", "by")))
     a, b, c, d = (F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("ax", "ay"), ("bx", "by"), ("cx_", "cy_"), ("dx_", "dy_")))
@@ -126,6 +136,49 @@ def _inside(sides: DataFrame) -> DataFrame:
     return first.where(F.col("above") % 2 == 1).drop("above")
 
 
+def _rows_of_sides(shapes: DataFrame) -> DataFrame:
+    """``(key, sides)``: all sides of a small geometry in one row, rings without repeated points."""
+    once = F.transform("geom", lambda rings: F.transform(rings, lambda pts: F.filter(pts, lambda p, i: (i == 0) | (p != F.get(pts, i - 1)))))
+
+    def sides(part, ring, pts):
+        return F.transform(F.sequence(F.lit(0), F.size(pts) - 2), lambda i: F.struct(
+            part.alias("part"), ring.alias("ring"), i.alias("seg"), (F.size(pts) - 1).alias("n"), F.get(pts, i)["x"].alias("ax"), F.get(pts, i)["y"].alias("ay"),
+            F.get(pts, i + 1)["x"].alias("bx"), F.get(pts, i + 1)["y"].alias("by")))
+
+    return shapes.select("key", once.alias("geom")).select(
+        "key", F.flatten(F.flatten(F.transform("geom", lambda rings, part: F.transform(rings, lambda pts, ring: sides(part, ring, pts))))).alias("sides"))
+
+
+def _meetings_in_row(small: DataFrame) -> DataFrame:
+    """The same as ``_meetings``; a side takes those whose box meets its own from its row."""
+    one = small.select("key", "sides", F.posexplode("sides").alias("place", "s"))
+    near = lambda o, i: ((i > F.col("place")) & (F.least(o["ax"], o["bx"]) <= F.greatest("s.ax", "s.bx")) & (F.least("s.ax", "s.bx") <= F.greatest(o["ax"], o["bx"]))
+                         & (F.least(o["ay"], o["by"]) <= F.greatest("s.ay", "s.by")) & (F.least("s.ay", "s.by") <= F.greatest(o["ay"], o["by"])))
+    two = one.select("key", "s", F.explode(F.filter("sides", near)).alias("o"))
+    return _met(two.select("key", "s.*", F.col("o.part").alias("part2"), F.col("o.ring").alias("ring2"), F.col("o.seg").alias("seg2"),
+                           *[F.col(f"o.{c}").alias(d) for c, d in zip(("ax", "ay", "bx", "by"), ("cx_", "cy_", "dx_", "dy_"))]))
+
+
+def _inside_in_row(small: DataFrame) -> DataFrame:
+    """The same as ``_inside``, ring by ring of one row."""
+    first = lambda c: F.filter(c, lambda s: s["seg"] == 0)
+    rings = (small.where(F.size(first("sides")) > 1).select("key", "sides", F.explode(first("sides")).alias("s")).select("key", "sides", F.col("s.part").alias("part"), F.col("s.ring").alias("ring"))
+             .withColumn("o", F.explode(F.filter(first("sides"), lambda s: (s["part"] != F.col("part")) | (s["ring"] != F.col("ring")))))
+             .select("key", "part", "ring", F.col("o.part").alias("part2"), F.col("o.ring").alias("ring2"),
+                     F.filter("sides", lambda s: (s["part"] == F.col("part")) & (s["ring"] == F.col("ring")) & (s["seg"] < 2)).alias("own"),
+                     F.filter("sides", lambda s: (s["part"] == F.col("o.part")) & (s["ring"] == F.col("o.ring"))).alias("sides")))
+
+    def ray(p):
+        x, y = (p["ax"] + p["bx"]) / 2, (p["ay"] + p["by"]) / 2
+        spans = lambda s: (s["ax"] <= x) != (s["bx"] <= x)
+        above = lambda s: s["ay"] + (s["by"] - s["ay"]) * (x - s["ax"]) / (s["bx"] - s["ax"]) > y
+        on = lambda s: ((s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"]) == 0) & x.between(F.least(s["ax"], s["bx"]), F.greatest(s["ax"], s["bx"])) & y.between(F.least(s["ay"], s["by"]), F.greatest(s["ay"], s["by"]))
+        return F.struct(F.exists("sides", on).alias("on"), p["seg"].alias("seg"), F.size(F.filter("sides", lambda s: spans(s) & above(s))).alias("above"))
+
+    # the midpoint that is off the other's sides, the first one if both are
+    return rings.where(F.array_min(F.transform("own", ray))["above"] % 2 == 1).select("key", "part", "ring", "part2", "ring2")
+
+
 def _cut_off(touches: DataFrame) -> DataFrame:
     """Keys of parts whose rings and touching points form a cycle."""
     ends = touches.where("part = part2").select("key", "part", "at", F.explode(F.array("ring", "ring2")).alias("ring")).distinct()
@@ -144,8 +197,9 @@ def reasons(shapes: DataFrame, key: str = "id", geom: str = "geom") -> DataFrame
     """``shapes`` to ``(key, reason)``, null where the geometry is valid; ``key`` names rows and must be unique."""
     rows = cut(shapes.select(F.col(key).alias("key"), F.col(geom).alias("geom")).withColumn("rule", _structure(F.col("geom"))))
     sound = rows.where("rule is null").select("key", "geom")
-    sides = cut(_sides(sound))
-    met = cut(_meetings(sides).distinct())
+    points = F.size(G.vertices(F.col("geom")))
+    small, sides = cut(_rows_of_sides(sound.where(points <= FEW))), cut(_sides(sound.where(points > FEW)))
+    met = cut(_meetings(sides).unionByName(_meetings_in_row(small)).distinct())
     rule = lambda df, i: df.select("key", F.lit(i).alias("rule"))
     found = rule(met.where("how = 'cross'"), 2).unionByName(rule(met.where("how = 'self'"), 3))
     # two rings at one point: do the directions of one part those of the other?
@@ -156,9 +210,9 @@ def reasons(shapes: DataFrame, key: str = "id", geom: str = "geom") -> DataFrame
     found = found.unionByName(rule(spots.where(passes), 2))
     found = found.unionByName(rule(_cut_off(spots.where(~passes)), 7))
     # what lies in what
-    rings = sides.where("seg = 0").select("key", *_RING)
-    many = sound.where(F.size(F.flatten("geom")) > 1).select("key")
-    within = cut(_inside(sides.join(many, "key", "left_semi")))
+    rings = sound.select("key", F.posexplode("geom").alias("part", "rs")).select("key", "part", F.explode(F.sequence(F.lit(0), F.size("rs") - 1)).alias("ring"))
+    many = sound.where((points > FEW) & (F.size(F.flatten("geom")) > 1)).select("key")
+    within = cut(_inside(sides.join(many, "key", "left_semi")).unionByName(_inside_in_row(small)))
     shell = within.where("ring > 0 AND part2 = part AND ring2 = 0").select("key", *_RING)
     found = found.unionByName(rule(rings.where("ring > 0").join(shell, ["key", *_RING], "left_anti"), 4))
     found = found.unionByName(rule(within.where("ring > 0 AND part2 = part AND ring2 > 0"), 5))

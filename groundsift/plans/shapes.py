@@ -232,7 +232,7 @@ def sound_and_broken_shapes():
 
 @query("g11_validity", f"SELECT id, {_KINDS} AS reason FROM parcels")
 def validity(t):
-    return V.reasons(t("parcels").select("id", sound_and_broken_shapes().alias("geom")))
+    return V.reasons(spread(t("parcels").select("id", "p_size", *BOX), "id").select("id", sound_and_broken_shapes().alias("geom")))
 
 
 @query("g11_long_rings", """

@@ -81,6 +81,26 @@ def test_odd_geometries(spark):
     assert V.reasons(frame(spark, [])).count() == 0
 
 
+def test_small_geometries_stay_in_their_row(spark, monkeypatch):
+    """No side of a small geometry is dealt to cells; row by row and cell by cell, the reasons are the same."""
+    r = random.Random(8)
+    box = lambda n: (lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)])(r.randrange(n), r.randrange(n), r.randrange(1, 6))
+    loop = lambda: (lambda p: [*p, p[0]])([(r.randrange(5), r.randrange(5)) for _ in range(5)])
+    geoms = [[[box(1), box(6)], [box(8)]] for _ in range(60)] + [[[box(3), box(5), box(7)]] for _ in range(60)] + [[[loop()]] for _ in range(60)]
+    dealt, cells = [], V._cells
+
+    def counted(sides, *rest):
+        dealt.append(sides.count())
+        return cells(sides, *rest)
+
+    monkeypatch.setattr(V, "_cells", counted)
+    rows = {x.id: x.reason for x in V.reasons(frame(spark, geoms)).collect()}
+    assert len(dealt) == 2 and sum(dealt) == 0
+    monkeypatch.setattr(V, "FEW", 0)
+    assert {x.id: x.reason for x in V.reasons(frame(spark, geoms)).collect()} == rows
+    assert sum(dealt) > 0 and set(V.RULES[2:4]) <= set(rows.values())
+
+
 def test_crowded_corner_of_a_long_ring(spark):
     """Ten thousand sides, nearly all of them in one corner of the geometry's grid."""
     n = 10_000
