@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,29 +183,50 @@ def _open_connection(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array((0.0, *best[1:]) if _cross(a[None], b[None])[0] else best)
 
 
-def _connect_batch(*columns: pd.Series) -> pd.DataFrame:
-    sides = [[sides_of(*row) for row in zip(*columns[i : i + 3])] for i in (0, 3)]
-    out = np.full((len(columns[0]), 5), np.nan)
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, (a, b) in enumerate(zip(*sides)):
-        if len(a) and len(b):
-            groups.setdefault((len(a), len(b)), []).append(i)
-    for (n, m), rows in groups.items():
-        if n * m > SMALL:
+def all_sides(xs: pa.Array, ys: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sides (n, 4) of the flat geometries of a batch, row after row, where each row's begin and how many it has."""
+    def flat_of(column):
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return column.flatten().to_numpy(zero_copy_only=False), lengths, np.cumsum(lengths) - lengths
+
+    (x, points, at), (y, _, _), (size, rings, ring_at) = flat_of(xs), flat_of(ys), flat_of(sizes)
+    opens = np.ones(len(x), bool)  # a point that a side starts from
+    opens[(at + points - 1)[points > 0]] = False
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    row = np.repeat(np.arange(len(rings)), rings)
+    last = np.zeros(len(size), bool)  # the last ring ends with the row
+    last[(ring_at + rings - 1)[rings > 0]] = True
+    opens[(at[row] + total[1:] - total[ring_at[row]] - 1)[~last]] = False
+    i = np.flatnonzero(opens)
+    count = np.bincount(np.repeat(np.arange(len(points)), points)[i], minlength=len(points))
+    return np.stack([x[i], y[i], x[i + 1], y[i + 1]], 1).astype(float), np.cumsum(count) - count, count
+
+
+def _connect_batch(*columns: pa.Array) -> pa.Array:
+    (a, a_at, n), (b, b_at, m) = all_sides(*columns[:3]), all_sides(*columns[3:])
+    out = np.full((len(n), 5), np.nan)
+    both = np.flatnonzero((n > 0) & (m > 0))
+    sizes, group = np.unique(np.stack([n[both], m[both]], 1), axis=0, return_inverse=True)
+    order = both[np.argsort(group.ravel(), kind="stable")]
+    for (k, q), rows in zip(sizes.tolist(), np.split(order, np.cumsum(np.bincount(group.ravel()))[:-1]) if len(both) else []):
+        if k * q > SMALL:
             for i in rows:
-                out[i] = packed_connection(sides[0][i], sides[1][i])
+                out[i] = packed_connection(a[a_at[i] : a_at[i] + k], b[b_at[i] : b_at[i] + q])
             continue
-        step = max(1, (1 << 18) // (n * m))
+        step = max(1, (1 << 15) // (k * q))
         for s in range(0, len(rows), step):
             at = rows[s : s + step]
-            out[at] = connections(np.stack([sides[0][i] for i in at]), np.stack([sides[1][i] for i in at]))
-    return pd.DataFrame(out, columns=["d", "ax", "ay", "bx", "by"])
+            out[at] = connections(a[a_at[at][:, None] + np.arange(k)], b[b_at[at][:, None] + np.arange(q)])
+    return pa.StructArray.from_arrays([pa.array(c, mask=np.isnan(c)) for c in out.T], ["d", "ax", "ay", "bx", "by"])
 
 
 def connected(pairs: DataFrame, a: Sequence[str] = FLAT, b: Sequence[str] = tuple(f"r_{c}" for c in FLAT)) -> DataFrame:
-    """Add ``c``: the shortest connection of the flat geometries of a pair, zero long where they share ground."""
+    """Add ``c``: the shortest connection of the flat geometries of a pair, zero long where they share ground.
+
+    Batches stay in Arrow and all their sides are made at once: no array is made for a row.
+    """
     ship_package(pairs.sparkSession)
-    return pairs.withColumn("c", F.pandas_udf(_connect_batch, CONNECTION)(*a, *b))
+    return pairs.withColumn("c", F.arrow_udf(_connect_batch, CONNECTION)(*a, *b))
 
 
 def nearest_polygons(left: DataFrame, right: DataFrame, k: int, group: str = "survey_id", left_id: str = "id", side: float = 100.0) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_nearest_polygons(spark, jts):
     assert knn.nearest_polygons(frame(spark, left).limit(0), frame(spark, right), 5).count() == 0
 
 
+def test_sides_of_a_batch_are_made_at_once(monkeypatch):
+    """Rows of different sizes, with holes, of many sides, empty and null: as pair by pair, without an array for each row."""
+    r = random.Random(12)
+    shapes = [[star(r.uniform(0, 50), r.uniform(0, 50), 9, r.choice((3, 5, 5, 80)), i) for _ in range(r.randrange(4))] for i in range(300)]
+    rows = [([x for p in s for x, _ in p], [y for p in s for _, y in p], [len(p) for p in s]) for s in shapes]
+    half = rows[:150], rows[150:]
+    want = []
+    for a, b in zip(*half):
+        a, b = (knn.sides_of(*g) for g in (a, b))
+        want.append(None if not len(a) or not len(b) else knn.packed_connection(a, b) if len(a) * len(b) > knn.SMALL else knn.connections(a[None], b[None])[0])
+    kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+    columns = [pa.array([*[g[i] for g in side], None], kinds[i]) for side in half for i in range(3)]
+    monkeypatch.setattr(knn, "sides_of", None)
+    got = knn._connect_batch(*columns).to_pylist()
+    assert len(got) == 151 and got.pop()["d"] is None
+    assert [g["d"] is None for g in got] == [w is None for w in want] and any(w is None for w in want)
+    assert all(list(g.values()) == w.tolist() for g, w in zip(got, want) if w is not None)
+    part = knn._connect_batch(*[c.slice(40, 30) for c in columns]).to_pylist()
+    assert part == got[40:70] and len(knn._connect_batch(*[c.slice(0, 0) for c in columns])) == 0
+
+
 def test_packed_sides_equal_all_pairs(jts):
     for seed in range(6):
         a, b = star(0, 0, 100, 150, seed), star(60 + 60 * seed, 20, 100, 170, seed + 50)
