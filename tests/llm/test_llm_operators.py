@@ -446,6 +446,23 @@ def test_passage_hidden_by_other_holders_is_found(spark, tmp_path):
     assert {(r.doc_id, r.other_id) for r in substrings.passages(d.repartition(7), few_places=3).collect()} == want
 
 
+def test_documents_take_turns_and_hot_seeds_are_marked_once(spark, tmp_path, monkeypatch):
+    # forty hot words beside each lone seed: a place gets one row with its marks, not one a hot seed
+    lines = [prose(700 + i, 12) for i in range(3)]
+    docs = [(i, " ".join([prose(i, 30), *lines[: 1 + i % 3], prose(3000 + i // 2, 45), prose(i + 900, 20)])) for i in range(120)]
+    d = table(spark, tmp_path, docs)
+    want = sorted(map(tuple, substrings.passages(d).collect()))
+    assert {(r[0], r[5]) for r in want} >= {(i + 1, i) for i in range(0, 120, 2) if i % 3 < 2}
+    turns = []
+    monkeypatch.setattr(substrings, "SLICE_LINKS", 2000)
+    inner = substrings._chains
+    monkeypatch.setattr(substrings, "_chains", lambda *a: turns.append((a[-1], inner(*a))) or turns[-1][1])
+    assert sorted(map(tuple, substrings.passages(d).collect())) == want
+    assert len(turns) > 1 and all(r.doc % len(turns) == k for k, df in turns for r in df.collect())
+    rows = pa.table({"doc": [1] * 44, "pos": list(range(0, 440, 10)), "hash": [7] * 20 + [None] + [7] * 20 + [None] * 3})
+    assert [len(m) for b in substrings._mark_rows(iter(rows.to_batches())) for m in b.column("marks").to_pylist()] == [2, 1, 1, 1]
+
+
 def common_subsequence(x, y):
     """Places of a longest common subsequence, by the table."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
