@@ -189,12 +189,13 @@ def gap_overlays(t):
 def trial_plots(t, target_area: float = 900.0, limit: int = 6):
     """Plots of each window: a quota of ceil(limit / gaps) per gap, then the first ``limit`` in order of gap and turn."""
     pieces, f = gap_table(t, 30.0)
-    kept = f.where((F.col("area") >= MIN_AREA) & F.col("wide"))
+    kept = cut(f.where((F.col("area") >= MIN_AREA) & F.col("wide")))  # widths are measured once; it is read five times
     side = target_area**0.5
     exclusions = box_pieces(t("restrictions")).select("survey_id", "id", *G.PIECE)
-    squares = feasible_squares(pieces, kept.select("survey_id", "gap", *BOX), t("surveys"), occupied(t), exclusions, side)
     gaps = kept.groupBy("survey_id").agg(F.greatest(F.lit(1), F.ceil(F.lit(limit) / F.count("*"))).alias("quota"))
-    chosen = pick_plots(squares, side, kept.select("survey_id", "gap").join(gaps, "survey_id"))
+    quotas = kept.select("survey_id", "gap").join(gaps, "survey_id")
+    squares = feasible_squares(pieces, kept.select("survey_id", "gap", *BOX), t("surveys"), occupied(t), exclusions, side, quotas)
+    chosen = pick_plots(squares, side, quotas)
     # a window has fewer than limit + gaps plots by now
     order = Window.partitionBy("survey_id").orderBy(F.desc("area"), F.round("cx_", 6), F.round("cy_", 6), "turn")
     placed = chosen.join(kept.select("survey_id", "gap", "area", F.col("cx").alias("cx_"), F.col("cy").alias("cy_")), ["survey_id", "gap"])

@@ -216,6 +216,22 @@ def test_plots_lie_in_their_gap_and_apart(spark, jts):
             assert (first["cx"], first["cy"], first["angle"]) == (r["cx"], r["cy"], r["angle"])
 
 
+@pytest.mark.parametrize("quota", [1, 3])
+def test_squares_out_of_reach_of_a_quota_are_not_made(spark, quota):
+    size, side = 1000.0, 20.0
+    windows = spark.createDataFrame([(1, 0.0, 0.0, size, size)], WINDOW)
+    occ = spark.createDataFrame(rows(shapes(5, 6, size)), SCHEMA)
+    excl = spark.createDataFrame([(1, "e", 0.0, 0.0, 420.0, 90.0), (1, "f", 300.0, 400.0, 610.0, 770.0)], "survey_id long, id string, x0 double, y0 double, x1 double, y1 double")
+    pieces = FS.free_pieces(windows, occ, side)
+    gaps = FS.gap_figures(pieces, windows)
+    quotas = gaps.select("survey_id", "gap", F.lit(quota).alias("quota"))
+    args = pieces, gaps.select("survey_id", "gap", "x0", "y0", "x1", "y1"), windows, occ, box_pieces(excl).select("survey_id", "id", *G.PIECE), side
+    every, few = feasible_squares(*args), feasible_squares(*args, quotas)
+    picked = [sorted(map(tuple, pick_plots(squares, side, quotas).collect())) for squares in (every, few)]
+    assert picked[0] == picked[1] and picked[0]
+    assert few.count() < every.count() / 4
+
+
 def test_outlines_rebuild_the_exact_difference(spark, jts):
     from groundsift.operators import outlines as O
 
