@@ -13,12 +13,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.operators import slabs
 from groundsift.operators.components import connected_components
+from groundsift.operators.knn import all_sides
 from groundsift.operators.tiles import explode_tiles
 from groundsift.session import cut, ship_package, spread, unsent
 
@@ -308,6 +310,26 @@ def settle_width(pieces: DataFrame, figures: DataFrame, windows: DataFrame, occu
             .withColumn("wide", F.col("wide") | F.coalesce("_w", F.lit(False))).drop("_w"))
 
 
+#: sides that are worked out at once
+SIDES = 1 << 15
+
+
+def _covers(xs: pa.Array, ys: pa.Array, sizes: pa.Array, winding: bool):
+    """Rows and trapezoids (n, 6) of the polygons of a batch, a number of sides at a time."""
+    sides, first, count = all_sides(xs, ys, sizes)
+    row = np.repeat(np.arange(len(count)), count)
+    x1, y1, x2, y2 = sides.T
+    rises, use = y2 > y1, y1 != y2
+    low = np.where(rises, x1, x2), np.minimum(y1, y2), np.where(rises, x2, x1), np.maximum(y1, y2)
+    sign = np.where(rises, -1, 1)
+    at = 0
+    while at < len(count):
+        end = max(at + 1, int(np.searchsorted(first + count, first[at] + SIDES, "right")))
+        part = np.flatnonzero(use[first[at] : first[end - 1] + count[end - 1]]) + first[at]
+        yield slabs.cover_many(*(v[part] for v in low), row[part], sign[part] if winding else None)
+        at = end
+
+
 def covered_pieces(objects: DataFrame, keys: Sequence[str], winding: bool = False) -> DataFrame:
     """Pieces of single polygons, one object per row in, many pieces out; runs batch by batch.
 
@@ -315,16 +337,24 @@ def covered_pieces(objects: DataFrame, keys: Sequence[str], winding: bool = Fals
     """
     ship_package(objects.sparkSession)
 
-    @F.pandas_udf(f"array<{G.PIECE_T}>")
-    def decompose(xs: pd.Series, ys: pd.Series, sizes: pd.Series) -> pd.Series:
-        def one(px, py, n):
-            if px is None or len(px) == 0:
-                return []
-            e = slabs.ring_edges(px, py, n)
-            return [dict(zip(G.PIECE, p)) for p in slabs.cover(*e, np.zeros(len(e[0]), int), slabs.ring_signs(py, n) if winding else None)]
-        return pd.Series([one(*t) for t in zip(xs, ys, sizes)])
+    def decompose(xs: pa.Array, ys: pa.Array, sizes: pa.Array) -> pa.Array:
+        rows, pieces = map(np.concatenate, zip((np.zeros(0, int), np.zeros((0, 6))), *_covers(xs, ys, sizes, winding)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(xs)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in pieces.T], list(G.PIECE)))
+
+    pieces = F.arrow_udf(decompose, f"array<{G.PIECE_T}>")
+    return (objects.select(*keys, F.explode(pieces(*FLAT)).alias("p")).select(*keys, "p.*"))
+
+
+def covered_area(winding: bool = False):
+    """Column function of a flat geometry: the ground it covers, 0 where it is empty; no piece leaves its row."""
+    def measure(xs: pa.Array, ys: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = np.zeros(len(xs))
+        for rows, p in _covers(xs, ys, sizes, winding):
+            out += np.bincount(rows, ((p[:, 4] - p[:, 2]) + (p[:, 5] - p[:, 3])) / 2 * (p[:, 1] - p[:, 0]), len(xs))
+        return pa.array(out)
 
-    return (objects.select(*keys, F.explode(decompose(*FLAT)).alias("p")).select(*keys, "p.*"))
+    return F.arrow_udf(measure, "double")
 
 
 def union_area(objects: DataFrame, group: Sequence[str], side: float = TILE_M) -> DataFrame:

@@ -86,21 +86,8 @@ def slabs(x1, y1, x2, y2, owner, lo, hi, sign=None):
             wind = np.cumsum(sign[act])
             opens, closes = wind - sign[act] == 0, wind == 0
             left, right, lm, rm, at = act[opens], act[closes], xm[opens], xm[closes], at[opens]
-        order = np.lexsort((lm, at))
-        left, right, lm, rm, at = left[order], right[order], lm[order], rm[order], at[order]
-        # ranks by slab and right side, so that their running maximum starts anew in each slab; of equals the first counts
-        place = np.arange(len(at))
-        by = np.lexsort((-place, rm, at))
-        rank = np.empty(len(at), int)
-        rank[by] = place
-        far = by[np.maximum.accumulate(rank)]
-        start = np.ones(len(at), bool)
-        start[1:] = (at[1:] != at[:-1]) | (lm[1:] > rm[far[:-1]] + SLIVER)
-        first = np.nonzero(start)[0]
-        # right side of a merged run: the interval that reaches furthest
-        stop = np.append(first[1:], len(at))[: len(first)] - 1
-        left, right = left[first], right[far[stop]]
-        bounds = np.searchsorted(at[first], np.arange(len(mid) + 1)).tolist()
+        left, right, at = _merged(left, right, lm, rm, at)
+        bounds = np.searchsorted(at, np.arange(len(mid) + 1)).tolist()
         ends = ends.tolist()
         for k in range(len(mid)):
             yield ends[k], ends[k + 1], left[bounds[k] : bounds[k + 1]], right[bounds[k] : bounds[k + 1]]
@@ -130,6 +117,94 @@ def cover(x1, y1, x2, y2, owner, sign=None):
     return [tuple(p) for p in done]
 
 
+def _places(of, at, values_of, values, side):
+    """How many ``values``, sorted by what they are ``of``, stand before each ``at`` in the order of (of, value)."""
+    query = np.concatenate([np.ones(len(at), bool), np.zeros(len(values), bool)])
+    order = np.lexsort((query if side == "right" else ~query, np.concatenate([at, values]), np.concatenate([of, values_of])))
+    seen = np.cumsum(~query[order])
+    out = np.empty(len(query), int)
+    out[order] = seen
+    return out[: len(at)]
+
+
+def _spans(first, stop):
+    """Numbers of the spans and all that lies in them, one after the other."""
+    n = np.maximum(stop - first, 0)
+    at = np.repeat(np.arange(len(n)), n)
+    return at, first[at] + (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+
+
+def cover_many(x1, y1, x2, y2, poly, sign=None):
+    """``cover`` of many polygons at once: the polygon of every trapezoid and the trapezoids (n, 6), polygon by polygon.
+
+    ``poly`` numbers the polygon of every side and does not fall.
+    """
+    if not len(y1):
+        return np.zeros(0, int), np.zeros((0, 6))
+    slope = (x2 - x1) / (y2 - y1)
+    base = x1 - slope * y1
+    # crossings: only sides of one polygon whose heights overlap meet
+    order = np.lexsort((y1, poly))
+    a, b = _spans(np.arange(1, len(order) + 1), _places(poly, y2, poly[order], y1[order], "left")[order])
+    a, b = order[a], order[b]
+    met = (np.minimum(x1[a], x2[a]) - NEAR <= np.maximum(x1[b], x2[b])) & (np.minimum(x1[b], x2[b]) <= np.maximum(x1[a], x2[a]) + NEAR)
+    a, b = a[met], b[met]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = (base[b] - base[a]) / (slope[a] - slope[b])
+    ok = np.isfinite(y) & (y > np.maximum(y1[a], y1[b])) & (y < np.minimum(y2[a], y2[b]))
+    cuts, of = np.concatenate([y1, y2, y[ok]]), np.concatenate([poly, poly, poly[a[ok]]])
+    order = np.lexsort((cuts, of))
+    cuts, of = cuts[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (np.diff(cuts) > 1e-9)
+    top = cuts[np.append(of[1:] != of[:-1], True)]
+    cuts, of = cuts[new], of[new]
+    cuts[np.append(of[1:] != of[:-1], True)] = top
+    low = np.flatnonzero(of[1:] == of[:-1])
+    ya, yb, of = cuts[low], cuts[low + 1], of[low]
+    mid = (ya + yb) / 2
+    act, at = _spans(_places(poly, y1, of, mid, "right"), _places(poly, y2, of, mid, "left"))
+    xm = x1[act] + slope[act] * (mid[at] - y1[act])
+    order = np.lexsort((act, xm, at))
+    at, act, xm = at[order], act[order], xm[order]
+    if sign is None:
+        left, right, lm, rm, at = act[0::2], act[1::2], xm[0::2], xm[1::2], at[0::2]
+    else:
+        wind = np.cumsum(sign[act])
+        opens, closes = wind - sign[act] == 0, wind == 0
+        left, right, lm, rm, at = act[opens], act[closes], xm[opens], xm[closes], at[opens]
+    left, right, at = _merged(left, right, lm, rm, at)
+    # stretches between the same two sides in slabs that follow each other are one trapezoid
+    order = np.lexsort((at, right, left))
+    start = np.ones(len(order), bool)
+    o, p = order[1:], order[:-1]
+    start[1:] = (left[o] != left[p]) | (right[o] != right[p]) | (at[o] != at[p] + 1)
+    first, last = order[start], order[np.append(start[1:], True)] if len(order) else order
+    seen = np.argsort(first)
+    first, last = first[seen], last[seen]
+    x = lambda e, h: x1[e] + slope[e] * (h - y1[e])
+    le, re, y0, y9 = left[first], right[first], ya[at[first]], yb[at[last]]
+    return of[at[first]], np.stack([y0, y9, x(le, y0), x(le, y9), x(re, y0), x(re, y9)], 1)
+
+
+def _merged(left, right, lm, rm, at):
+    """Union of the intervals of every slab: the sides that bound it, and its slab."""
+    order = np.lexsort((lm, at))
+    left, right, lm, rm, at = left[order], right[order], lm[order], rm[order], at[order]
+    # ranks by slab and right side, so that their running maximum starts anew in each slab; of equals the first counts
+    place = np.arange(len(at))
+    by = np.lexsort((-place, rm, at))
+    rank = np.empty(len(at), int)
+    rank[by] = place
+    far = by[np.maximum.accumulate(rank)]
+    start = np.ones(len(at), bool)
+    start[1:] = (at[1:] != at[:-1]) | (lm[1:] > rm[far[:-1]] + SLIVER)
+    first = np.nonzero(start)[0]
+    # right side of a merged run: the interval that reaches furthest
+    stop = np.append(first[1:], len(at))[: len(first)] - 1
+    return left[first], right[far[stop]], at[first]
+
+
 def free(x1, y1, x2, y2, owner, bx0, by0, bx1, by1, sign=None, inside=False):
     """Free trapezoids of a rectangle, or with ``inside`` covered ones, and the pairs that share a stretch of horizontal side.
 

@@ -187,8 +187,7 @@ def buffer_area(t):
     kinds = F.array(*[F.struct(F.lit(name).alias("kind"), G.grown(shape, c).alias("g")) for name, shape, c in (
         ("notched_5m", l_shape(), 5.0), ("holed_4m", holed(), 4.0), ("holed_6m", holed(), 6.0), ("parts_2m", framed(), 2.0))])
     curves = spread(t("parcels").select("id", *BOX), "id").select("id", F.explode(kinds).alias("k")).select("id", "k.kind", *FS.flat_geometry(F.col("k.g")))
-    pieces = FS.covered_pieces(curves, ["id", "kind"], winding=True)
-    areas = pieces.groupBy("id", "kind").agg(F.sum(G.piece_area()).alias("a"))
+    areas = curves.select("id", "kind", FS.covered_area(winding=True)(*FS.FLAT).alias("a"))
     return areas.groupBy("id").agg(*[F.round(F.max(F.when(F.col("kind") == k, F.col("a"))), 2).alias(k) for k in ("notched_5m", "holed_4m", "holed_6m", "parts_2m")])
 
 

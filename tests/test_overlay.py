@@ -60,6 +60,23 @@ def test_cover_equals_polygon_area(jts):
         assert got == pytest.approx(jts.polygon(*rings).getArea(), rel=1e-9)
 
 
+@pytest.mark.parametrize("winding", [False, True])
+def test_many_polygons_are_cut_at_once(winding):
+    rnd, edges, signs = random.Random(3), [], []
+    for _ in range(60):
+        xs, ys, sizes = [], [], []
+        for _ in range(rnd.randint(1, 4)):
+            ring = [(rnd.choice([rnd.randint(0, 60), rnd.uniform(0, 60)]), rnd.randint(0, 60)) for _ in range(rnd.randint(3, 12))]
+            xs, ys, sizes = xs + [x for x, _ in ring + ring[:1]], ys + [y for _, y in ring + ring[:1]], [*sizes, len(ring) + 1]
+        edges.append(slabs.ring_edges(xs, ys, sizes))
+        signs.append(slabs.ring_signs(ys, sizes))
+    poly = np.repeat(np.arange(60), [len(e[0]) for e in edges])
+    of, pieces = slabs.cover_many(*map(np.concatenate, zip(*edges)), poly, np.concatenate(signs) if winding else None)
+    for k, (e, s) in enumerate(zip(edges, signs)):
+        one = slabs.cover(*e, np.zeros(len(e[0]), int), s if winding else None)
+        assert np.array_equal(pieces[of == k], np.array(one).reshape(-1, 6))
+
+
 def test_slabs_are_sorted_at_once(monkeypatch):
     """A circle of seventy sides: sides are sorted for all its slabs together, not once for each slab."""
     turns = np.linspace(0, 2 * math.pi, 71)
