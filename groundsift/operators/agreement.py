@@ -13,22 +13,26 @@ side has exactly one fit and both sides have as many parts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundsift.functions import geometry as G
 from groundsift.operators import freespace as FS
-from groundsift.operators.knn import PACK, _feet, sides_of
-from groundsift.operators.tiles import piece_join
+from groundsift.operators.knn import PACK, _feet, all_sides
 from groundsift.session import ship_package, spread, unsent
 
 BATCH = 64
 
 
+def _points(sides: np.ndarray, step: float) -> np.ndarray:
+    """Points of each side, no more than ``step`` apart, its ends included."""
+    return 1 + np.maximum(1, np.ceil(np.hypot(sides[:, 2] - sides[:, 0], sides[:, 3] - sides[:, 1]) / step - 1e-9)).astype(int)
+
+
 def densified(sides: np.ndarray, step: float) -> np.ndarray:
     """Points of all sides (n, 4), no more than ``step`` apart, their ends included."""
-    n = np.maximum(1, np.ceil(np.hypot(sides[:, 2] - sides[:, 0], sides[:, 3] - sides[:, 1]) / step - 1e-9)).astype(int)
+    n = _points(sides, step) - 1
     side = np.repeat(np.arange(len(sides)), n + 1)
     t = (np.arange(len(side)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)) / n[side]
     return sides[side, :2] + t[:, None] * (sides[side, 2:] - sides[side, :2])
@@ -49,18 +53,49 @@ def directed_gap(points: np.ndarray, sides: np.ndarray) -> float:
     return found
 
 
+#: points by sides that are measured at once; a pair with more is measured by itself, in order of its bounds
+CELLS = 1 << 19
+
+
+def directed_gaps(points: np.ndarray, p_at: np.ndarray, n: np.ndarray, sides: np.ndarray, s_at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``directed_gap`` of many pairs, which have ``n`` points from ``p_at`` on and ``m`` sides from ``s_at`` on."""
+    out, cells = np.full(len(n), np.nan), n * m
+    for i in np.flatnonzero(cells > CELLS):
+        out[i] = directed_gap(points[p_at[i] : p_at[i] + n[i]], sides[s_at[i] : s_at[i] + m[i]])
+    rest = np.flatnonzero((cells > 0) & (cells <= CELLS))
+    total, start = np.cumsum(cells[rest]), 0
+    while start < len(rest):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + CELLS, "right")))
+        i, start = rest[start:stop], stop
+        pair = np.repeat(np.arange(len(i)), n[i])
+        point = p_at[i][pair] + np.arange(len(pair)) - (np.cumsum(n[i]) - n[i])[pair]
+        width = m[i][pair]
+        head = np.cumsum(width) - width
+        k = np.repeat(s_at[i][pair] - head, width) + np.arange(width.sum())
+        px, py = np.repeat(points[point, 0], width), np.repeat(points[point, 1], width)
+        ax, ay = sides[k, 0], sides[k, 1]
+        dx, dy = sides[k, 2] - ax, sides[k, 3] - ay
+        length = dx * dx + dy * dy
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(length == 0, 1, length), 0, 1)
+        near = np.minimum.reduceat(np.hypot(px - (ax + t * dx), py - (ay + t * dy)), head)
+        out[i] = np.maximum.reduceat(near, np.cumsum(n[i]) - n[i])
+    return out
+
+
 def _gaps(step: float):
-    def measure(*columns: pd.Series) -> pd.DataFrame:
-        rows = []
-        for row in zip(*columns):
-            a, b = sides_of(*row[:3]), sides_of(*row[3:])
-            if not len(a) or not len(b):
-                rows.append((np.nan, np.nan))
-                continue
-            rows.append((max(directed_gap(a[:, :2], b), directed_gap(b[:, :2], a)), max(directed_gap(densified(a, step), b), directed_gap(densified(b, step), a))))
-        return pd.DataFrame(rows, columns=["vertex", "boundary"])
+    def measure(*columns: pa.Array) -> pa.Array:
+        (a, a_at, n), (b, b_at, m) = all_sides(*columns[:3]), all_sides(*columns[3:])
+
+        def dense(sides, count):
+            many = np.bincount(np.repeat(np.arange(len(count)), count), _points(sides, step), len(count)).astype(int)
+            return densified(sides, step), np.cumsum(many) - many, many
+
+        vertex = np.maximum(directed_gaps(a[:, :2], a_at, n, b, b_at, m), directed_gaps(b[:, :2], b_at, m, a, a_at, n))
+        boundary = np.maximum(directed_gaps(*dense(a, n), b, b_at, m), directed_gaps(*dense(b, m), a, a_at, n))
+        return pa.StructArray.from_arrays([pa.array(vertex), pa.array(boundary)], ["vertex", "boundary"])
 
-    return F.pandas_udf(measure, "struct<vertex:double,boundary:double>")
+    return F.arrow_udf(measure, "struct<vertex:double,boundary:double>")
 
 
 def _flat(geom, tag: str) -> list:
@@ -106,9 +141,12 @@ def agreement(pairs: DataFrame, tolerance: float, step: float = 1.0) -> DataFram
     pairs = spread(pairs, "id")
     measured = pairs.select("id", *_flat(F.col("a"), "a"), *_flat(F.col("b"), "b"), G.area(F.col("a")).alias("area_a"), G.area(F.col("b")).alias("area_b"), G.centroid(F.col("a")).alias("ca"), G.centroid(F.col("b")).alias("cb"))
     measured = measured.withColumn("gap", _gaps(step)(*_COLUMNS))
-    side = lambda c: FS.covered_pieces(pairs.select("id", *FS.flat_geometry(F.col(c))), ["id"])
-    common = piece_join(side("a"), side("b"), [], [], group=("id",), min_area=0.0)
-    j = measured.join(unsent(common), "id", "left").join(unsent(matched_parts(pairs, tolerance)), "id")
+    # sides of both under one parity leave out the common ground, so it takes no join of pieces
+    covered, both = FS.covered_area(), [F.concat(f"{c}_a", f"{c}_b") for c in FS.FLAT]
+    a, b = (covered(*[f"{c}_{t}" for c in FS.FLAT]) for t in "ab")
+    common = F.when((F.size("xs_a") > 0) & (F.size("xs_b") > 0), F.greatest(F.lit(0.0), (a + b - covered(*both)) / 2))
+    measured = measured.withColumn("area_m2", common).drop(*_COLUMNS)
+    j = measured.join(unsent(matched_parts(pairs, tolerance)), "id")
     shared, delta = F.coalesce("area_m2", F.lit(0.0)), F.abs(F.col("area_a") - F.col("area_b")) / F.col("area_b")
     vertices = (F.round("gap.vertex", 6) <= tolerance) & (delta <= 0.01) & F.col("unique")
     return j.select("id", F.col("gap.vertex").alias("vertex_gap_m"), F.col("gap.boundary").alias("boundary_gap_m"), delta.alias("area_difference"), (shared / (F.col("area_a") + F.col("area_b") - shared)).alias("iou"),

@@ -113,3 +113,14 @@ def test_gaps_of_outlines(jts):
             assert AG.directed_gap(points, flat(b)) == pytest.approx(want, abs=1e-9)
         inner = AG.densified(flat(a), 1.0)
         assert np.hypot(*np.diff(inner, axis=0).T).max() <= 1 + 1e-9 and {tuple(p) for p in flat(a)[:, :2].tolist()} <= {tuple(p) for p in inner.tolist()}
+
+
+def test_gaps_of_many_pairs_are_measured_at_once(monkeypatch):
+    rnd = random.Random(11)
+    pairs = [[np.array([[rnd.uniform(0, 90) for _ in range(4)] for _ in range(rnd.randint(0, 9))]).reshape(-1, 4) for _ in "ab"] for _ in range(40)]
+    alone = [AG.directed_gap(a[:, :2], b) if len(a) and len(b) else np.nan for a, b in pairs]
+    count = [np.array([len(p[k]) for p in pairs]) for k in (0, 1)]
+    (a, n), (b, m) = ((np.concatenate([p[k] for p in pairs]), count[k]) for k in (0, 1))
+    for cells in (30, 1 << 19):
+        monkeypatch.setattr(AG, "CELLS", cells)
+        assert np.array_equal(AG.directed_gaps(a[:, :2], np.cumsum(n) - n, n, b, np.cumsum(m) - m, m), alone, equal_nan=True)
