@@ -121,15 +121,16 @@ def _free_in_tile(radius: float, winding: bool):
     return run
 
 
-def tile_objects(windows: DataFrame, occupied: DataFrame, halo: float, side: float = TILE_M) -> DataFrame:
+def tile_objects(windows: DataFrame, occupied: DataFrame, halo: float, side: float = TILE_M, copies: bool = True) -> DataFrame:
     """Objects by (survey, tile, sub-tile), each window tile present at least once.
 
     ``occupied``: survey_id, box columns and flat geometry.  A tile with more
     than ``CROWD`` objects is cut in halves both ways often enough; the list of
     such tiles cannot exceed rows / CROWD and is joined by key, not broadcast.
+    Without ``copies`` no geometry comes twice, and none is compared.
     """
     tiles = window_tiles(windows, side)
-    objects = explode_tiles(occupied.dropDuplicates(["survey_id", *FLAT]), side, halo).select(
+    objects = explode_tiles(occupied.dropDuplicates(["survey_id", *FLAT]) if copies else occupied, side, halo).select(
         "survey_id", F.col("_tx").alias("tx"), F.col("_ty").alias("ty"), "x0", "y0", "x1", "y1", *FLAT)
     levels = (objects.groupBy("survey_id", "tx", "ty").agg(F.count("*").alias("_n"))
               .select("survey_id", "tx", "ty", F.least(F.lit(MAX_LEVEL), F.greatest(F.lit(0), F.ceil(F.log2(
@@ -163,7 +164,7 @@ def free_pieces(windows: DataFrame, occupied: DataFrame, min_width: float = 0.0,
     With ``winding`` the geometries are offset curves, which cover what they wind around.
     """
     radius = min_width / 2
-    per_tile = tile_objects(windows, occupied, radius, side)
+    per_tile = tile_objects(windows, occupied, radius, side, copies=not winding)  # copies of curves wind around the same ground
     raw = cut(spread(per_tile, *SUBTILE).groupBy(*SUBTILE).applyInPandas(_free_in_tile(radius, winding), PIECE_SCHEMA)
               .withColumn("node", F.concat_ws("/", *SUBTILE, "comp")))
     edges = border_links(raw)
@@ -380,5 +381,63 @@ def grown_polygons(shapes: DataFrame, clearance: float, join: str = "round", arc
     The sides of a grown polygon go to the tiles they reach; a closing hole, a
     concave corner or parts that grow together need no pass of their own.
     """
-    curves = shapes.select("survey_id", G.grown(F.col("geom"), clearance, arc, join).alias("g"), G.bounds(F.col("geom")).alias("b"))
-    return curves.select("survey_id", *[(F.col(f"b.{c}") + (clearance if c in ("x1", "y1") else -clearance)).alias(c) for c in ("x0", "y0", "x1", "y1")], *flat_geometry(F.col("g")))
+    # copies go while they are small, and small files are dealt out before curves are made
+    shapes = spread(shapes.select("survey_id", "geom"), "survey_id", "geom").dropDuplicates(["survey_id", "geom"])
+    curves = shapes.select("survey_id", G.bounds(F.col("geom")).alias("b"), *flat_geometry(F.col("geom")), shells(F.col("geom")).alias("shells"))
+    curves = curves.withColumn("g", grown_curves(clearance, join, arc)(*FLAT, "shells"))
+    return curves.select("survey_id", *[(F.col(f"b.{c}") + (clearance if c in ("x1", "y1") else -clearance)).alias(c) for c in ("x0", "y0", "x1", "y1")], *[f"g.{c}" for c in FLAT])
+
+
+def shells(geom):
+    """Which rings of the flat geometry are shells."""
+    return F.flatten(F.transform(geom, lambda part: F.transform(part, lambda ring, i: i == 0)))
+
+
+def grown_curves(distance: float, join: str = "round", arc: int = 16):
+    """Column function of a flat geometry and its shells: ``geometry.grown`` of a whole batch, flat again."""
+    def grow(xs: pa.Array, ys: pa.Array, sizes: pa.Array, shell: pa.Array) -> pa.Array:
+        x, y = (np.asarray(c.flatten(), float) for c in (xs, ys))
+        size, rings = np.asarray(sizes.flatten(), int), np.asarray(sizes.value_lengths().fill_null(0), int)
+        px, py, per_ring = _curves(x, y, size, np.asarray(shell.flatten(), bool), distance, join, arc)
+        ring_ends = np.concatenate([[0], np.cumsum(rings)])
+        ends = pa.array(np.concatenate([[0], np.cumsum(per_ring)])[ring_ends], pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(px)), pa.ListArray.from_arrays(ends, pa.array(py)),
+                                           pa.ListArray.from_arrays(pa.array(ring_ends, pa.int32()), pa.array(per_ring, pa.int32()))], list(FLAT))
+
+    return F.arrow_udf(grow, "struct<xs:array<double>,ys:array<double>,sizes:array<int>>")
+
+
+def _curves(x: np.ndarray, y: np.ndarray, size: np.ndarray, shell: np.ndarray, distance: float, join: str, arc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offset curves of closed rings that follow each other; points of each curve, none for rings of fewer than three corners."""
+    first = np.cumsum(size) - size
+    ring = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(x)) - first[ring]
+    on = np.flatnonzero(place < size[ring] - 1)
+    dx, dy, ex, ey = x[on] - x[first[ring[on]]], y[on] - y[first[ring[on]]], x[on + 1] - x[first[ring[on]]], y[on + 1] - y[first[ring[on]]]
+    back = (np.bincount(ring[on], dx * ey - ex * dy, len(size)) < 0) == shell
+    corner = on[(place[on] == 0) | (x[on] != x[on - 1]) | (y[on] != y[on - 1])]
+    n = np.bincount(ring[corner], minlength=len(size))
+    corner, of = corner[n[ring[corner]] > 2], ring[corner][n[ring[corner]] > 2]
+    n = np.where(n > 2, n, 0)
+    head = np.cumsum(n) - n
+    j = np.arange(len(corner)) - head[of]
+    around = lambda k: corner[head[of] + np.where(back[of], n[of] - 1 - k % n[of], k % n[of])]
+    p, a, b = around(j), around(j - 1), around(j + 1)
+    start, stop = np.arctan2(x[a] - x[p], y[p] - y[a]), np.arctan2(x[p] - x[b], y[b] - y[p])
+    turn = np.mod(stop - start + np.pi, 2 * np.pi) - np.pi  # left turns are convex for the ground on the left
+    convex = turn >= -1e-12
+    steps = np.maximum(np.ceil(turn * (2 * arc / np.pi) - 1e-9), 0) if join == "round" else np.zeros(len(p))
+    count = np.where(convex, steps + 1, 3).astype(int)
+    at = np.repeat(np.arange(len(p)), count)
+    s = np.arange(len(at)) - (np.cumsum(count) - count)[at]
+    angle, reach = start[at] + turn[at] * s / np.maximum(steps[at], 1), np.full(len(at), float(distance))
+    if join == "mitre":
+        angle, reach = start[at] + turn[at] / 2, distance / np.cos(turn[at] / 2)
+    hollow = ~convex[at]  # the curve goes back to the vertex
+    angle = np.where(hollow, np.where(s == 0, start[at], stop[at]), angle)
+    reach = np.where(hollow, np.where(s == 1, 0.0, distance), reach)
+    px, py = x[p[at]] + reach * np.cos(angle), y[p[at]] + reach * np.sin(angle)
+    many = np.bincount(of[at], minlength=len(size))
+    ends = np.cumsum(many)[many > 0]  # closed by the first point
+    heads = ends - many[many > 0]
+    return np.insert(px, ends, px[heads]), np.insert(py, ends, py[heads]), many + (many > 0)

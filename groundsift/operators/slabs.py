@@ -41,7 +41,7 @@ def ring_signs(ys, sizes):
     return -step[inside & (step != 0)].astype(int)
 
 
-#: cells of a table of sides by sides, or of slabs by sides, that is looked at in one step
+#: pairs of sides, or cells of a table of slabs by sides, that are looked at in one step
 TABLE = 1 << 20
 #: sides whose boxes are further apart than this can't cross, whatever rounding does
 NEAR = 1e-6
@@ -49,19 +49,25 @@ NEAR = 1e-6
 
 def _crossing_heights(x1, y1, x2, y2, lo, hi):
     slope = (x2 - x1) / (y2 - y1)
-    slanted = np.nonzero(slope != 0)[0]
     base = x1 - slope * y1
     left, right = np.minimum(x1, x2) - NEAR, np.maximum(x1, x2) + NEAR
-    step, out = max(1, TABLE // max(1, len(x1))), []
-    for s in range(0, len(slanted), step):  # only slanted sides can cross anything
-        i = slanted[s : s + step]
-        met = (y1 < y2[i, None]) & (y2 > y1[i, None]) & (left <= right[i, None]) & (right >= left[i, None])
-        a, b = np.nonzero(met)
-        a = i[a]
+    # a side meets those that begin above it and below its end
+    order = np.argsort(y1, kind="stable")
+    stop = np.searchsorted(y1[order], y2[order], "left")
+    total = np.cumsum(np.maximum(stop - np.arange(1, len(order) + 1), 0))
+    at, out = 0, []
+    while at < len(order):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + TABLE, "right")))
+        i, j = _spans(np.arange(at + 1, end + 1), stop[at:end])
+        a, b = order[i + at], order[j]
+        met = (left[a] <= right[b]) & (left[b] <= right[a]) & ((slope[a] != 0) | (slope[b] != 0))  # only slanted sides can cross anything
+        a, b = a[met], b[met]
         with np.errstate(divide="ignore", invalid="ignore"):
             y = (base[b] - base[a]) / (slope[a] - slope[b])
         ok = np.isfinite(y) & (y > np.maximum(y1[b], y1[a])) & (y < np.minimum(y2[b], y2[a])) & (y > lo) & (y < hi)
         out.append(y[ok])
+        at = end
     return np.concatenate(out) if out else np.empty(0)
 
 

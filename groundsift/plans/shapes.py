@@ -184,11 +184,12 @@ SELECT id, round((x1 - x0) * (y1 - y0) * 0.75 + 5 * 2 * (x1 - x0 + y1 - y0) + 25
   round((x1 - x0) * (y1 - y0) - 36 + 4 * (x1 - x0 + y1 - y0) + 100 + 2 * 40 + 4 * 8 * {_SECTOR}, 2) AS parts_2m FROM parcels""")
 def buffer_area(t):
     """Polygons grown with round corners: a concave corner, a hole that shrinks, one that closes, two parts."""
-    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), G.grown(shape, c).alias("g")) for name, shape, c in (
-        ("notched_5m", l_shape(), 5.0), ("holed_4m", holed(), 4.0), ("holed_6m", holed(), 6.0), ("parts_2m", framed(), 2.0))])
-    curves = spread(t("parcels").select("id", *BOX), "id").select("id", F.explode(kinds).alias("k")).select("id", "k.kind", *FS.flat_geometry(F.col("k.g")))
-    areas = curves.select("id", "kind", FS.covered_area(winding=True)(*FS.FLAT).alias("a"))
-    return areas.groupBy("id").agg(*[F.round(F.max(F.when(F.col("kind") == k, F.col("a"))), 2).alias(k) for k in ("notched_5m", "holed_4m", "holed_6m", "parts_2m")])
+    parcels = spread(t("parcels").select("id", *BOX), "id")
+    areas = {}
+    for name, shape, c in (("notched_5m", l_shape(), 5.0), ("holed_4m", holed(), 4.0), ("holed_6m", holed(), 6.0), ("parts_2m", framed(), 2.0)):
+        grown = FS.grown_curves(c)(*FS.flat_geometry(shape), FS.shells(shape))
+        areas[name] = F.round(FS.covered_area(winding=True)(*[grown[k] for k in FS.FLAT]), 2)
+    return parcels.select("id", *[a.alias(name) for name, a in areas.items()])
 
 
 _KINDS = ("CASE p_size % 16 WHEN 1 THEN 'self-intersection' WHEN 2 THEN 'ring structure' WHEN 3 THEN 'hole outside shell' WHEN 4 THEN 'ring structure' WHEN 5 THEN 'self-intersection' "

@@ -60,6 +60,24 @@ def test_cover_equals_polygon_area(jts):
         assert got == pytest.approx(jts.polygon(*rings).getArea(), rel=1e-9)
 
 
+def test_sides_meet_only_where_their_heights_do(monkeypatch):
+    rnd = random.Random(8)
+    x1, y1, x2 = (np.array([rnd.uniform(0, 50) for _ in range(300)]) for _ in range(3))
+    y2 = y1 + np.array([rnd.uniform(0.1, 3) for _ in range(300)])
+    want = set()
+    for i in range(300):
+        for j in range(i):
+            a, b = (x2[i] - x1[i]) / (y2[i] - y1[i]), (x2[j] - x1[j]) / (y2[j] - y1[j])
+            y = ((x1[j] - b * y1[j]) - (x1[i] - a * y1[i])) / (a - b)
+            if max(y1[i], y1[j], 5) < y < min(y2[i], y2[j], 45):
+                want.add(y)
+    pairs_made, spans = [], slabs._spans
+    monkeypatch.setattr(slabs, "TABLE", 500)
+    monkeypatch.setattr(slabs, "_spans", lambda *a: pairs_made.append(spans(*a)) or pairs_made[-1])
+    assert sorted(slabs._crossing_heights(x1, y1, x2, y2, 5, 45)) == pytest.approx(sorted(want))
+    assert sum(len(p[0]) for p in pairs_made) < 300 * 300 / 8
+
+
 @pytest.mark.parametrize("winding", [False, True])
 def test_many_polygons_are_cut_at_once(winding):
     rnd, edges, signs = random.Random(3), [], []

@@ -134,6 +134,20 @@ def test_grown_polygons(spark, jts, distance):
     assert flat.agg(F.sum(G.piece_area())).first()[0] == pytest.approx((30 + 2 * distance) ** 2)
 
 
+@pytest.mark.parametrize("join", ["round", "mitre"])
+def test_curves_of_a_batch_are_those_of_each_row(spark, join):
+    from groundsift.session import ship_package
+
+    ship_package(spark)
+    shapes = [*SHAPES, [[[(0, 0), (1, 1), (0, 0)]]], [[[(0, 0), (0, 40), (30, 40), (30, 0), (0, 0)], [(5, 5), (9, 5), (9, 9), (5, 9), (5, 5)]]]]
+    df = frame(spark, shapes)
+    want = {r.id: r for r in df.select("id", *FS.flat_geometry(G.grown(F.col("geom"), 3.0, join=join))).collect()}
+    got = {r.id: r.g for r in df.select("id", FS.grown_curves(3.0, join)(*FS.flat_geometry(F.col("geom")), FS.shells(F.col("geom"))).alias("g")).collect()}
+    for i, w in want.items():
+        assert list(got[i].sizes) == list(w.sizes)
+        assert got[i].xs == pytest.approx(w.xs, abs=1e-9) and got[i].ys == pytest.approx(w.ys, abs=1e-9)
+
+
 def test_ground_left_with_clearance(spark, jts):
     """Free ground of a window and the number of its gaps, when polygons with holes, notches and parts grow by a clearance."""
     shapes = [[[[(x * 1.0 + dx, y + dy) for x, y in r] for r in p] for p in g] for k, g in enumerate(SHAPES) for dx, dy in ((100 + 90 * k, 120), (480 - 60 * k, 470), (505, 230 + 55 * k))]
